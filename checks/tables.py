@@ -4,6 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from licensum.plans.processing import process_licences
+
 AS_OF = datetime(2001, 6, 30)
 
 RAW_LICENCES = """
@@ -185,3 +187,7 @@ class Tables:
     directory_pages = property(lambda self: self.derived(DIRECTORY_PAGES))
     results = property(lambda self: self.derived(RESULTS))
     answers = property(lambda self: self.derived(ANSWERS))
+
+    @property
+    def enriched(self) -> DataFrame:
+        return process_licences(self.raw, as_of=AS_OF)

@@ -47,11 +47,14 @@ def strip(c: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the rest (``o'neil`` -> ``O'Neil``)."""
+
+    def titled(run):
+        # A letter whose capital is spelled with two letters keeps only the first one large.
+        first = F.upper(F.substring(run, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substring(first, 2, 9), run.substr(F.lit(2), F.length(run)))))
+
     runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(
-        F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))),
-        "",
-    )
+    return F.array_join(F.transform(runs, titled), "")
 
 
 def clean_text(c: Column, entities=vocab.CLEANER_ENTITIES) -> Column:
@@ -104,7 +107,7 @@ def clean_activities(c: Column, names=vocab.ACTIVITY_NAMES, min_length=6) -> Col
 
 
 def clean_conditions(c: Column, min_length=11) -> Column:
-    cleaned = F.transform(F.coalesce(c, F.array().cast("array<string>")), clean_text)
+    cleaned = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: clean_text(x))
     return F.filter(cleaned, lambda x: F.length(x) >= min_length)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from licensum import vocab
-from licensum.functions.text import contains_any, strip
+from licensum.functions.text import contains_any, let, strip
 
 COMMENT = r"<!--.*?(?:-->|\z)"
 TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
@@ -44,18 +44,22 @@ def decode_entities(c: Column, entities=vocab.HTML_ENTITIES) -> Column:
     """Decode named and numeric character references in one pass (``&amp;lt;`` gives ``&lt;``)."""
     names = F.create_map(*[F.lit(x) for pair in entities.items() for x in pair])
 
-    def piece(p, i):
-        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        rest = p.substr(F.length(ref) + 2, F.length(p))
+    def char_of(ref):
         digits = F.when(ref.rlike("^#[0-9]"), ref.substr(F.lit(2), F.length(ref)).cast("bigint"))
         hexed = F.when(ref.rlike("^#[xX]"), F.conv(ref.substr(F.lit(3), F.length(ref)), 16, 10).cast("bigint"))
-        code = F.coalesce(digits, hexed)
-        valid = (code > 0) & (code < 1114112) & ~code.between(55296, 57343)
-        char = F.when(valid, _utf8(code)).otherwise(F.try_element_at(names, ref))
-        decoded = F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), p))
-        return F.when(i == 0, p).otherwise(decoded)
+        valid = lambda code: (code > 0) & (code < 1114112) & ~code.between(55296, 57343)
+        numeric = let(F.coalesce(digits, hexed), lambda code: F.when(valid(code), _utf8(code)))
+        return F.when(ref.startswith("#"), numeric).otherwise(F.try_element_at(names, ref))
 
-    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
+    def piece(p, i):
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        decoded = lambda r: F.coalesce(
+            F.concat(char_of(r), p.substr(F.length(r) + 2, F.length(p))), F.concat(F.lit("&"), p)
+        )
+        return F.when(i == 0, p).otherwise(let(ref, decoded))
+
+    join = lambda x: F.array_join(F.transform(F.split(x, "&"), piece), "")
+    return let(c, lambda x: F.when(x.contains("&"), join(x)).otherwise(x))
 
 
 def _nodes(c: Column, pattern: str) -> Column:
@@ -82,7 +86,8 @@ def page_text(html: Column) -> Column:
 
 def inner_text(fragment: Column) -> Column:
     """Text nodes of a fragment, each stripped, joined without a separator."""
-    return F.array_join(_nodes(fragment, "(?is)" + TAG), "")
+    split = lambda x: F.array_join(_nodes(x, "(?is)" + TAG), "")
+    return let(fragment, lambda x: F.when(x.contains("<"), split(x)).otherwise(strip(decode_entities(x))))
 
 
 def markup(html: Column) -> Column:
@@ -92,9 +97,9 @@ def markup(html: Column) -> Column:
 
 def attribute(attrs: Column, name: str) -> Column:
     """Value of an attribute in the text of a tag; NULL when the tag does not carry it."""
-    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    parts = [F.regexp_extract(attrs, pattern, g) for g in (1, 2, 3)]
-    return F.when(F.regexp_extract(attrs, pattern, 0) != "", decode_entities(F.concat(*parts)))
+    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    bare = lambda v: F.when(v.rlike("""^["']"""), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v)
+    return let(F.regexp_extract(attrs, pattern, 1), lambda v: F.when(v != "", decode_entities(bare(v))))
 
 
 def class_text(html: Column) -> Column:
@@ -118,23 +123,29 @@ def opening(tag: str) -> str:
 
 def pieces(c: Column, pattern: str) -> Column:
     """What follows each match of ``pattern``, up to the next one."""
-    parts = F.split(c, pattern)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return rest(F.split(c, pattern))
+
+
+def rest(c: Column) -> Column:
+    """An array without its first element."""
+    return F.slice(c, 2, 2**30)
 
 
 def links(html: Column) -> Column:
     """All ``a[href]`` in document order as array<struct<href, text, css>>."""
 
     def link(p):
-        attrs = F.concat(F.lit(" "), F.regexp_extract(p, r"(?s)^([^>]*)>", 1))
         body = F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1)
-        return F.struct(
-            attribute(attrs, "href").alias("href"),
+        attrs = F.concat(F.lit(" "), F.substring_index(p, ">", 1))
+        fields = lambda a: F.struct(
+            attribute(a, "href").alias("href"),
             inner_text(body).alias("text"),
-            F.coalesce(attribute(attrs, "class"), F.lit("")).alias("css"),
+            F.coalesce(attribute(a, "class"), F.lit("")).alias("css"),
         )
+        return let(attrs, fields)
 
-    return F.filter(F.transform(pieces(markup(html), r"(?i)<a\s"), link), lambda e: e.href.isNotNull())
+    opened = F.filter(pieces(markup(html), r"(?i)<a\s"), lambda p: p.contains(">"))
+    return F.filter(F.transform(opened, link), lambda e: e.href.isNotNull())
 
 
 def website_type(html: Column) -> Column:
@@ -200,17 +211,18 @@ def flat_tables(html: Column) -> Column:
 
     def table(p):
         body = F.regexp_extract(p, r"(?is)^(.*?)(?:</table\s*>|\z)", 1)
-        rows = F.transform(pieces(body, r"(?i)<tr(?:\s[^>]*)?>"), cells)
-        return F.struct(
+        fields = lambda rows: F.struct(
             F.transform(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>")), F.lower).alias("headers"),
-            F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))).alias("rows"),
+            rest(rows).alias("rows"),
         )
+        return let(F.transform(pieces(body, r"(?i)<tr(?:\s[^>]*)?>"), cells), fields)
 
     return F.transform(pieces(markup(html), opening("table")), table)
 
 
 def has_nested_table(html: Column) -> Column:
     """True when a table opens before the previous one is closed."""
-    tables = pieces(F.lower(markup(html)), opening("table"))
-    inner = F.slice(tables, F.lit(1), F.greatest(F.size(tables) - 1, F.lit(0)))
-    return F.exists(inner, lambda p: ~p.contains("</table"))
+    open_before = lambda tables: F.exists(
+        F.slice(tables, F.lit(1), F.greatest(F.size(tables) - 1, F.lit(0))), lambda p: ~p.contains("</table")
+    )
+    return let(pieces(F.lower(markup(html)), opening("table")), open_before)

@@ -1,12 +1,10 @@
 """Completeness score, business type, categories and risk as Column expressions."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from licensum import vocab
-from licensum.functions.text import contains_any, count_of, filled, truthy
+from licensum.functions.text import contains_any, count_of, filled, let, truthy
 
 
 def completeness_score() -> Column:
@@ -35,35 +33,40 @@ def business_type(
     needs=vocab.TAKEAWAY_NEEDS,
     excludes=vocab.TAKEAWAY_EXCLUDES,
 ) -> Column:
-    low, acts = F.lower(name), lowered(activities)
+    low = F.lower(name)
     (first, first_words), *others = words
     branch = F.when(contains_any(low, first_words), F.lit(first))
     for label, label_words in others:
         branch = branch.when(contains_any(low, label_words), F.lit(label))
-    takeaway = F.array_contains(acts, needs) & ~F.array_contains(acts, excludes)
-    return branch.when(takeaway, F.lit("Takeaway")).otherwise(F.lit("Other"))
+    takeaway = lambda acts: F.array_contains(acts, needs) & ~F.array_contains(acts, excludes)
+    return branch.when(let(lowered(activities), takeaway), F.lit("Takeaway")).otherwise(F.lit("Other"))
 
 
-def any_activity(activities: Column, words) -> Column:
-    return F.exists(lowered(activities), lambda a: contains_any(a, words))
+def any_activity(acts: Column, words) -> Column:
+    """True when any of the lower-cased activities contains one of the words."""
+    return F.exists(acts, lambda a: contains_any(a, words))
 
 
 def categories(activities: Column, words=vocab.CATEGORY_WORDS, default=vocab.DEFAULT_CATEGORY) -> Column:
-    hits = F.filter(
-        F.array(*[F.when(any_activity(activities, w), F.lit(label)) for label, w in words]), lambda x: x.isNotNull()
+    hits = lambda acts: F.filter(
+        F.array(*[F.when(any_activity(acts, w), F.lit(label)) for label, w in words]), lambda x: x.isNotNull()
     )
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(default)))
+    named = lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    return let(let(lowered(activities), hits), named)
 
 
 def risk_score(kind: Column, activities: Column, conditions: Column) -> Column:
     """Base 5, moved by late refreshment, music or dance, kind of business and number of conditions; 1 to 10."""
-    steps = [
-        (F.array_contains(lowered(activities), vocab.TAKEAWAY_NEEDS), 1),
-        (any_activity(activities, ["music", "dance"]), 1),
-        (kind.isin("Club", "Bar"), 2),
-        (kind == "Takeaway", 1),
-        (kind.isin("Hotel", "Restaurant"), -1),
-        (count_of(conditions) > 5, -1),
-    ]
-    total = reduce(lambda a, s: a + F.when(s[0], s[1]).otherwise(0), steps, F.lit(5))
+    points = lambda cond, n: F.when(cond, n).otherwise(0)
+    of_activities = lambda acts: (
+        points(F.array_contains(acts, vocab.TAKEAWAY_NEEDS), 1) + points(any_activity(acts, ["music", "dance"]), 1)
+    )
+    total = (
+        F.lit(5)
+        + let(lowered(activities), of_activities)
+        + points(kind.isin("Club", "Bar"), 2)
+        + points(kind == "Takeaway", 1)
+        + points(kind.isin("Hotel", "Restaurant"), -1)
+        + points(count_of(conditions) > 5, -1)
+    )
     return F.greatest(F.lit(1), F.least(F.lit(10), total))

@@ -1,6 +1,6 @@
 """Text, date, array and map cleaning as Column expressions."""
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +27,17 @@ def count_of(c: Column) -> Column:
     return F.when(c.isNotNull(), F.size(c)).otherwise(F.lit(0))
 
 
+def let(c: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` mentions it.
+
+    Inside higher-order functions Spark does not share common subexpressions, so the value is bound to a variable.
+    """
+    return F.get(F.transform(F.array(c), lambda x: body(x)), F.lit(0))
+
+
 def contains_any(c: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    """True when any of the words is a substring. One pattern, so that ``c`` is evaluated once."""
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def first_contained(c: Column, phrases, otherwise=None) -> Column:
@@ -51,7 +60,7 @@ def title_case(c: Column) -> Column:
     def titled(run):
         # A letter whose capital is spelled with two letters keeps only the first one large.
         first = F.upper(F.substring(run, 1, 1))
-        return F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substring(first, 2, 9), run.substr(F.lit(2), F.length(run)))))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 9)), F.lower(F.substring(run, 2, 2**31 - 1)))
 
     runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
     return F.array_join(F.transform(runs, titled), "")
@@ -93,17 +102,21 @@ def clean_activities(c: Column, names=vocab.ACTIVITY_NAMES, min_length=6) -> Col
     characters are title-cased and kept every time.
     """
 
-    def tag(raw):
-        low = F.lower(clean_text(raw))
+    def tag(low):
         std = first_contained(low, names)
-        return F.struct(
-            std.isNotNull().alias("std"),
-            F.coalesce(std, F.when(F.length(low) >= min_length, title_case(low))).alias("value"),
+        tagged = lambda v: F.struct(
+            v.isNotNull().alias("std"),
+            F.coalesce(v, F.when(F.length(low) >= min_length, title_case(low))).alias("value"),
         )
+        return let(std, tagged)
 
-    tagged = F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), tag), lambda e: e.value.isNotNull())
-    first_of_value = lambda e, i: ~e.std | (F.array_position(F.transform(tagged, lambda t: t.value), e.value) == i + 1)
-    return F.transform(F.filter(tagged, first_of_value), lambda e: e.value)
+    def keep_first(tagged):
+        values = F.transform(tagged, lambda t: t.value)
+        first = lambda e, i: ~e.std | (F.array_position(values, e.value) == i + 1)
+        return F.transform(F.filter(tagged, first), lambda e: e.value)
+
+    lowered = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda a: F.lower(clean_text(a)))
+    return let(F.filter(F.transform(lowered, tag), lambda e: e.value.isNotNull()), keep_first)
 
 
 def clean_conditions(c: Column, min_length=11) -> Column:
@@ -119,11 +132,15 @@ def standardize_hours(c: Column, days=vocab.DAY_NAMES) -> Column:
         day = F.coalesce(F.try_element_at(lookup, F.lower(strip(e.key))), title_case(e.key))
         return F.struct(day.alias("k"), clean_text(e.value).alias("v"))
 
+    def last_wins(entries):
+        last = lambda k: F.element_at(F.filter(entries, lambda e: e.k == k), -1).v
+        return let(
+            F.array_distinct(F.transform(entries, lambda e: e.k)),
+            lambda keys: F.map_from_arrays(keys, F.transform(keys, last)),
+        )
+
     entries = F.transform(F.filter(F.map_entries(c), lambda e: truthy(e.value)), entry)
-    keys = F.array_distinct(F.transform(entries, lambda e: e.k))
-    last = lambda k: F.element_at(F.filter(entries, lambda e: e.k == k), -1).v
-    standard = F.map_from_arrays(keys, F.transform(keys, last))
-    return F.when(filled(c), standard).otherwise(c)
+    return F.when(filled(c), let(entries, last_wins)).otherwise(c)
 
 
 def normalize_for_matching(c: Column, noise=vocab.MATCH_NOISE) -> Column:
@@ -182,9 +199,8 @@ _DATE_SHAPES = [
 
 def parse_date(c: Column) -> Column:
     """First of seven spellings that fits the whole text, as midnight of that day; NULL otherwise."""
-    x = F.trim(F.regexp_replace(c, WS + "+", " "))
-    tries = [F.when(x.rlike(shape), F.try_to_date(x, fmt)) for shape, fmt in _DATE_SHAPES]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    first_fit = lambda x: F.coalesce(*[F.when(x.rlike(shape), F.try_to_date(x, fmt)) for shape, fmt in _DATE_SHAPES])
+    return let(F.trim(F.regexp_replace(c, WS + "+", " ")), first_fit).cast("timestamp_ntz")
 
 
 def iso_text(c: Column) -> Column:

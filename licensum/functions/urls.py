@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from licensum import vocab
-from licensum.functions.text import contains_any, truthy
+from licensum.functions.text import contains_any, let, truthy
 
 
 def clean_url(c: Column, tails=vocab.URL_BOILERPLATE_TAILS, rejects=vocab.URL_REJECTS) -> Column:
@@ -34,37 +34,40 @@ def normalize_url(c: Column) -> Column:
 def resolve_url(base: Column, href: Column) -> Column:
     """``href`` seen from page ``base``: absolute, scheme-relative, root-relative, relative, query and fragment
     references, with dot segments removed (RFC 3986, section 5)."""
-    text = lambda x: F.coalesce(x, F.lit(""))
-    ref_path = F.regexp_extract(href, r"^[^?#]*", 0)
-    ref_tail = href.substr(F.length(ref_path) + 1, F.length(href))
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//", 1)
-    origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
-    base_rest = base.substr(F.length(origin) + 1, F.length(base))
-    base_path = F.regexp_extract(base_rest, r"^[^?#]*", 0)
-    base_query = F.regexp_extract(base_rest, r"^[^?#]*(\?[^#]*)?", 1)
-
-    folder = F.regexp_extract(base_path, r"^(.*/)?[^/]*$", 1)
-    full = F.when(ref_path.startswith("/"), ref_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path)
-    )
-    # Empty inner segments of a relative reference collapse, those of a root-relative one stay.
-    full = F.when(ref_path.startswith("/"), full).otherwise(F.regexp_replace(full, "/{2,}", "/"))
     step = lambda acc, s: (
         F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s)))
     )
-    parts = F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step)
-    path = F.concat(F.array_join(parts, "/"), F.when(full.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit("")))
-    path = F.when(full.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(path, "^/?", "/")).otherwise(full)
 
+    def without_dots(path):
+        kept = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+        closed = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(kept, F.lit("/"))).otherwise(kept)
+        return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(closed, "^/?", "/")).otherwise(path)
+
+    def relative(b):
+        folder = F.regexp_extract(b.path, r"^(.*/)?[^/]*$", 1)
+        ref_path = F.regexp_extract(href, r"^[^?#]*", 0)
+        # Empty inner segments of a relative reference collapse, those of a root-relative one stay.
+        below = F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path), "/{2,}", "/")
+        full = F.when(href.startswith("/"), ref_path).otherwise(below)
+        tail = F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+        return F.concat(b.origin, let(full, without_dots), tail)
+
+    def against(b):
+        return (
+            F.when(href.startswith("//"), F.concat(F.regexp_extract(b.origin, r"^[^/]*", 0), href))
+            .when(href.startswith("#"), F.concat(b.origin, b.path, b.query, href))
+            .when(href.startswith("?"), F.concat(b.origin, b.path, href))
+            .otherwise(relative(b))
+        )
+
+    part = lambda g: F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(\?[^#]*)?", g)
+    parts = F.struct(part(1).alias("origin"), part(2).alias("path"), part(3).alias("query"))
     return (
-        F.when(text(href) == "", base)
+        F.when(~truthy(href), base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("#"), F.concat(origin, base_path, base_query, href))
-        .when(href.startswith("?"), F.concat(origin, base_path, href))
-        .otherwise(F.concat(origin, path, ref_tail))
+        .otherwise(let(parts, against))
     )
 
 

@@ -70,8 +70,7 @@ def candidate_links(pages: DataFrame, *, words=vocab.LICENCE_LINK_WORDS, limit:
 def candidate_urls(base: Column, html: Column, words=vocab.LICENCE_LINK_WORDS, limit: int | None = 10) -> Column:
     """As :func:`candidate_links`, as one array per page. A page's links never leave its row."""
     hits = F.filter(
-        H.links(html),
-        lambda e: text.contains_any(F.lower(e.text), words) | text.contains_any(F.lower(e.href), words),
+        H.links(html), lambda e: text.contains_any(F.lower(F.concat(e.text, F.lit("\n"), e.href)), words)
     )
     found = F.array_distinct(F.transform(hits, lambda e: urls.resolve_url(base, e.href)))
     return F.slice(found, 1, limit) if limit else found
@@ -110,7 +109,7 @@ def scored_links(pages: DataFrame, *, min_score: int = 2, top: int = 5) -> DataF
     scored = F.transform(
         H.links(F.col("html")),
         lambda e, i: F.struct(
-            (-_link_score(F.lower(F.concat(e.href, F.lit(" "), e.text)))).alias("order"),
+            (-text.let(F.lower(F.concat(e.href, F.lit(" "), e.text)), _link_score)).alias("order"),
             i.alias("pos"),
             F.substring(F.lower(e.text), 1, 80).alias("text"),
             e.href.alias("href"),
@@ -213,10 +212,16 @@ def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS) -> DataFrame:
 def row_record(headers: Column, cells: Column) -> Column:
     """Header -> cell; on repeated headers the last cell wins."""
     n = F.least(F.size(headers), F.size(cells))
-    pairs = F.arrays_zip(F.slice(headers, F.lit(1), n).alias("k"), F.slice(cells, F.lit(1), n).alias("v"))
-    keys = F.array_distinct(F.slice(headers, F.lit(1), n))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    pairs = F.zip_with(F.slice(headers, F.lit(1), n), F.slice(cells, F.lit(1), n), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+
+    def last_wins(entries):
+        last = lambda k: F.element_at(F.filter(entries, lambda p: p["k"] == k), -1)["v"]
+        return text.let(
+            F.array_distinct(F.transform(entries, lambda p: p["k"])),
+            lambda keys: F.map_from_arrays(keys, F.transform(keys, last)),
+        )
+
+    return text.let(pairs, last_wins)
 
 
 def licences_of_rows(rows: DataFrame, *, synonyms=vocab.TABLE_COLUMN_SYNONYMS) -> DataFrame:

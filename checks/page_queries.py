@@ -6,7 +6,6 @@ from checks import sql as Q
 from checks.registry import query
 from checks.tables import CARD_ONE, CARD_PAGES, CARD_TWO, COUNCILS, REGISTER_PAGES, duck
 from licensum import vocab
-from licensum.functions import html as H
 from licensum.functions import text
 from licensum.operators import councils as C
 from licensum.operators import pages as P
@@ -105,12 +104,12 @@ def _site_type(html):
 
 @query("h5_website_type", f"{F3} SELECT page_id, {_site_type('html')} AS website_type FROM register_pages")
 def _(t):
-    return t.register_pages.select("page_id", H.website_type(F.col("html")).alias("website_type"))
+    return P.page_features(t.register_pages).select("page_id", "website_type")
 
 
 @query("h5_class_text", f"SELECT page_id, {Q.class_text('html')} AS classes FROM pages")
 def _(t):
-    return t.table("pages").select("page_id", H.class_text(F.col("html")).alias("classes"))
+    return P.page_features(t.table("pages")).select("page_id", "classes")
 
 
 def _link_rows(table):
@@ -157,22 +156,22 @@ _SCRIPTED = f"({Q.any_of(Q.script_text('html'), vocab.SPA_FRAMEWORKS)} OR {Q.any
 
 @query("h9_has_search", f"{F3} SELECT page_id, {_SEARCH} AS has_search FROM (SELECT page_id, {Q.markup('html')} AS m FROM register_pages)")
 def _(t):
-    return t.register_pages.select("page_id", H.has_search(F.col("html")).alias("has_search"))
+    return P.page_features(t.register_pages).select("page_id", "has_search")
 
 
 @query("h10_has_pagination", f"{F3} SELECT page_id, {_PAGING} AS has_pagination FROM register_pages")
 def _(t):
-    return t.register_pages.select("page_id", H.has_pagination(F.col("html")).alias("has_pagination"))
+    return P.page_features(t.register_pages).select("page_id", "has_pagination")
 
 
 @query("h11_needs_javascript", f"{F3} SELECT page_id, {_SCRIPTED} AS needs_javascript FROM register_pages")
 def _(t):
-    return t.register_pages.select("page_id", H.needs_javascript(F.col("html")).alias("needs_javascript"))
+    return P.page_features(t.register_pages).select("page_id", "needs_javascript")
 
 
 @query("h11_needs_javascript_pages", f"SELECT page_id, {_SCRIPTED} AS needs_javascript FROM pages")
 def _(t):
-    return t.table("pages").select("page_id", H.needs_javascript(F.col("html")).alias("needs_javascript"))
+    return P.page_features(t.table("pages")).select("page_id", "needs_javascript")
 
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Granted' WHEN 'O' THEN 'Application pending' ELSE 'Under review' END"

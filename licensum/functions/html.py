@@ -102,9 +102,9 @@ def attribute(attrs: Column, name: str) -> Column:
     return let(F.regexp_extract(attrs, pattern, 1), lambda v: F.when(v != "", decode_entities(bare(v))))
 
 
-def class_text(html: Column) -> Column:
-    """All class attributes of a page, one per line."""
-    return F.array_join(F.regexp_extract_all(markup(html), F.lit(CLASS_ATTR), F.lit(1)), "\n")
+def class_text(m: Column) -> Column:
+    """All class attributes of a page's markup, one per line."""
+    return F.array_join(F.regexp_extract_all(m, F.lit(CLASS_ATTR), F.lit(1)), "\n")
 
 
 def script_text(html: Column) -> Column:
@@ -131,8 +131,8 @@ def rest(c: Column) -> Column:
     return F.slice(c, 2, 2**30)
 
 
-def links(html: Column) -> Column:
-    """All ``a[href]`` in document order as array<struct<href, text, css>>."""
+def links(m: Column) -> Column:
+    """All ``a[href]`` of a page's markup in document order as array<struct<href, text, css>>."""
 
     def link(p):
         body = F.regexp_extract(p, r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1)
@@ -144,66 +144,67 @@ def links(html: Column) -> Column:
         )
         return let(attrs, fields)
 
-    opened = F.filter(pieces(markup(html), r"(?i)<a\s"), lambda p: p.contains(">"))
+    opened = F.filter(pieces(m, r"(?i)<a\s"), lambda p: p.contains(">"))
     return F.filter(F.transform(opened, link), lambda e: e.href.isNotNull())
 
 
-def website_type(html: Column) -> Column:
-    css = class_text(html)
-    low = F.lower(css)
-    return (
-        F.when(css.contains("gov-"), "gov.uk")
+def website_type(css: Column) -> Column:
+    """Publishing system of a page, from its class attributes."""
+    of = lambda x, low: (
+        F.when(x.contains("gov-"), "gov.uk")
         .when(low.contains("wordpress"), "wordpress")
         .when(low.contains("drupal"), "drupal")
         .when(contains_any(low, vocab.OTHER_CMS_WORDS), "other_cms")
         .otherwise("custom")
     )
+    return let(css, lambda x: let(F.lower(x), lambda low: of(x, low)))
 
 
-def has_search(html: Column) -> Column:
+def has_search(m: Column) -> Column:
     """A form, input or button with a search class, a search input, or a placeholder that mentions search."""
-    m = markup(html)
     css = r"""(?i)<(?:form|input|button)\s(?:[^>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
     kind = r"""(?i:<input\s(?:[^>]*?\s)?type\s*=\s*)(?:"search"|'search'|search[\s/>])"""
     hint = r"""(?i)<input\s(?:[^>]*?\s)?placeholder\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
     return m.rlike(css) | m.rlike(kind) | m.rlike(hint)
 
 
-def has_pagination(html: Column) -> Column:
-    return contains_any(F.lower(class_text(html)), vocab.PAGINATION_CLASS_WORDS) | contains_any(
+def has_pagination(css: Column, html: Column) -> Column:
+    """A pagination class, or a text that counts or turns pages."""
+    return contains_any(F.lower(css), vocab.PAGINATION_CLASS_WORDS) | contains_any(
         F.lower(page_text(html)), vocab.PAGINATION_TEXTS
     )
 
 
-def needs_javascript(html: Column) -> Column:
-    return contains_any(script_text(html), vocab.SPA_FRAMEWORKS) | contains_any(
-        F.lower(class_text(html)), vocab.DYNAMIC_CLASS_WORDS
+def needs_javascript(css: Column, html: Column) -> Column:
+    """A script that names a page framework, or a class for content that is loaded later."""
+    return contains_any(F.lower(css), vocab.DYNAMIC_CLASS_WORDS) | contains_any(
+        script_text(html), vocab.SPA_FRAMEWORKS
     )
 
 
-def has_next_link(html: Column) -> Column:
+def has_next_link(m: Column) -> Column:
     """A link that says Next or has a next class, or an input whose value is Next."""
     button = r"""(?i:<input\s(?:[^>]*?\s)?value\s*=\s*)(?:"Next"|'Next'|Next[\s/>])"""
-    hit = F.exists(links(html), lambda e: e.text.contains("Next") | e.css.contains("next"))
-    return hit | markup(html).rlike(button)
+    return m.rlike(button) | F.exists(links(m), lambda e: e.text.contains("Next") | e.css.contains("next"))
 
 
-def has_search_form(html: Column, words=vocab.SEARCH_FORM_WORDS) -> Column:
+def has_search_form(m: Column, words=vocab.SEARCH_FORM_WORDS) -> Column:
     """A form whose text mentions a search word and that has a submit control."""
     submit = (
         r"""(?i)<(?:input|button)\s(?:[^>]*?\s)?type\s*=\s*["']?submit"""
         r"""|<button\s(?:[^>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
     )
+    usable = lambda form: form.rlike(submit) & contains_any(F.lower(inner_text(form)), words)
+    return F.exists(forms(m), usable)
 
-    def usable(p):
-        form = F.regexp_extract(p, r"(?is)^(.*?)(?:</form\s*>|\z)", 1)
-        return contains_any(F.lower(inner_text(form)), words) & form.rlike(submit)
 
-    return F.exists(pieces(markup(html), opening("form")), usable)
+def forms(m: Column) -> Column:
+    """Contents of all forms."""
+    return F.transform(pieces(m, opening("form")), lambda p: F.regexp_extract(p, r"(?is)^(.*?)(?:</form\s*>|\z)", 1))
 
 
-def flat_tables(html: Column) -> Column:
-    """Tables without inner tables as array<struct<headers, rows>>; a row is an array of cell texts."""
+def flat_tables(m: Column) -> Column:
+    """Tables of a page's markup without inner tables as array<struct<headers, rows>>; a row is an array of cell texts."""
 
     def cells(row):
         text = lambda p: inner_text(F.regexp_extract(p, r"(?is)^(.*?)(?:</t[dhr]\s*>|\z)", 1))
@@ -217,12 +218,12 @@ def flat_tables(html: Column) -> Column:
         )
         return let(F.transform(pieces(body, r"(?i)<tr(?:\s[^>]*)?>"), cells), fields)
 
-    return F.transform(pieces(markup(html), opening("table")), table)
+    return F.transform(pieces(m, opening("table")), table)
 
 
-def has_nested_table(html: Column) -> Column:
+def has_nested_table(m: Column) -> Column:
     """True when a table opens before the previous one is closed."""
     open_before = lambda tables: F.exists(
         F.slice(tables, F.lit(1), F.greatest(F.size(tables) - 1, F.lit(0))), lambda p: ~p.contains("</table")
     )
-    return let(pieces(F.lower(markup(html)), opening("table")), open_before)
+    return let(pieces(F.lower(m), opening("table")), open_before)

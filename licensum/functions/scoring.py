@@ -33,13 +33,16 @@ def business_type(
     needs=vocab.TAKEAWAY_NEEDS,
     excludes=vocab.TAKEAWAY_EXCLUDES,
 ) -> Column:
-    low = F.lower(name)
-    (first, first_words), *others = words
-    branch = F.when(contains_any(low, first_words), F.lit(first))
-    for label, label_words in others:
-        branch = branch.when(contains_any(low, label_words), F.lit(label))
     takeaway = lambda acts: F.array_contains(acts, needs) & ~F.array_contains(acts, excludes)
-    return branch.when(let(lowered(activities), takeaway), F.lit("Takeaway")).otherwise(F.lit("Other"))
+
+    def cascade(low):
+        (label, label_words), *others = words
+        branch = F.when(contains_any(low, label_words), F.lit(label))
+        for label, label_words in others:
+            branch = branch.when(contains_any(low, label_words), F.lit(label))
+        return branch.when(let(lowered(activities), takeaway), F.lit("Takeaway")).otherwise(F.lit("Other"))
+
+    return let(F.lower(name), cascade)
 
 
 def any_activity(acts: Column, words) -> Column:

@@ -1,6 +1,6 @@
 """Text, date, array and map cleaning as Column expressions."""
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,17 +36,21 @@ def let(c: Column, body) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    """True when any of the words is a substring. One pattern, so that ``c`` is evaluated once."""
-    return c.rlike("|".join(re.escape(w) for w in words))
+    """True when any of the words is a substring."""
+    return let(c, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
 
 
 def first_contained(c: Column, phrases, otherwise=None) -> Column:
     """The value of the first (phrase, value) pair whose phrase is a substring of ``c``."""
-    branch = None
-    for phrase, value in phrases:
-        hit = c.contains(phrase)
-        branch = F.when(hit, F.lit(value)) if branch is None else branch.when(hit, F.lit(value))
-    return branch if otherwise is None else branch.otherwise(F.lit(otherwise))
+
+    def cascade(x):
+        (phrase, value), *others = phrases
+        branch = F.when(x.contains(phrase), F.lit(value))
+        for phrase, value in others:
+            branch = branch.when(x.contains(phrase), F.lit(value))
+        return branch if otherwise is None else branch.otherwise(F.lit(otherwise))
+
+    return let(c, cascade)
 
 
 def strip(c: Column) -> Column:
@@ -75,17 +79,22 @@ def clean_text(c: Column, entities=vocab.CLEANER_ENTITIES) -> Column:
 
 
 def clean_address(c: Column, abbreviations=vocab.ADDRESS_ABBREVIATIONS) -> Column:
-    x = clean_text(c)
-    for short, full in abbreviations:
-        x = F.regexp_replace(x, rf"(?iU)\b{short}\b", full)
-    return x
+    def expanded(x):
+        for short, full in abbreviations:
+            x = F.regexp_replace(x, rf"(?iU)\b{short}\b", full)
+        return x
+
+    # Most addresses hold no abbreviation; one look decides whether the nine replacements run.
+    any_short = rf"(?iU)\b(?:{'|'.join(short for short, _ in abbreviations)})\b"
+    return let(clean_text(c), lambda x: F.when(x.rlike(any_short), expanded(x)).otherwise(x))
 
 
 def extract_postcode(c: Column, pattern=vocab.POSTCODE_PATTERN) -> Column:
     """Leftmost postcode of an address, spaced before its last three characters; NULL when there is none."""
-    hit = F.replace(F.regexp_extract(F.upper(c), "(?U)" + pattern, 0), F.lit(" "), F.lit(""))
-    cut = F.length(hit) - 3
-    return F.when(F.length(hit) > 0, F.concat(hit.substr(F.lit(1), cut), F.lit(" "), F.right(hit, F.lit(3))))
+    spaced = lambda x: F.when(
+        F.length(x) > 0, F.concat(x.substr(F.lit(1), F.length(x) - 3), F.lit(" "), F.right(x, F.lit(3)))
+    )
+    return let(F.replace(F.regexp_extract(F.upper(c), "(?U)" + pattern, 0), F.lit(" "), F.lit("")), spaced)
 
 
 def clean_person_name(c: Column, titles=vocab.NAME_TITLES, suffixes=vocab.NAME_SUFFIXES) -> Column:
@@ -153,8 +162,8 @@ def normalize_for_matching(c: Column, noise=vocab.MATCH_NOISE) -> Column:
 
 def postcode_area(c: Column) -> Column:
     """Outward part of a postcode, or its first three characters when it has no space; NULL when empty."""
-    area = F.when(c.contains(" "), F.split_part(F.ltrim(c), F.lit(" "), F.lit(1))).otherwise(F.substring(c, 1, 3))
-    return F.when(truthy(c), area)
+    outward = lambda x: F.when(x.contains(" "), F.split_part(F.ltrim(x), F.lit(" "), F.lit(1))).otherwise(F.substring(x, 1, 3))
+    return let(c, lambda x: F.when(truthy(x), outward(x)))
 
 
 def effective_date(granted: Column, applied: Column, scraped: Column = None) -> Column:

@@ -12,7 +12,7 @@ def clean_url(c: Column, tails=vocab.URL_BOILERPLATE_TAILS, rejects=vocab.URL_RE
     url = F.rtrim(F.regexp_extract(c, r"(?U)https?://[^\s\])\n]+", 0), F.lit(".,;:!?"))
     for tail in tails:
         url = F.replace(url, F.lit(tail), F.lit(""))
-    return F.when(truthy(url) & ~contains_any(url, rejects), url)
+    return let(url, lambda u: F.when(truthy(u) & ~contains_any(u, rejects), u))
 
 
 def clean_discovered_url(c: Column, **kw) -> Column:

@@ -14,7 +14,7 @@ def clean_licences(licences: DataFrame, *, keep_supplied_postcode: bool = False)
     address has none. Columns that the input does not have are left out.
     """
     address = text.clean_address(F.col("premises_address"))
-    found = text.extract_postcode(address)
+    found = text.extract_postcode(F.col("premises_address"))
     dps = F.col("designated_premises_supervisor")
     cleaned = {
         "premises_name": text.clean_text(F.col("premises_name")),
@@ -27,8 +27,17 @@ def clean_licences(licences: DataFrame, *, keep_supplied_postcode: bool = False)
     }
     present = {name: expr for name, expr in cleaned.items() if name in licences.columns}
     keep = keep_supplied_postcode and "postcode" in licences.columns
-    present["postcode"] = F.coalesce(found, F.col("postcode")) if keep else found
-    return licences.withColumns(present)
+    # The postcode is read from the address in a second projection, so that the address is cleaned once.
+    return licences.withColumns(present).withColumn("postcode", F.coalesce(found, F.col("postcode")) if keep else found)
+
+
+def evaluated(df: DataFrame) -> DataFrame:
+    """The same rows with all columns computed at this point, once per row.
+
+    Spark moves a filter in front of the projection it reads from and there repeats the expressions behind the columns.
+    A generator stops that. To be put between costly derived columns and a filter on them.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
 
 
 def _rules(as_of, junk_words) -> list[tuple[str, Column]]:

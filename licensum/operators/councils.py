@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from licensum import vocab
-from licensum.functions import html, text, urls
+from licensum.functions import text, urls
+from licensum.operators.pages import page_links, unnest
 from licensum.schemas import REGISTER_ENTRY
 
 
@@ -33,7 +34,7 @@ def parse_register(files: DataFrame) -> DataFrame:
     """
     records = T.MapType(T.StringType(), T.StructType([T.StructField("entry", REGISTER_ENTRY)]))
     carry = [c for c in ("seq",) if c in files.columns]
-    rows = files.select("path", *carry, F.posexplode(F.map_entries(F.from_json("value", records))).alias("pos", "record"))
+    rows = unnest(files.select("path", "value", *carry), F.map_entries(F.from_json("value", records)), "pos", "record")
     e = lambda name: F.col(f"record.value.entry.`{name}`")
     codes = [e(f"local-authority-{c}") for c, _ in vocab.REGION_CODES]
     out = rows.filter(F.col("record.value.entry").isNotNull()).select(
@@ -53,9 +54,7 @@ def is_council_link(href: Column, label: Column, words=vocab.COUNCIL_LINK_WORDS)
 
 def parse_directory(pages: DataFrame) -> DataFrame:
     """Councils linked from directory pages ``(page_id, html)``."""
-    found = pages.select("page_id", F.posexplode(html.links(F.col("html"))).alias("pos", "link")).select(
-        "page_id", "pos", "link.href", "link.text"
-    )
+    found = page_links(pages.withColumn("url", F.lit("")))
     site = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit("https://"), F.col("href")))
     out = found.filter(is_council_link(F.col("href"), F.col("text"))).select(
         "page_id",

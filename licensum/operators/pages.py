@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from licensum import vocab
 from licensum.functions import html as H
 from licensum.functions import text, tree, urls
+from licensum.operators.clean import evaluated
 
 
 
@@ -53,25 +54,36 @@ def data_indicators(texts: DataFrame, *, words=vocab.DATA_INDICATORS, min_length
     )
 
 
+def with_markup(pages: DataFrame, *keep: str) -> DataFrame:
+    """The named columns and ``m``, the page without comments, script and style contents, made once per page."""
+    kept = [c for c in keep if c in pages.columns]
+    return pages.select(*kept, H.markup(F.col("html")).alias("m"))
+
+
+def unnest(df: DataFrame, array: Column, *names: str) -> DataFrame:
+    """All other columns with position and element of an array, one row per element.
+
+    The outer generator and a filter behind it, because a plain one makes Spark test the size of the array in front
+    of it and so compute a derived array twice.
+    """
+    return df.select("*", F.posexplode_outer(array).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """All links in document order."""
-    return pages.select("page_id", "url", F.posexplode(H.links(F.col("html"))).alias("pos", "link")).select(
-        "page_id", "url", "pos", "link.href", "link.text"
-    )
+    rows = unnest(with_markup(pages, "page_id", "url"), H.links(F.col("m")), "pos", "link")
+    return rows.select("page_id", "url", "pos", "link.href", "link.text")
 
 
 def candidate_links(pages: DataFrame, *, words=vocab.LICENCE_LINK_WORDS, limit: int | None = 10) -> DataFrame:
     """Resolved addresses of licence-related links: distinct, in first-seen order, the first ``limit`` per page."""
-    return pages.select("page_id", F.posexplode(candidate_urls(F.col("url"), F.col("html"), words, limit))).select(
-        "page_id", F.col("pos").alias("rank"), F.col("col").alias("target_url")
-    )
+    found = candidate_urls(F.col("url"), F.col("m"), words, limit)
+    return unnest(with_markup(pages, "page_id", "url"), found, "rank", "target_url").drop("url", "m")
 
 
-def candidate_urls(base: Column, html: Column, words=vocab.LICENCE_LINK_WORDS, limit: int | None = 10) -> Column:
+def candidate_urls(base: Column, m: Column, words=vocab.LICENCE_LINK_WORDS, limit: int | None = 10) -> Column:
     """As :func:`candidate_links`, as one array per page. A page's links never leave its row."""
-    hits = F.filter(
-        H.links(html), lambda e: text.contains_any(F.lower(F.concat(e.text, F.lit("\n"), e.href)), words)
-    )
+    hits = F.filter(H.links(m), lambda e: text.contains_any(F.lower(F.concat(e.text, F.lit("\n"), e.href)), words))
     found = F.array_distinct(F.transform(hits, lambda e: urls.resolve_url(base, e.href)))
     return F.slice(found, 1, limit) if limit else found
 
@@ -79,13 +91,13 @@ def candidate_urls(base: Column, html: Column, words=vocab.LICENCE_LINK_WORDS, l
 def licence_link_listing(pages: DataFrame, *, words=vocab.LISTING_LINK_WORDS, top: int = 5, width: int = 50) -> DataFrame:
     """Number of licence-related links per page and the first ``top`` of them."""
     hits = F.filter(
-        H.links(F.col("html")),
-        lambda e: text.contains_any(F.lower(F.concat(e.href, F.lit(" "), e.text)), words),
+        H.links(F.col("m")), lambda e: text.contains_any(F.lower(F.concat(e.href, F.lit(" "), e.text)), words)
     )
-    shown = F.transform(
-        F.slice(hits, 1, top), lambda e: F.struct(F.substring(e.text, 1, width).alias("text"), e.href.alias("href"))
+    cut = lambda e: F.struct(F.substring(e.text, 1, width).alias("text"), e.href.alias("href"))
+    listed = lambda found: F.struct(
+        F.size(found).alias("n_links"), F.transform(F.slice(found, 1, top), cut).alias("shown")
     )
-    return pages.select("page_id", F.size(hits).alias("n_links"), shown.alias("shown"))
+    return with_markup(pages, "page_id").select("page_id", text.let(hits, listed).alias("l")).select("page_id", "l.*")
 
 
 def _link_score(combined: Column) -> Column:
@@ -107,7 +119,7 @@ def scored_links(pages: DataFrame, *, min_score: int = 2, top: int = 5) -> DataF
     Links are ranked inside their page's row, so no shuffle is needed.
     """
     scored = F.transform(
-        H.links(F.col("html")),
+        H.links(F.col("m")),
         lambda e, i: F.struct(
             (-text.let(F.lower(F.concat(e.href, F.lit(" "), e.text)), _link_score)).alias("order"),
             i.alias("pos"),
@@ -116,7 +128,7 @@ def scored_links(pages: DataFrame, *, min_score: int = 2, top: int = 5) -> DataF
         ),
     )
     best = F.slice(F.array_sort(F.filter(scored, lambda e: e.order <= -min_score)), 1, top)
-    rows = pages.select("page_id", "url", F.posexplode(best).alias("rank", "link"))
+    rows = unnest(with_markup(pages, "page_id", "url"), best, "rank", "link")
     return rows.select(
         "page_id",
         (F.col("rank") + 1).alias("rank"),
@@ -129,20 +141,26 @@ def scored_links(pages: DataFrame, *, min_score: int = 2, top: int = 5) -> DataF
 def structure_counts(pages: DataFrame) -> DataFrame:
     """Forms, inputs of the first three forms, selects of the first two, tables, rows of the first two tables,
     divisions with a class."""
-    m = H.markup(F.col("html"))
-    forms = F.transform(H.pieces(m, H.opening("form")), lambda p: F.regexp_extract(p, r"(?is)^(.*?)(?:</form\s*>|\z)", 1))
-    table_rows = F.transform(
-        F.slice(H.pieces(m, H.opening("table")), 1, 2),
-        lambda p: H.count_matches(F.regexp_extract(p, r"(?is)^(.*?)(?:</table\s*>|\z)", 1), H.opening("tr")),
-    )
-    return pages.select(
-        "page_id",
+    m = F.col("m")
+    rows_of = lambda p: H.count_matches(F.regexp_extract(p, r"(?is)^(.*?)(?:</table\s*>|\z)", 1), H.opening("tr"))
+    inside = lambda forms, n, tag: F.transform(F.slice(forms, 1, n), lambda f: H.count_matches(f, H.opening(tag)))
+    of_forms = lambda forms: F.struct(
         F.size(forms).alias("n_forms"),
-        F.transform(F.slice(forms, 1, 3), lambda f: H.count_matches(f, H.opening("input"))).alias("form_inputs"),
-        F.transform(F.slice(forms, 1, 2), lambda f: H.count_matches(f, H.opening("select"))).alias("form_selects"),
-        H.count_matches(m, H.opening("table")).alias("n_tables"),
-        table_rows.alias("table_rows"),
-        H.count_matches(m, r"(?i)<div\s(?:[^>]*?\s)?class\s*=").alias("n_class_divs"),
+        inside(forms, 3, "input").alias("form_inputs"),
+        inside(forms, 2, "select").alias("form_selects"),
+    )
+    of_tables = lambda tables: F.struct(
+        F.size(tables).alias("n_tables"), F.transform(F.slice(tables, 1, 2), rows_of).alias("table_rows")
+    )
+    return (
+        with_markup(pages, "page_id")
+        .select(
+            "page_id",
+            text.let(H.forms(m), of_forms).alias("f"),
+            text.let(H.pieces(m, H.opening("table")), of_tables).alias("t"),
+            H.count_matches(m, r"(?i)<div\s(?:[^>]*?\s)?class\s*=").alias("n_class_divs"),
+        )
+        .select("page_id", "f.*", "t.*", "n_class_divs")
     )
 
 
@@ -151,24 +169,40 @@ def page_analysis(pages: DataFrame, *, navigation: bool = True) -> DataFrame:
 
     ``navigation=False`` leaves out the menus, the only part that needs the element tree.
     """
-    h = F.col("html")
+    h, m, css = F.col("html"), F.col("m"), F.col("css")
     found = text.contains_any(F.lower(h), vocab.LICENCE_CONTENT_PHRASES)
     if "status" in pages.columns:
         found = F.coalesce(F.col("status") == 200, F.lit(False)) | found
     when = lambda c: F.when(F.col("licence_register_found"), c)
     flag = lambda c: F.coalesce(when(c), F.lit(False))
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
-    out = pages.withColumn("licence_register_found", F.coalesce(found, F.lit(False))).select(
+    # Markup and class attributes are made once and read by all features.
+    staged = pages.select(*keep, "html", F.coalesce(found, F.lit(False)).alias("licence_register_found"))
+    staged = staged.withColumn("m", when(H.markup(h))).withColumn("css", H.class_text(m))
+    return staged.select(
         *keep,
         "licence_register_found",
-        F.coalesce(when(candidate_urls(F.col("url"), h)), F.array().cast("array<string>")).alias("potential_licence_urls"),
-        when(H.website_type(h)).alias("website_type"),
-        flag(H.has_search(h)).alias("search_functionality"),
-        flag(H.has_pagination(h)).alias("pagination_detected"),
-        flag(H.needs_javascript(h)).alias("javascript_required"),
+        F.coalesce(candidate_urls(F.col("url"), m), F.array().cast("array<string>")).alias("potential_licence_urls"),
+        when(H.website_type(css)).alias("website_type"),
+        flag(H.has_search(m)).alias("search_functionality"),
+        flag(H.has_pagination(css, h)).alias("pagination_detected"),
+        flag(H.needs_javascript(css, h)).alias("javascript_required"),
         *([tree.navigation_column(when(h)).alias("navigation_structure")] if navigation else []),
     )
-    return out
+
+
+def page_features(pages: DataFrame) -> DataFrame:
+    """Site type, search, pagination and script need of every page, whether or not a register was found."""
+    h, m, css = F.col("html"), F.col("m"), F.col("css")
+    staged = with_markup(pages, "page_id", "html").withColumn("css", H.class_text(m))
+    return staged.select(
+        "page_id",
+        css.alias("classes"),
+        H.website_type(css).alias("website_type"),
+        H.has_search(m).alias("has_search"),
+        H.has_pagination(css, h).alias("has_pagination"),
+        H.needs_javascript(css, h).alias("needs_javascript"),
+    )
 
 
 def navigation(pages: DataFrame) -> DataFrame:
@@ -181,20 +215,20 @@ def table_rows(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_r
     A table counts when its header mentions a licence word. ``max_rows`` rows are read per table (None: all).
     Pages whose tables are nested go through the element tree, all others through native expressions.
     """
-    h = F.col("html")
-    nested = H.has_nested_table(h)
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
-    found = pages.select(
+    staged = with_markup(pages, *keep).withColumn("nested", H.has_nested_table(F.col("m")))
+    staged = staged.select(
         *keep,
-        F.coalesce(tree.tables_column(F.when(nested, h)), H.flat_tables(F.when(~nested, h))).alias("tables"),
+        tree.tables_column(F.when(F.col("nested"), F.col("m"))).alias("nested_tables"),
+        F.when(~F.col("nested"), F.col("m")).alias("flat"),
     )
+    tables = F.coalesce("nested_tables", H.flat_tables(F.col("flat")))
     rows = F.slice("t.rows", 1, max_rows) if max_rows else F.col("t.rows")
-    return (
-        found.select(*keep, F.posexplode("tables").alias("table_no", "t"))
-        .filter(text.contains_any(F.array_join("t.headers", " "), header_words))
-        .select(*keep, "table_no", "t.headers", F.posexplode(rows).alias("row_no", "cells"))
-        .filter(F.size("cells") >= min_cells)
-    )
+    numbered = F.transform(tables, lambda t, i: F.struct(i.alias("no"), t.headers.alias("headers"), t.rows.alias("rows")))
+    wanted = F.filter(numbered, lambda t: text.contains_any(F.array_join(t.headers, " "), header_words))
+    found = unnest(staged, wanted, "_", "t").select(*keep, F.col("t.no").alias("table_no"), "t.headers", rows.alias("r"))
+    cells = unnest(found, F.col("r"), "row_no", "cells").drop("r")
+    return cells.filter(F.size("cells") >= min_cells)
 
 
 def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS) -> DataFrame:
@@ -202,11 +236,8 @@ def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS) -> DataFrame:
     h = F.col("html")
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
     wanted = F.when(text.contains_any(F.lower(h), words), h)
-    return (
-        pages.select(*keep, tree.cards_column(wanted, words).alias("cards"))
-        .select(*keep, F.explode("cards").alias("card"))
-        .select(*keep, "card.container", "card.item", "card.text")
-    )
+    cards = unnest(pages.select(*keep, tree.cards_column(wanted, words).alias("cards")), F.col("cards"), "_", "card")
+    return cards.select(*keep, "card.container", "card.item", "card.text")
 
 
 def row_record(headers: Column, cells: Column) -> Column:
@@ -238,14 +269,14 @@ def licences_of_rows(rows: DataFrame, *, synonyms=vocab.TABLE_COLUMN_SYNONYMS) -
         F.split(value["licensable_activities"], r"\s*[,;]\s*"), F.array().cast("array<string>")
     )
     out = record.select(*keep, "raw_data", *[c.alias(name) for name, c in value.items()])
-    return out.filter(text.truthy(F.col("premises_name")) & text.truthy(F.col("premises_address")))
+    return evaluated(out).filter(text.truthy(F.col("premises_name")) & text.truthy(F.col("premises_address")))
 
 
 def page_flags(pages: DataFrame) -> DataFrame:
     """Next-page link and usable search form of every page."""
-    h = F.col("html")
-    return pages.select(
-        "page_id", H.has_next_link(h).alias("has_next"), H.has_search_form(h).alias("has_search_form")
+    m = F.col("m")
+    return with_markup(pages, "page_id").select(
+        "page_id", H.has_next_link(m).alias("has_next"), H.has_search_form(m).alias("has_search_form")
     )
 
 

@@ -1,5 +1,7 @@
 """Typed licence rows from the JSON that extraction responses carry inside free text."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,41 +24,37 @@ def array_text(response: Column) -> Column:
 
 def _typed(rows: DataFrame) -> DataFrame:
     """Rows with ``payload`` (JSON object text) -> licence columns and ``reject_reason``."""
-    optional = [c for c in ("council_code", "source_url") if c in rows.columns]
+    carry = [c for c in ("page_id", "item", "council_name", "council_code", "source_url") if c in rows.columns]
     empty = F.array().cast("array<string>")
-    parsed = rows.withColumns(
-        {"f": F.from_json("payload", RESPONSE_OBJECT), "v": F.try_parse_json("payload")}
-    )
-    null_field = F.lit(False)
-    for name in _NOT_NULL:
-        null_field = null_field | F.coalesce(F.is_variant_null(F.try_variant_get("v", f"$.{name}", "variant")), F.lit(False))
-    reason = (
-        F.when(F.col("payload").isNull(), "no JSON found")
-        .when(F.col("v").isNull(), "invalid JSON")
-        .when(null_field, "null in a required field")
-        .when(~(text.truthy(F.col("f.premises_name")) & text.truthy(F.col("f.premises_address"))), "missing name or address")
-    )
-    return parsed.select(
-        "page_id",
-        "item",
-        text.surrogate_id(
-            F.col("council_name"), F.lower("f.premises_name"), F.lower("f.premises_address")
-        ).alias("licence_id"),
-        "council_name",
-        *optional,
-        F.col("f.premises_name").alias("premises_name"),
-        F.col("f.premises_address").alias("premises_address"),
-        F.col("f.postcode").alias("postcode"),
-        text.map_licence_type(F.col("f.licence_type")).alias("licence_type"),
-        text.map_licence_status(F.col("f.licence_status")).alias("licence_status"),
-        text.parse_date(F.col("f.application_date")).alias("application_date"),
-        text.parse_date(F.col("f.granted_date")).alias("granted_date"),
-        F.coalesce("f.licensable_activities", empty).alias("licensable_activities"),
-        F.col("f.licence_holder").alias("designated_premises_supervisor"),
-        F.coalesce("f.conditions", empty).alias("conditions"),
-        F.col("payload").alias("raw_data"),
-        reason.alias("reject_reason"),
-    )
+
+    def reason(f, v):
+        is_null = lambda name: F.coalesce(F.is_variant_null(F.try_variant_get(v, f"$.{name}", "variant")), F.lit(False))
+        return (
+            F.when(F.col("payload").isNull(), "no JSON found")
+            .when(v.isNull(), "invalid JSON")
+            .when(reduce(lambda a, b: a | b, map(is_null, _NOT_NULL)), "null in a required field")
+            .when(~(text.truthy(f.premises_name) & text.truthy(f.premises_address)), "missing name or address")
+        )
+
+    def fields(f):
+        return F.struct(
+            text.surrogate_id(F.col("council_name"), F.lower(f.premises_name), F.lower(f.premises_address)).alias("licence_id"),
+            f.premises_name.alias("premises_name"),
+            f.premises_address.alias("premises_address"),
+            f.postcode.alias("postcode"),
+            text.map_licence_type(f.licence_type).alias("licence_type"),
+            text.map_licence_status(f.licence_status).alias("licence_status"),
+            text.parse_date(f.application_date).alias("application_date"),
+            text.parse_date(f.granted_date).alias("granted_date"),
+            F.coalesce(f.licensable_activities, empty).alias("licensable_activities"),
+            f.licence_holder.alias("designated_premises_supervisor"),
+            F.coalesce(f.conditions, empty).alias("conditions"),
+            text.let(F.try_parse_json("payload"), lambda v: reason(f, v)).alias("reject_reason"),
+        )
+
+    # Each payload is parsed once and all columns are read from the result.
+    parsed = text.let(F.from_json("payload", RESPONSE_OBJECT), fields)
+    return rows.select(*carry, F.col("payload").alias("raw_data"), F.inline_outer(F.array(parsed)))
 
 
 def parse_object_responses(responses: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from licensum.operators.clean import clean_licences, licences_of_results, numbered, quarantined_licences, valid_licences
+from licensum.operators.clean import clean_licences, evaluated, licences_of_results, numbered, quarantined_licences, valid_licences
 from licensum.operators.enrich import enrich_licences
 from licensum.operators.resolve import newest_first, resolve_entities
 
@@ -10,7 +10,7 @@ from licensum.operators.resolve import newest_first, resolve_entities
 def process_licences(raw: DataFrame, *, as_of, keep_supplied_postcode: bool = False) -> DataFrame:
     """Clean, validate, resolve and enrich. One shuffle, by premises, of rows already reduced in the map tasks."""
     cleaned = clean_licences(raw, keep_supplied_postcode=keep_supplied_postcode)
-    return enrich_licences(resolve_entities(valid_licences(cleaned, as_of=as_of)))
+    return enrich_licences(resolve_entities(valid_licences(evaluated(cleaned), as_of=as_of)))
 
 
 def process_results(results: DataFrame, *, as_of, **options) -> DataFrame:
@@ -25,4 +25,4 @@ def presented(licences: DataFrame) -> DataFrame:
 
 def quarantine(raw: DataFrame, *, as_of) -> DataFrame:
     """Rows the validation rejects, with every reason."""
-    return quarantined_licences(clean_licences(raw), as_of=as_of)
+    return quarantined_licences(evaluated(clean_licences(raw)), as_of=as_of)

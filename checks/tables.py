@@ -148,6 +148,7 @@ def _fill(text: str, names: dict) -> str:
     return text.format(**names, **extra)
 
 
+_SPREAD = {"orders", "customer", "pages", "documents", "events"}
 _TABLES = ["orders", "customer", "nation", "pages", "documents", "events", "supplier"]
 _DUCK = {**{t: t for t in _TABLES}, "timestamp": "TIMESTAMP", "list": "list_value"}
 
@@ -157,6 +158,14 @@ def duck(text: str) -> str:
     return _fill(text, {**_DUCK, "councils": _fill(COUNCILS, {**_DUCK, "councils": ""})})
 
 
+def _braced(sql: str, used) -> str:
+    """Double the literal braces of a text for ``spark.sql``, which fills in the named tables."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        sql = sql.replace("{{" + t + "}}", "{" + t + "}")
+    return sql
+
+
 class Tables:
     """The driver's tables of one scale factor and the tables derived from them."""
 
@@ -164,14 +173,20 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table; one that is read in fewer splits than there are cores is spread over all of them.
+
+        A small file is one split and would keep one core busy. Large tables come in enough splits and stay as they are.
+        """
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in _SPREAD and df.rdd.getNumPartitions() < cores else df
 
     def derived(self, text: str) -> DataFrame:
-        names = {t: f"parquet.`{self.folder}/{t}.parquet`" for t in _TABLES}
-        names |= {"timestamp": "TIMESTAMP_NTZ", "list": "array"}
-        councils = _fill(COUNCILS, {**names, "councils": ""})
-        sql = _fill(text, {**names, "councils": councils})
-        return self.spark.sql(sql.replace("array_to_string(", "array_join("))
+        used = [t for t in [*_TABLES, "councils"] if "{" + t + "}" in text]
+        names = {t: "{" + t + "}" for t in used} | {"timestamp": "TIMESTAMP_NTZ", "list": "array"}
+        frames = {t: self.derived(COUNCILS) if t == "councils" else self.table(t) for t in used}
+        sql = _fill(text.replace("({councils})", "{councils}"), {**dict.fromkeys(_TABLES, ""), "councils": "", **names})
+        return self.spark.sql(_braced(sql, used).replace("array_to_string(", "array_join("), **frames)
 
     @property
     def raw(self) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from licensum import vocab
 
-# Unicode whitespace: Java's (?U)\s plus the four separators U+001C..U+001F; as a character list for trimming.
-WS = r"(?U)[\s\x1c-\x1f]"
-WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# Unicode whitespace, and the separators U+001C..U+001F: as a list for trimming and as a pattern. The pattern spells the
+# characters out, which Java matches faster than its Unicode class.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def truthy(c: Column) -> Column:

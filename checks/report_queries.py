@@ -79,13 +79,9 @@ FROM (SELECT count(*) AS a, count(*) FILTER ({WEEK_FLAG}) AS w, count(DISTINCT p
   count(*) FILTER ({WEEK_FLAG} AND risk_score >= 8) AS high_risk_premises FROM enriched)"""
 
 
-def _with_alcohol_hours(df):
-    return df.withColumn("alcohol_hours", F.lit(None).cast("map<string,string>"))
-
-
 @query("a10_weekly_stats", over(STATS))
 def _(t):
-    return R.weekly_stats(_with_alcohol_hours(t.enriched), as_of=AS_OF)
+    return R.weekly_stats(t.enriched, as_of=AS_OF)
 
 
 @query(
@@ -131,7 +127,7 @@ FROM (SELECT council_name, count(*) AS n, min(seq) AS p FROM week GROUP BY 1 ORD
     ),
 )
 def _(t):
-    return R.executive_summary(_with_alcohol_hours(t.enriched), as_of=AS_OF)
+    return R.executive_summary(t.enriched, as_of=AS_OF)
 
 
 def _share(table):
@@ -265,7 +261,7 @@ def _sheets(name, tables):
         return out
 
 
-_sheets("l2_weekly_report", lambda t: reporting.weekly_report(_with_alcohol_hours(t.enriched), as_of=AS_OF))
+_sheets("l2_weekly_report", lambda t: reporting.weekly_report(t.enriched, as_of=AS_OF))
 _sheets("l3_full_report", lambda t: reporting.full_report(t.enriched, as_of=AS_OF))
 _sheets("a1_a6_processing_report", lambda t: reporting.processing_report(t.raw, t.enriched))
 

@@ -107,7 +107,10 @@ def top_councils(licences: DataFrame, *, k: int = 10) -> DataFrame:
 
 
 def weekly_stats(licences: DataFrame, *, as_of) -> DataFrame:
-    """Key figures of the week against all other rows, in one pass."""
+    """Key figures of the week against all other rows, in one pass. Columns of hours may be absent."""
+    has_hours = F.lit(False)
+    for c in {"opening_hours", "alcohol_hours"} & set(licences.columns):
+        has_hours = has_hours | text.filled(F.col(c))
     w = _in_week(as_of)
     in_week = lambda c: F.when(w, c)
     out = licences.agg(
@@ -116,7 +119,7 @@ def weekly_stats(licences: DataFrame, *, as_of) -> DataFrame:
         F.count_distinct(in_week(F.nullif(F.col("postcode"), F.lit("")))).alias("unique_postcodes"),
         F.avg(in_week(F.size(_activities()))).alias("avg_activities"),
         F.count_if(w & text.filled(F.col("conditions"))).alias("premises_with_conditions"),
-        F.count_if(w & (text.filled(F.col("opening_hours")) | text.filled(F.col("alcohol_hours")))).alias("premises_with_hours"),
+        F.count_if(w & has_hours).alias("premises_with_hours"),
         F.avg(in_week(_risk())).alias("avg_risk"),
         F.count_if(w & (_risk() >= 8)).alias("high_risk_premises"),
     )

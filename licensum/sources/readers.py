@@ -54,12 +54,12 @@ def read_page_analyses(spark, path, **kw) -> DataFrame:
     return read_json(spark, path, schemas.PAGE_ANALYSIS, **kw)
 
 
-def read_processed(spark, path) -> tuple[DataFrame, DataFrame]:
+def read_processed(spark, path, **kw) -> tuple[DataFrame, DataFrame]:
     """Licences and summary of processed-data documents ``{summary, licences}``."""
     document = T.StructType(
         [T.StructField("summary", schemas.PROCESSING_SUMMARY), T.StructField("licences", T.ArrayType(schemas.LICENCE_ENRICHED))]
     )
-    df = read_json(spark, path, document)
+    df = read_json(spark, path, document, **kw)
     licences = df.select(F.explode("licences").alias("l")).select("l.*")
     return licences, df.filter("summary IS NOT NULL").select("summary.*")
 

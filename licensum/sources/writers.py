@@ -27,6 +27,11 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def write_json_records(df: DataFrame, path: str) -> None:
+    """Records as JSON lines, with timestamps spelled as the readers expect them."""
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").json(path)
+
+
 def write_run_summary(summary: DataFrame, path: str) -> None:
     """Append a one-row metrics document."""
     summary.write.mode("append").json(path)

@@ -1,6 +1,6 @@
 """Weekly tumbling counts, Monday to Sunday."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The epoch was a Thursday; four days later is a Monday.
@@ -16,3 +16,25 @@ def weekly_counts(rows: DataFrame, time_column: str, *keys: str, delay: str | No
     return counts.select(
         F.col("w.start").cast("timestamp_ntz").alias("week_start"), F.col("w.end").cast("timestamp_ntz").alias("week_end"), *keys, "n"
     )
+
+
+def run_complete(counts: DataFrame, target: str, checkpoint: str) -> None:
+    """Write the whole result table after every batch, each batch to its own folder, and stop when input is read.
+
+    The table holds one row per week and key, so writing it again is cheap; a repeated batch replaces itself.
+    """
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch_id={n}")
+    query = (
+        counts.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest_result(spark: SparkSession, target: str) -> DataFrame:
+    """The result table of the last batch."""
+    batches = spark.read.parquet(target)
+    return batches.filter(F.col("batch_id") == batches.agg(F.max("batch_id")).scalar()).drop("batch_id")

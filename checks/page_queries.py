@@ -11,6 +11,7 @@ from licensum.operators import councils as C
 from licensum.operators import pages as P
 from licensum.operators.resolve import first_per_key
 from licensum.plans import discovery, extraction
+from licensum.session import shared_folder
 
 F3 = f"WITH register_pages AS ({duck(REGISTER_PAGES)})"
 F5 = f"WITH card_pages AS ({duck(CARD_PAGES)})"
@@ -319,11 +320,13 @@ UNION ALL SELECT 'text', (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0)"
 def _(t):
     cards_from = F.col("page_id") + 1000000000
     pages = t.register_pages.unionByName(t.card_pages.withColumn("page_id", cards_from))
-    licences = extraction.table_licences(pages)
-    cards = extraction.card_texts(pages, licences)
-    texts = extraction.free_texts(pages, licences, cards)
-    count = lambda df, step: df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "n")
-    return count(licences, "table").unionAll(count(cards, "card")).unionAll(count(texts, "text"))
+    # Written once, as the three results are read from it.
+    path = f"{shared_folder(t.spark)}/items"
+    extraction.read_pages(pages).write.parquet(path)
+    items = t.spark.read.parquet(path)
+    texts = extraction.items_texts(items).join(items.select("page_id", "step"), "page_id")
+    steps = extraction.items_licences(items).select(F.lit("table").alias("step")).unionAll(texts.select("step"))
+    return steps.groupBy("step").agg(F.count("*").alias("n"))
 
 
 # One page per council address, so that a join to pages by address is a lookup.

@@ -209,26 +209,64 @@ def navigation(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", tree.navigation_column(F.col("html")).alias("navigation_structure"))
 
 
-def table_rows(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = 50, min_cells: int = 3) -> DataFrame:
-    """Rows of register tables: header texts and cell texts of every row with at least ``min_cells`` cells.
+def _with_rows(pages: DataFrame, header_words, max_rows, min_cells) -> DataFrame:
+    """Pages with ``rows``: array<struct<table_no, row_no, headers, cells>> of their register tables.
 
-    A table counts when its header mentions a licence word. ``max_rows`` rows are read per table (None: all).
     Pages whose tables are nested go through the element tree, all others through native expressions.
     """
-    keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
+    keep = [c for c in ("council_name", "page_id", "url", "html") if c in pages.columns]
     staged = with_markup(pages, *keep).withColumn("nested", H.has_nested_table(F.col("m")))
     staged = staged.select(
         *keep,
         tree.tables_column(F.when(F.col("nested"), F.col("m"))).alias("nested_tables"),
         F.when(~F.col("nested"), F.col("m")).alias("flat"),
     )
-    tables = F.coalesce("nested_tables", H.flat_tables(F.col("flat")))
-    rows = F.slice("t.rows", 1, max_rows) if max_rows else F.col("t.rows")
-    numbered = F.transform(tables, lambda t, i: F.struct(i.alias("no"), t.headers.alias("headers"), t.rows.alias("rows")))
-    wanted = F.filter(numbered, lambda t: text.contains_any(F.array_join(t.headers, " "), header_words))
-    found = unnest(staged, wanted, "_", "t").select(*keep, F.col("t.no").alias("table_no"), "t.headers", rows.alias("r"))
-    cells = unnest(found, F.col("r"), "row_no", "cells").drop("r")
-    return cells.filter(F.size("cells") >= min_cells)
+
+    def rows_of(t, no):
+        row = lambda cells, i: F.struct(
+            no.alias("table_no"), i.alias("row_no"), t.headers.alias("headers"), cells.alias("cells")
+        )
+        rows = F.transform(F.slice(t.rows, 1, max_rows) if max_rows else t.rows, row)
+        wanted = text.contains_any(F.array_join(t.headers, " "), header_words)
+        return F.when(wanted, F.filter(rows, lambda r: F.size(r.cells) >= min_cells))
+
+    tables = F.transform(F.coalesce("nested_tables", H.flat_tables(F.col("flat"))), rows_of)
+    return staged.select(*keep, F.flatten(F.filter(tables, lambda t: t.isNotNull())).alias("rows"))
+
+
+def table_rows(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = 50, min_cells: int = 3) -> DataFrame:
+    """Rows of register tables: header texts and cell texts of every row with at least ``min_cells`` cells.
+
+    A table counts when its header mentions a licence word. ``max_rows`` rows are read per table (None: all).
+    """
+    found = _with_rows(pages, header_words, max_rows, min_cells).drop("html")
+    return rows_of_items(found)
+
+
+def rows_of_items(items: DataFrame) -> DataFrame:
+    """One line per table row of pages with ``rows``."""
+    keep = [c for c in ("council_name", "page_id", "url") if c in items.columns]
+    return unnest(items.select(*keep, "rows"), F.col("rows"), "_", "r").select(*keep, "r.*")
+
+
+def page_items(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = 50, card_words=vocab.CARD_CLASS_WORDS, text_limit: int = 8000) -> DataFrame:
+    """What every page offers, in one pass and without a shuffle.
+
+    ``rows`` of its register tables; only when none of them holds a licence, the ``cards``; only without those, the
+    visible ``text``, cut at ``text_limit`` for a reader with a limit. ``step`` names the one that applies.
+    """
+    keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
+    h = F.col("html")
+    usable = F.exists("rows", lambda r: text.let(row_record(r.headers, r.cells), _is_licence))
+    staged = _with_rows(pages, header_words, max_rows, 3).withColumn("usable", usable)
+    wanted = F.when(~F.col("usable") & text.contains_any(F.lower(h), card_words), h)
+    staged = evaluated(evaluated(staged).withColumn("cards", tree.cards_column(wanted, card_words)))
+    step = F.when(F.col("usable"), "table").when(text.filled(F.col("cards")), "card").otherwise("text")
+    visible = F.when(step == "text", H.visible_text(h))
+    return staged.select(
+        *keep, step.alias("step"), F.when(F.col("usable"), F.col("rows")).alias("rows"), "cards",
+        text.let(visible, lambda x: text.truncate(x, text_limit)).alias("text"),
+    )
 
 
 def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS) -> DataFrame:
@@ -255,12 +293,21 @@ def row_record(headers: Column, cells: Column) -> Column:
     return text.let(pairs, last_wins)
 
 
+def _pick(record: Column, names) -> Column:
+    """First of the named entries that is there and not empty."""
+    return F.coalesce(*[F.nullif(F.try_element_at(record, F.lit(n)), F.lit("")) for n in names])
+
+
+def _is_licence(record: Column) -> Column:
+    synonyms = dict(vocab.TABLE_COLUMN_SYNONYMS)
+    return _pick(record, synonyms["premises_name"]).isNotNull() & _pick(record, synonyms["premises_address"]).isNotNull()
+
+
 def licences_of_rows(rows: DataFrame, *, synonyms=vocab.TABLE_COLUMN_SYNONYMS) -> DataFrame:
     """Licence columns of table rows, found by their header; rows without a name or an address are left out."""
     keep = [c for c in ("council_name", "page_id", "url", "table_no", "row_no") if c in rows.columns]
     record = rows.select(*keep, row_record(F.col("headers"), F.col("cells")).alias("r"), F.array_join("cells", " | ").alias("raw_data"))
-    pick = lambda names: F.coalesce(*[F.nullif(F.try_element_at("r", F.lit(n)), F.lit("")) for n in names])
-    value = {column: pick(names) for column, names in synonyms}
+    value = {column: _pick(F.col("r"), names) for column, names in synonyms}
     dates = ("application_date", "granted_date")
     value.update({c: text.parse_date(value[c]) for c in dates if c in value})
     value["licence_type"] = text.map_licence_type(value["licence_type"])

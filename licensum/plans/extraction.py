@@ -15,16 +15,20 @@ def table_licences(pages: DataFrame) -> DataFrame:
     return P.licences_of_rows(P.table_rows(pages))
 
 
-def card_texts(pages: DataFrame, licences: DataFrame) -> DataFrame:
-    """Second step of the cascade: card texts of the pages that gave no table licence."""
-    return P.card_texts(pages.join(licences.select("page_id").distinct(), "page_id", "left_anti"))
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Tables, else cards, else text of every page; to be stored once and read by all later steps."""
+    return P.page_items(P.readable_pages(pages))
 
 
-def free_texts(pages: DataFrame, licences: DataFrame, cards: DataFrame) -> DataFrame:
-    """Last step of the cascade: visible text of the pages that gave neither, cut for a reader with a limit."""
-    used = licences.select("page_id").union(cards.select("page_id")).distinct()
-    texts = P.visible_text(pages.join(used, "page_id", "left_anti"))
-    return texts.withColumn("text", text.truncate(F.col("text"), 8000))
+def items_licences(items: DataFrame) -> DataFrame:
+    """Licences of the table rows in stored page items."""
+    return P.licences_of_rows(P.rows_of_items(items.filter("step = 'table'")))
+
+
+def items_texts(items: DataFrame) -> DataFrame:
+    """Texts that still need a reader: card by card, or the page text; ``(page_id, item, text)``."""
+    texts = F.when(F.col("step") == "card", F.transform("cards", lambda c: c.text)).otherwise(F.array("text"))
+    return P.unnest(items.filter("step <> 'table'").select("page_id", texts.alias("texts")), F.col("texts"), "item", "text").drop("texts")
 
 
 def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, extra_pages: int = 5) -> DataFrame:

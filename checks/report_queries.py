@@ -324,7 +324,7 @@ def _(t):
     f"""WITH {COUNCIL_CTE} SELECT *, CASE WHEN age > 168 THEN 'Data is over 1 week old, consider running incremental update' ELSE '' END AS recommendations,
   CASE WHEN age > 168 THEN 'unhealthy' ELSE 'degraded' END AS system_status, age AS latest_data_age_hours FROM (
   SELECT count(*) AS councils_discovered, count(*) FILTER (last_scraped > {S.AS_OF} - INTERVAL 7 DAY) AS recently_scraped_councils,
-  (SELECT count(*) FROM events) AS processed_data_files, (SELECT epoch_us(TIMESTAMP '2024-02-10 00:00:00') - epoch_us(max(ts)) FROM events) / 3600000000 AS age FROM councils)""".replace(
+  (SELECT count(*) FROM events) AS processed_data_files, (SELECT epoch_us(TIMESTAMP '2024-02-10 00:00:00') - epoch_us(max(ts)) FROM events) / 1000000 / 3600 AS age FROM councils)""".replace(
         "SELECT *, CASE", "SELECT councils_discovered, recently_scraped_councils, processed_data_files, CASE"
     ).replace(S.AS_OF, "TIMESTAMP '2024-02-10 00:00:00'"),
 )

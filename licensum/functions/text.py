@@ -189,6 +189,17 @@ def week_end(as_of) -> Column:
     return week_start(as_of) + F.expr("INTERVAL 7 DAYS")
 
 
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from one zoneless timestamp to another; no session time zone is involved."""
+    gap = end - start
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    return ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60 + part("SECOND").cast("double")
+
+
+def whole_days_between(start: Column, end: Column) -> Column:
+    return F.extract(F.lit("DAY"), end - start).cast("bigint")
+
+
 def map_licence_type(c: Column, phrases=vocab.LICENCE_TYPE_PHRASES) -> Column:
     return first_contained(F.lower(F.coalesce(c, F.lit(""))), phrases, "new")
 

@@ -10,8 +10,6 @@ from licensum import vocab
 from licensum.functions import text
 from licensum.operators import facets as X
 
-SECONDS_PER_DAY = 86400
-
 
 def _kind() -> Column:
     return F.coalesce("business_type", F.lit("Unknown"))
@@ -65,10 +63,8 @@ def date_range(licences: DataFrame) -> DataFrame:
     """Earliest and latest granted or application date and the whole days between; no row without dates."""
     when = text.effective_date(F.col("granted_date"), F.col("application_date"))
     out = licences.agg(F.min(when).alias("earliest"), F.max(when).alias("latest"))
-    seconds = F.unix_micros(F.col("latest").cast("timestamp")) - F.unix_micros(F.col("earliest").cast("timestamp"))
-    return out.filter(F.col("earliest").isNotNull()).withColumn(
-        "span_days", F.floor(seconds / F.lit(SECONDS_PER_DAY * 1000000)).cast("bigint")
-    )
+    days = text.whole_days_between(F.col("earliest"), F.col("latest"))
+    return out.filter(F.col("earliest").isNotNull()).withColumn("span_days", days)
 
 
 def activity_counts(licences: DataFrame, *, k: int | None = 10) -> DataFrame:

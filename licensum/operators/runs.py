@@ -56,7 +56,7 @@ def run_summary(
         extraction_metrics(results),
         quality_metrics(licences),
     ]
-    seconds = F.timestamp_diff("MICROSECOND", text.as_ntz(started), text.as_ntz(ended)) / 1000000
+    seconds = text.seconds_between(text.as_ntz(started), text.as_ntz(ended))
     out = parts[0].select(
         F.lit(run_type).alias("run_type"),
         text.as_ntz(started).alias("start_time"),
@@ -73,7 +73,7 @@ def run_summary(
 
 def step_summary(step: str, metrics: DataFrame, *, started, ended) -> DataFrame:
     """The metrics of a single step with its name and duration."""
-    seconds = F.timestamp_diff("MICROSECOND", text.as_ntz(started), text.as_ntz(ended)) / 1000000
+    seconds = text.seconds_between(text.as_ntz(started), text.as_ntz(ended))
     return metrics.select(F.lit(step).alias("step"), text.as_ntz(started).alias("start_time"), seconds.alias("duration"), "*")
 
 
@@ -97,7 +97,7 @@ def data_health(councils: DataFrame, snapshots: DataFrame, components: DataFrame
     row = c
     for part in (s, k):
         row = row.withColumn("_r", part.select(F.struct("*")).scalar()).select(*row.columns, "_r.*")
-    age = F.timestamp_diff("MICROSECOND", F.col("latest"), now) / 3600000000
+    age = text.seconds_between(F.col("latest"), now) / 3600
     row = row.withColumn("latest_data_age_hours", age)
     advice = F.array(
         F.when(F.col("components_missing") > 0, "Create missing directories"),

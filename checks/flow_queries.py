@@ -8,6 +8,7 @@ from checks.registry import query
 from checks.report_queries import COUNCIL_ANALYSIS, COUNCIL_CTE
 from checks.tables import AS_OF
 from licensum import schemas
+from licensum.functions import text
 from licensum.operators import clean
 from licensum.plans import reporting, runs
 from licensum.session import shared_folder
@@ -27,7 +28,7 @@ def _nested_results(t):
         F.size("licences_extracted").alias("licences_found"),
         "licences_extracted",
         F.lit(1.5).alias("scraping_duration"),
-        F.lit(AS_OF).cast("timestamp_ntz").alias("scraped_at"),
+        text.as_ntz(AS_OF).alias("scraped_at"),
     )
 
 

@@ -175,8 +175,8 @@ def effective_date(granted: Column, applied: Column, scraped: Column = None) ->
 
 
 def as_ntz(as_of) -> Column:
-    """A literal or Column as timestamp without time zone."""
-    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz")
+    """A date, datetime, text or Column as timestamp without time zone; a datetime keeps its clock time."""
+    return (as_of if isinstance(as_of, Column) else F.lit(str(as_of))).cast("timestamp_ntz")
 
 
 def week_start(as_of) -> Column:

@@ -1,5 +1,6 @@
 """Session settings the jobs rely on."""
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; a local one only where none is set, as in tests."""
+    """A new folder below the shared one that spark.checkpoint.dir names.
+
+    On a cluster the setting is required, since executors do not see each other's disks; a local session has one disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="licensum-")
+    if base:
+        return f"{base.rstrip('/')}/licensum-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
-    return f"{base.rstrip('/')}/licensum-{uuid.uuid4().hex}"
+    return f"{tempfile.mkdtemp(prefix='licensum-')}/table"

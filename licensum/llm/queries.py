@@ -1,9 +1,10 @@
 """The queries over the operators of this subpackage, and the SQL of those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from licensum.llm import exact_dedup, simhash
+from licensum.llm import bpe, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, simhash, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,6 +29,49 @@ def op2(spark, folder):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op3_language_id")
+def op3(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"))
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query("op4_url_filter")
+def op4(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op5_quality_rules")
+def op5(spark, folder):
+    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
+@query("op6_hilbert_shards")
+def op6(spark, folder):
+    placed = hilbert_shards.assign(table(spark, folder, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query("op7_bpe_round_trip")
+def op7(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents"), path=path), path=path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op8_entropy_mixing")
+def op8(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+
+
+@query("op9_lm_scores")
+def op9(spark, folder):
+    return maxent_lm.score(table(spark, folder, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(
     "op10_exact_dedup",
     r"""

@@ -89,8 +89,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothi
     """
     slim = docs.select(F.col("doc_id"), F.col("text"))
     weights = log_ratios(slim, trusted_ids(labels, trusted), buckets=buckets, smoothing=smoothing).scalar()
-    total = let(weights, lambda w: F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(w, b.cast("int"))))
     rows = counts(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")))
-    rows = rows.withColumn("features", features(F.col("text"), buckets))
+    rows = rows.withColumn("features", features(F.col("text"), buckets)).withColumn("weights", weights)
+    total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(F.col("weights"), b.cast("int")))
     rows = rows.withColumn("ratio", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("text", "features")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("text", "features", "weights")

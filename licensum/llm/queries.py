@@ -1,10 +1,12 @@
 """The queries over the operators of this subpackage, and the SQL of those that SQL can express."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from licensum.llm import bpe, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, simhash, url_filter
+from licensum.llm import bpe, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, range_coder, simhash, url_filter
+from licensum.session import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,6 +25,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_range_coded_ids")
+def op1(spark, folder):
+    path = shared_folder(spark)
+    range_coder.write(table(spark, folder, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end=2)
+    docs = range_coder.read(spark, path).select("shard", "frame", "before", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return docs.join(range_coder.frame_starts(spark, path), ["shard", "frame"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark, folder):
     found = simhash.simhash_components(table(spark, folder, "documents"))
@@ -88,3 +98,8 @@ def op10(spark, folder):
     digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
     judged = exact_dedup.exact_dedup(docs.select("doc_id", "text", digest.alias("text_sha256")), keep_columns=["doc_id", "text_sha256"])
     return judged.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

@@ -204,6 +204,69 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET, pick=
         rows = stored(tables.join(sizes.filter(F.col("n") > bucket), ["path", "key"]).select("path", "fp"))
 
 
+# --- near duplicates by shingles ------------------------------------------------------------------------------------
+
+WORDS, SIMILARITY, WIDE, SKETCH = 5, 0.8, 5, 200
+
+
+def text_sketch(text: bytes, shingle: int, size: int) -> bytes:
+    """The ``size`` smallest different hashes of the text's shingles; all of them if there are fewer."""
+    hashes = np.fromiter((xxhash.xxh32_intdigest(x) for x in _shingles(text.lower().split(), shingle)), np.uint32)
+    return np.unique(hashes)[:size].tobytes()
+
+
+def likeness(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of the shingles of two texts by their sketches: exact where both sketches hold all hashes."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    union, seen = np.unique(np.concatenate([x, y]), return_counts=True)
+    complete = len(x) < size and len(y) < size
+    seen = seen if complete else seen[:size]
+    return float((seen == 2).mean()) if len(union) else 0.0
+
+
+def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE, sketch: int = SKETCH) -> DataFrame:
+    """(place, keeper) for every row of ``rows`` (place, doc_id, text) that has near duplicates; place numbers the rows.
+
+    Texts are near duplicates if the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more.
+    Candidates are neighbours by covering hashing, within ``radius`` bits, of SimHash fingerprints of single words with
+    damped counts, which differ little between texts with few changed words. Each candidate link is then verified by
+    sketches of the shingles: exact up to ``sketch`` shingles, beyond that within a few hundredths. Linked texts are
+    a group, and keeper is its row with the smallest doc_id, then place. Texts without words have no duplicates here.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, 2):
+                texts = raw(part.column(2))
+                fp = text_fingerprints(texts, 1, True).view(np.int64)
+                sketches = [text_sketch(t, shingle, sketch) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(sketches, pa.binary())], ["place", "doc_id", "fp", "sketch"])
+
+    texts = stored(rows.select("place", "doc_id", "text").mapInArrow(run, "place long, doc_id long, fp long, sketch binary"))
+    sketches = texts.select("place", "sketch")
+    first = texts.groupBy("fp").agg(F.min("place").alias("first"))
+    same = texts.select("place", "fp").join(first, "fp").filter("place > first").selectExpr("place AS a", "first AS b")
+    near = links(first.select("fp"), radius=radius, pick=bucket_neighbours)
+    near = near.join(first.selectExpr("fp AS a", "first AS x"), "a").join(first.selectExpr("fp AS b", "first AS y"), "b").selectExpr("x AS a", "y AS b")
+
+    def verify(batches):
+        for batch in batches:
+            keep = [likeness(x, y, sketch) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = stored(same.unionAll(near)).join(sketches.selectExpr("place AS a", "sketch AS s"), "a").join(sketches.selectExpr("place AS b", "sketch AS t"), "b")
+    roots = stored(connected(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")))
+    keepers = roots.join(texts.selectExpr("place AS node", "doc_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
+    return roots.join(keepers, "root").selectExpr("node AS place", "best.node AS keeper")
+
+
+def drop_near_duplicates(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without all but one of each group of near duplicates."""
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("place")))
+    groups = near_duplicates(rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")), **limits)
+    return rows.join(groups.filter("place <> keeper").select("place"), "place", "left_anti").select("row.*")
+
+
 def simhash_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 

@@ -3,23 +3,24 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from licensum.llm.common import let, words
+from licensum.llm.common import SPACES, let, words
 
 BUCKETS, SMOOTHING, TRUSTED, THRESHOLD = 16384, 1.0, 20_000, -0.5
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def shapes(text: Column) -> Column:
-    """The words with letters and digits reduced to their kind: ``Don't!! 1,000`` is ``Aa'a!! 0,0``."""
-    for pattern, kind in (("\\p{Ll}+", "a"), ("\\p{Lu}+", "A"), ("\\p{N}+", "0")):
-        text = F.regexp_replace(text, pattern, kind)
-    return words(text)
+    """The words with letters and digits reduced to their kind: ``Don't!! 1,000`` is ``Aa'a!! A,A``."""
+    return words(F.regexp_replace(F.regexp_replace(text, "\\p{Ll}+", "a"), "[\\p{Lu}\\p{N}]+", "A"))
 
 
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     """How many words lie in runs of ``window`` words that a text has twice or more, the first run included."""
-    starts = F.when(F.size(hashes) >= window, F.transform(F.slice(hashes, 1, F.size(hashes) - (window - 1)), lambda x, i: F.xxhash64(x, *(F.get(hashes, i + k) for k in range(1, window)))))
+    # Bound inside the expression: a column could be computed anew for every element.
+    runs_of = lambda h: F.transform(F.slice(h, 1, F.size(h) - (window - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, window))))
+    starts = let(hashes, lambda h: F.when(F.size(h) >= window, runs_of(h)))
 
     def covered(runs):
         placed = F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -32,29 +33,29 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with a column ``text``."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows of ``text`` and ``hashes``."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    rows = rows.withColumn("words", words(text)).withColumn("hashes", hashes)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     rows = rows.withColumns(
         {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
+            "n_words": F.size("hashes").cast("long"),
+            "word_chars": without("[\\x20\\x09-\\x0D]+").cast("long"),
+            "n_symbols": (F.length(text) - without(SYMBOLS)).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(F.col("hashes")).cast("long"),
         }
     )
-    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("words", "hashes")
+    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def features(text: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket numbers of the text's lower-cased words and of its pairs of word shapes."""
-    text = F.coalesce(text, F.lit(""))
-    single = F.transform(words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-    pairs = let(shapes(text), lambda s: F.transform(s, lambda x, i: F.pmod(F.xxhash64(F.coalesce(F.get(s, i - 1), F.lit("")), x), F.lit(buckets))))
-    return F.concat(single, pairs)
+def features(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``hashes`` of the words of ``text``, and ``features``: bucket numbers of the words and of pairs of word shapes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumn("hashes", F.transform(words(text), lambda w: F.xxhash64(w)))
+    single = F.transform("hashes", lambda h: F.pmod(h, F.lit(buckets)))
+    pairs = let(shapes(text), lambda s: F.transform(s, lambda x, i: F.pmod(F.xxhash64(F.get(s, i - 1), x), F.lit(buckets))))
+    return rows.withColumn("features", F.concat(single, pairs))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -70,7 +71,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, s
     Without trusted documents all weights are 0.
     """
     marked = docs.join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
-    ngrams = marked.select(F.coalesce("good", F.lit(False)).cast("int").alias("good"), F.explode(features(F.col("text"), buckets)).alias("bucket"))
+    ngrams = features(marked, buckets).select(F.coalesce("good", F.lit(False)).cast("int").alias("good"), F.explode("features").alias("bucket"))
     each = ngrams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     filled = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(each, "bucket", "left").fillna(0)
     rows = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("rows"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
@@ -89,8 +90,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothi
     """
     slim = docs.select(F.col("doc_id"), F.col("text"))
     weights = log_ratios(slim, trusted_ids(labels, trusted), buckets=buckets, smoothing=smoothing).scalar()
-    rows = counts(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")))
-    rows = rows.withColumn("features", features(F.col("text"), buckets)).withColumn("weights", weights)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    rows = counts(features(rows, buckets)).withColumn("weights", weights)
     total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(F.col("weights"), b.cast("int")))
     rows = rows.withColumn("ratio", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).drop("text", "features", "weights")
+    kept = ~F.col("base_failed") & (F.col("ratio") >= threshold)
+    # Behind a generator, so that a later filter on kept is not moved down to repeat all that it depends on.
+    rows = rows.withColumn("kept", kept)
+    # Behind a generator, so that a later filter on kept is not moved down to repeat all that it depends on.
+    return rows.select("row", *COUNTS, "base_failed", "ratio", F.explode(F.array("kept")).alias("kept"))

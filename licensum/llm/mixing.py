@@ -8,6 +8,7 @@ from licensum.llm.common import stored, words
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 UNIT = 1 << 26
 STEPS, PRECISION = 60, 1e-9
+REPAIRS, NEAR = 8, 0.002
 
 
 def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -66,8 +67,9 @@ def mix(docs: DataFrame, *, columns: list[str] | None = None, id_column: str = "
 
     size counts words. Rates come from entropy balancing; they are rounded into copies by one running sum over each
     source in the order of size, so that a document is counted when the sum passes a whole number: the words taken then
-    differ from the target by the largest document at most. Two more steps then change the copies of one document in
-    each source, the one whose size is nearest to what is left over, if that brings it nearer. Everything is decided by
+    differ from the target by the largest document at most. Up to ``REPAIRS`` more steps, as long as a source is farther
+    than ``NEAR`` from its target, change the copies of one document in each source, the one whose size is nearest to
+    what is left over, if that brings it nearer. Everything is decided by
     sizes and ids, so reruns agree. The running sums are sums over the partitions of a sort and over their totals, so a
     source with most of the rows is spread. NULL is a source; NULL and blank texts have size 0 and one copy.
     """
@@ -89,8 +91,10 @@ def mix(docs: DataFrame, *, columns: list[str] | None = None, id_column: str = "
     running = ordered.join(before, F.expr("part = in_part AND source <=> of")).selectExpr("*", "before + sum(part_of) OVER (PARTITION BY part, source ORDER BY at) AS upto")
     rounded = stored(running.selectExpr("place", "source", "size", "source_size", "target", "rate", f"upto DIV {UNIT} - (upto - part_of) DIV {UNIT} AS copies"))
 
-    for _ in range(2):
-        left = rounded.groupBy("source").agg(F.expr("max(target) - sum(copies * size)").alias("left")).withColumnsRenamed({"source": "of"})
+    for _ in range(REPAIRS):
+        left = stored(rounded.groupBy("source").agg(F.expr("max(target) - sum(copies * size)").alias("left"), F.max("target").alias("of_target")).withColumnsRenamed({"source": "of"}))
+        if (left.filter("of_target > 0").agg(F.max(F.expr("abs(left) / of_target"))).first()[0] or 0) <= NEAR:
+            break
         near = rounded.filter("size > 0").join(left, F.expr("source <=> of")).filter(f"IF(left > 0, copies < {most}, copies > 0) AND abs(abs(left) - size) < abs(left)")
         change = near.groupBy("source").agg(F.expr("min(struct(abs(abs(left) - size) AS off, place, CAST(signum(left) AS BIGINT) AS by))").alias("best")).selectExpr("best.place AS place", "best.by AS by")
         rounded = stored(rounded.join(change, "place", "left").selectExpr("place", "source", "size", "source_size", "target", "rate", "copies + coalesce(by, 0) AS copies"))

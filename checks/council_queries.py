@@ -48,7 +48,7 @@ def _(t):
 
 
 _ITEMS = _fields(
-    """SELECT page_id, council_name, unnest(js[1:20]) AS j, CAST(generate_subscripts(js[1:20], 1) - 1 AS INTEGER) AS item FROM (
+    """SELECT page_id, council_name, unnest(js) AS j, CAST(generate_subscripts(js, 1) - 1 AS INTEGER) AS item FROM (
   SELECT page_id, council_name, CAST(json_extract(x, '$[*]') AS JSON[]) AS js FROM (
     SELECT page_id, council_name, regexp_extract(response, '(?s)\\[.*\\]') AS x FROM lists) WHERE json_valid(x))"""
 )
@@ -63,6 +63,15 @@ def _(t):
     return out.select("page_id", "item", "premises_name", "premises_address", "licence_status")
 
 
+@query(
+    "p2_rejected_responses",
+    f"WITH lists AS ({duck(LIST_RESPONSES)}) SELECT page_id, 'no JSON found' AS reject_reason FROM (SELECT page_id, regexp_extract(response, '(?s)\\[.*\\]') AS x FROM lists) WHERE NOT json_valid(x)",
+)
+def _(t):
+    out = R.rejected(R.parse_array_responses(t.list_responses))
+    return out.filter("item IS NULL").select("page_id", "reject_reason")
+
+
 @query("p3_parse_analysis_notes", f"WITH {RESP} SELECT page_id, json_extract_string(regexp_extract(response, '(?s)\\{{.*\\}}'), '$.licence_status') AS status FROM responses")
 def _(t):
     return R.parse_analysis_notes(t.responses).select("page_id", F.try_variant_get("analysis", "$.licence_status", "string").alias("status"))
@@ -251,12 +260,12 @@ def _(t):
 _RECENT = f"scrape_successful AND last_scraped > {ASOF} - INTERVAL 30 DAY"
 
 
-@query("k10_recently_successful", f"WITH {COUNCIL_CTE} SELECT seq FROM councils WHERE {_RECENT} ORDER BY seq LIMIT 50")
+@query("k10_recently_successful", f"WITH {COUNCIL_CTE} SELECT seq FROM councils WHERE {_RECENT}")
 def _(t):
     return C.recently_successful(t.councils, as_of=AS_OF).select("seq")
 
 
-@query("k10_recently_successful_fallback", f"WITH {COUNCIL_CTE} SELECT seq FROM councils WHERE scrape_successful AND coalesce(licence_register_url, '') <> '' ORDER BY seq LIMIT 50")
+@query("k10_recently_successful_fallback", f"WITH {COUNCIL_CTE} SELECT seq FROM councils WHERE scrape_successful AND coalesce(licence_register_url, '') <> ''")
 def _(t):
     from datetime import datetime
 

@@ -15,7 +15,7 @@ TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
 # Comments, and the inner text of scripts and styles (group 1 keeps their opening tag).
 HIDDEN = rf"(?is){COMMENT}|(<script(?:[\s/][^>]*)?>).*?(?:</script\s*>|\z)|(<style(?:[\s/][^>]*)?>).*?(?:</style\s*>|\z)"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-CLASS_ATTR = r"""(?i)<[a-z][^>]*?\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+CLASS_ATTR = r"""(?i)<[a-z][^<>]*?\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def dropped_element(tag: str) -> str:
@@ -62,8 +62,30 @@ def decode_entities(c: Column, entities=vocab.HTML_ENTITIES) -> Column:
     return let(c, lambda x: F.when(x.contains("&"), join(x)).otherwise(x))
 
 
+HELD = "\uffff"
+
+
+def _held(c: Column, body) -> Column:
+    """``body`` of a page whose last, unclosed tags cannot start a match.
+
+    Behind the last ``>`` no tag can end, and each ``<`` there would be followed to the end of the page in vain; it is
+    held as a character that no text has. A comment that is not closed still hides all that follows. Everywhere else a
+    ``<`` finds its ``>``, and the match takes all between.
+    """
+    open_comment = lambda t: F.when(t.contains("<!--"), F.lit("<!--")).otherwise(F.lit(""))
+    guarded = lambda t: F.concat(F.translate(F.substring_index(t, "<!--", 1), "<", HELD), open_comment(t))
+    safe = lambda x, t: F.concat(x.substr(F.lit(1), F.length(x) - F.length(t)), guarded(t))
+    page = lambda x, t: F.when(t.contains("<"), safe(x, t)).otherwise(x)
+    return let(c, lambda x: let(let(F.substring_index(x, ">", -1), lambda t: page(x, t)), body))
+
+
+def parts(c: Column, pattern: str) -> Column:
+    """What the matches of a tag pattern separate."""
+    return _held(c, lambda x: F.transform(F.split(x, pattern), lambda p: F.translate(p, HELD, "<")))
+
+
 def _nodes(c: Column, pattern: str) -> Column:
-    nodes = F.transform(F.split(c, pattern), lambda x: strip(decode_entities(x)))
+    nodes = F.transform(parts(c, pattern), lambda x: strip(decode_entities(x)))
     return F.filter(nodes, lambda x: x != "")
 
 
@@ -74,14 +96,14 @@ def visible_text(html: Column, drop_tags=vocab.BOILERPLATE_TAGS) -> Column:
 
 def line_text(html: Column, drop_tags=("script", "style")) -> Column:
     """Text outside scripts and styles, split into lines, stripped, without blank lines, joined by one space."""
-    text = decode_entities(F.array_join(F.split(html, text_break(drop_tags)), ""))
+    text = decode_entities(F.array_join(parts(html, text_break(drop_tags)), ""))
     lines = F.transform(F.split(text, LINE_BREAK), strip)
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def page_text(html: Column) -> Column:
     """Text nodes outside scripts and styles, joined as they are."""
-    return decode_entities(F.array_join(F.split(html, text_break(("script", "style"))), ""))
+    return decode_entities(F.array_join(parts(html, text_break(("script", "style"))), ""))
 
 
 def inner_text(fragment: Column) -> Column:
@@ -92,7 +114,7 @@ def inner_text(fragment: Column) -> Column:
 
 def markup(html: Column) -> Column:
     """The page without comments and without the contents of scripts and styles."""
-    return F.regexp_replace(html, HIDDEN, "$1$2")
+    return _held(html, lambda x: F.translate(F.regexp_replace(x, HIDDEN, "$1$2"), HELD, "<"))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -162,9 +184,9 @@ def website_type(css: Column) -> Column:
 
 def has_search(m: Column) -> Column:
     """A form, input or button with a search class, a search input, or a placeholder that mentions search."""
-    css = r"""(?i)<(?:form|input|button)\s(?:[^>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
-    kind = r"""(?i:<input\s(?:[^>]*?\s)?type\s*=\s*)(?:"search"|'search'|search[\s/>])"""
-    hint = r"""(?i)<input\s(?:[^>]*?\s)?placeholder\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
+    css = r"""(?i)<(?:form|input|button)\s(?:[^<>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
+    kind = r"""(?i:<input\s(?:[^<>]*?\s)?type\s*=\s*)(?:"search"|'search'|search[\s/>])"""
+    hint = r"""(?i)<input\s(?:[^<>]*?\s)?placeholder\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
     return m.rlike(css) | m.rlike(kind) | m.rlike(hint)
 
 
@@ -184,15 +206,15 @@ def needs_javascript(css: Column, html: Column) -> Column:
 
 def has_next_link(m: Column) -> Column:
     """A link that says Next or has a next class, or an input whose value is Next."""
-    button = r"""(?i:<input\s(?:[^>]*?\s)?value\s*=\s*)(?:"Next"|'Next'|Next[\s/>])"""
+    button = r"""(?i:<input\s(?:[^<>]*?\s)?value\s*=\s*)(?:"Next"|'Next'|Next[\s/>])"""
     return m.rlike(button) | F.exists(links(m), lambda e: e.text.contains("Next") | e.css.contains("next"))
 
 
 def has_search_form(m: Column, words=vocab.SEARCH_FORM_WORDS) -> Column:
     """A form whose text mentions a search word and that has a submit control."""
     submit = (
-        r"""(?i)<(?:input|button)\s(?:[^>]*?\s)?type\s*=\s*["']?submit"""
-        r"""|<button\s(?:[^>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
+        r"""(?i)<(?:input|button)\s(?:[^<>]*?\s)?type\s*=\s*["']?submit"""
+        r"""|<button\s(?:[^<>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
     )
     usable = lambda form: form.rlike(submit) & contains_any(F.lower(inner_text(form)), words)
     return F.exists(forms(m), usable)

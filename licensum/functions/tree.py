@@ -4,6 +4,7 @@ A small standard-library parser runs once per page inside an Arrow-batched panda
 the columns passed in are NULL for pages that do not need the tree, so those cost nothing here.
 """
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,6 +17,17 @@ from licensum.schemas import NAVIGATION
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNREAD = frozenset(("script", "style", "template"))
+# A sibling's start ends an element whose end tag was left out: which open elements it ends, and where the search stops.
+CELLS, LISTS = frozenset(("td", "th")), frozenset(("ul", "ol", "menu"))
+ENDED_BY = {
+    "td": (CELLS, frozenset(("tr", "table"))),
+    "th": (CELLS, frozenset(("tr", "table"))),
+    "tr": (CELLS | {"tr"}, frozenset(("table",))),
+    "tbody": (CELLS | {"tr", "thead", "tbody"}, frozenset(("table",))),
+    "tfoot": (CELLS | {"tr", "thead", "tbody"}, frozenset(("table",))),
+    "li": (frozenset(("li",)), LISTS),
+    "p": (frozenset(("p",)), CELLS | LISTS | {"li", "div", "table", "section", "article", "body"}),
+}
 
 TABLES = T.ArrayType(
     T.StructType(
@@ -70,25 +82,45 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Element("", {})
         self.open = [self.root]
+        self.count = Counter()
         self.joined = False
 
+    def _close(self, depth):
+        for node in self.open[depth:]:
+            self.count[node.tag] -= 1
+        del self.open[depth:]
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDED_BY:
+            ended, border = ENDED_BY[tag]
+            if any(self.count[t] for t in ended):
+                outermost = None
+                for depth in range(len(self.open) - 1, 0, -1):
+                    if self.open[depth].tag in border:
+                        break
+                    if self.open[depth].tag in ended:
+                        outermost = depth
+                if outermost:
+                    self._close(outermost)
         node = _Element(tag, dict(attrs))
         self.open[-1].children.append(node)
         self.joined = False
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         self.joined = False
+        if not self.count[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
-                del self.open[depth:]
+                self._close(depth)
                 return
 
     def handle_data(self, data):
@@ -149,6 +181,7 @@ def cards(root, words, containers, items, min_length) -> list:
 
 
 def tables(root) -> list:
+    """All tables in document order; the rows and cells of inner tables count in the outer ones too."""
     out = []
     for table in root.elements("table"):
         rows = [[c.text("") for c in tr.elements("td", "th")] for tr in table.elements("tr")]
@@ -177,13 +210,13 @@ def main_text_column(html: Column, selectors=vocab.MAIN_SELECTORS, drop=vocab.BO
     return _udf(T.StringType(), lambda root: main_text(root, selectors, drop))(html)
 
 
-def navigation_column(html: Column, words=vocab.NAV_CLASS_WORDS, menus=3, links_per_menu=10) -> Column:
-    """Links of the first menus and of all breadcrumbs."""
+def navigation_column(html: Column, words=vocab.NAV_CLASS_WORDS, menus=None, links_per_menu=None) -> Column:
+    """Links of the menus, all or the first of them, and of all breadcrumbs."""
     words = list(words)
     return _udf(NAVIGATION, lambda root: navigation(root, words, menus, links_per_menu))(html)
 
 
-def cards_column(html: Column, words=vocab.CARD_CLASS_WORDS, containers=10, items=20, min_length=51) -> Column:
+def cards_column(html: Column, words=vocab.CARD_CLASS_WORDS, containers=None, items=None, min_length=51) -> Column:
     """Substantial texts of list items and cards, with container and item number."""
     words = list(words)
     return _udf(CARDS, lambda root: cards(root, words, containers, items, min_length))(html)

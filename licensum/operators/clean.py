@@ -62,8 +62,9 @@ def check_licences(licences: DataFrame, *, as_of, junk_words=vocab.JUNK_NAME_WOR
 
 
 def valid_licences(licences: DataFrame, *, as_of, junk_words=vocab.JUNK_NAME_WORDS) -> DataFrame:
-    """Rows that break no rule."""
+    """Rows that break no rule. Their columns are computed before the rules are applied."""
     broken = [F.coalesce(b, F.lit(False)) for _, b in _rules(as_of, junk_words)]
+    licences = evaluated(licences)
     for b in broken:
         licences = licences.filter(~b)
     return licences

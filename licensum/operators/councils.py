@@ -158,8 +158,8 @@ def apply_register_answers(councils: DataFrame, answers: DataFrame, *, as_of) ->
     ).drop("status", "answer")
 
 
-def recently_successful(councils: DataFrame, *, as_of, days: int = 30, limit: int | None = 50) -> DataFrame:
-    """Councils that worked in the last ``days``; when there are none, all that ever worked. The first ``limit``."""
+def recently_successful(councils: DataFrame, *, as_of, days: int = 30, limit: int | None = None) -> DataFrame:
+    """Councils that worked in the last ``days``; when there are none, all that ever worked; ``limit`` keeps the first."""
     worked = F.coalesce("scrape_successful", F.lit(False))
     since = text.as_ntz(as_of) - F.make_dt_interval(F.lit(days))
     recent = worked & F.coalesce(F.col("last_scraped") > since, F.lit(False))

@@ -15,8 +15,8 @@ ROW = ""
 def facet_counts(df: DataFrame, group: dict[str, Column], facets: dict[str, Column], measures: dict[str, Column]) -> DataFrame:
     """``(group, facet, value, n, measure sums, first_pos)``.
 
-    ``facets`` are arrays of strings. ``first_pos`` orders values by first appearance: ``seq``, then array position
-    (positions from 255 on count as equal).
+    ``facets`` are arrays of strings. ``first_pos`` orders values by first appearance: ``seq``, a number or a struct,
+    then array position.
     """
     entry = lambda facet: lambda v, i: F.struct(F.lit(facet).alias("facet"), v.alias("value"), i.alias("i"))
     bare = F.array(F.struct(F.lit(ROW).alias("facet"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("i")))
@@ -30,7 +30,7 @@ def facet_counts(df: DataFrame, group: dict[str, Column], facets: dict[str, Colu
     return rows.groupBy(*group, F.col("e.facet").alias("facet"), F.col("e.value").alias("value")).agg(
         F.count("*").alias("n"),
         *[F.sum(name).alias(name) for name in measures],
-        F.min(F.col("seq") * 256 + F.least("e.i", F.lit(255))).alias("first_pos"),
+        F.min(F.struct("seq", "e.i")).alias("first_pos"),
     )
 
 
@@ -50,7 +50,7 @@ def n_distinct(facet: str) -> Column:
 def most_common(facet: str) -> Column:
     """Most frequent value of a facet; ties go to the value seen first."""
     of_facet = F.col("facet") == facet
-    return F.max_by(F.when(of_facet, F.col("value")), F.when(of_facet, F.struct(F.col("n"), -F.col("first_pos"))))
+    return F.min_by(F.when(of_facet, F.col("value")), F.when(of_facet, F.struct((-F.col("n")).alias("n"), "first_pos")))
 
 
 def one(c: Column) -> Column:
@@ -62,5 +62,5 @@ def most_common_per_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """Most frequent ``value`` per ``group``; ties go to the value seen first (lowest ``seq``)."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
     return counts.groupBy(group).agg(
-        F.max_by(value, F.struct(F.col("n"), -F.col("first_seq"))).alias("most_common"), F.max("n").alias("n")
+        F.min_by(value, F.struct((-F.col("n")).alias("n"), "first_seq")).alias("most_common"), F.max("n").alias("n")
     )

@@ -75,13 +75,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "pos", "link.href", "link.text")
 
 
-def candidate_links(pages: DataFrame, *, words=vocab.LICENCE_LINK_WORDS, limit: int | None = 10) -> DataFrame:
-    """Resolved addresses of licence-related links: distinct, in first-seen order, the first ``limit`` per page."""
+def candidate_links(pages: DataFrame, *, words=vocab.LICENCE_LINK_WORDS, limit: int | None = None) -> DataFrame:
+    """Resolved addresses of licence-related links: distinct, in first-seen order; ``limit`` keeps the first ones of a page."""
     found = candidate_urls(F.col("url"), F.col("m"), words, limit)
     return unnest(with_markup(pages, "page_id", "url"), found, "rank", "target_url").drop("url", "m")
 
 
-def candidate_urls(base: Column, m: Column, words=vocab.LICENCE_LINK_WORDS, limit: int | None = 10) -> Column:
+def candidate_urls(base: Column, m: Column, words=vocab.LICENCE_LINK_WORDS, limit: int | None = None) -> Column:
     """As :func:`candidate_links`, as one array per page. A page's links never leave its row."""
     hits = F.filter(H.links(m), lambda e: text.contains_any(F.lower(F.concat(e.text, F.lit("\n"), e.href)), words))
     found = F.array_distinct(F.transform(hits, lambda e: urls.resolve_url(base, e.href)))
@@ -164,7 +164,7 @@ def structure_counts(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_analysis(pages: DataFrame, *, navigation: bool = True) -> DataFrame:
+def page_analysis(pages: DataFrame, *, navigation: bool = True, link_limit: int | None = None, menus: int | None = None, links_per_menu: int | None = None) -> DataFrame:
     """The analysis row of a page. Structure features are only given when a licence register was found.
 
     ``navigation=False`` leaves out the menus, the only part that needs the element tree.
@@ -182,12 +182,12 @@ def page_analysis(pages: DataFrame, *, navigation: bool = True) -> DataFrame:
     return staged.select(
         *keep,
         "licence_register_found",
-        F.coalesce(candidate_urls(F.col("url"), m), F.array().cast("array<string>")).alias("potential_licence_urls"),
+        F.coalesce(candidate_urls(F.col("url"), m, limit=link_limit), F.array().cast("array<string>")).alias("potential_licence_urls"),
         when(H.website_type(css)).alias("website_type"),
         flag(H.has_search(m)).alias("search_functionality"),
         flag(H.has_pagination(css, h)).alias("pagination_detected"),
         flag(H.needs_javascript(css, h)).alias("javascript_required"),
-        *([tree.navigation_column(when(h)).alias("navigation_structure")] if navigation else []),
+        *([tree.navigation_column(when(h), menus=menus, links_per_menu=links_per_menu).alias("navigation_structure")] if navigation else []),
     )
 
 
@@ -205,8 +205,8 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def navigation(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", tree.navigation_column(F.col("html")).alias("navigation_structure"))
+def navigation(pages: DataFrame, *, menus: int | None = None, links_per_menu: int | None = None) -> DataFrame:
+    return pages.select("page_id", tree.navigation_column(F.col("html"), menus=menus, links_per_menu=links_per_menu).alias("navigation_structure"))
 
 
 def _with_rows(pages: DataFrame, header_words, max_rows, min_cells) -> DataFrame:
@@ -234,10 +234,10 @@ def _with_rows(pages: DataFrame, header_words, max_rows, min_cells) -> DataFrame
     return staged.select(*keep, F.flatten(F.filter(tables, lambda t: t.isNotNull())).alias("rows"))
 
 
-def table_rows(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = 50, min_cells: int = 3) -> DataFrame:
+def table_rows(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = None, min_cells: int = 3) -> DataFrame:
     """Rows of register tables: header texts and cell texts of every row with at least ``min_cells`` cells.
 
-    A table counts when its header mentions a licence word. ``max_rows`` rows are read per table (None: all).
+    A table counts when its header mentions a licence word. ``max_rows`` limits the rows read per table.
     """
     found = _with_rows(pages, header_words, max_rows, min_cells).drop("html")
     return rows_of_items(found)
@@ -249,11 +249,11 @@ def rows_of_items(items: DataFrame) -> DataFrame:
     return unnest(items.select(*keep, "rows"), F.col("rows"), "_", "r").select(*keep, "r.*")
 
 
-def page_items(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = 50, card_words=vocab.CARD_CLASS_WORDS, text_limit: int = 8000) -> DataFrame:
+def page_items(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = None, card_words=vocab.CARD_CLASS_WORDS, text_limit: int | None = None) -> DataFrame:
     """What every page offers, in one pass and without a shuffle.
 
     ``rows`` of its register tables; only when none of them holds a licence, the ``cards``; only without those, the
-    visible ``text``, cut at ``text_limit`` for a reader with a limit. ``step`` names the one that applies.
+    visible ``text``, whole unless a ``text_limit`` is given for a reader with a limit. ``step`` names the one that applies.
     """
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
     h = F.col("html")
@@ -265,16 +265,16 @@ def page_items(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_r
     visible = F.when(step == "text", H.visible_text(h))
     return staged.select(
         *keep, step.alias("step"), F.when(F.col("usable"), F.col("rows")).alias("rows"), "cards",
-        text.let(visible, lambda x: text.truncate(x, text_limit)).alias("text"),
+        (text.let(visible, lambda x: text.truncate(x, text_limit)) if text_limit else visible).alias("text"),
     )
 
 
-def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS) -> DataFrame:
+def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS, containers: int | None = None, items: int | None = None) -> DataFrame:
     """Substantial texts of list items and cards. Pages without any of the words skip the element tree."""
     h = F.col("html")
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
     wanted = F.when(text.contains_any(F.lower(h), words), h)
-    cards = unnest(pages.select(*keep, tree.cards_column(wanted, words).alias("cards")), F.col("cards"), "_", "card")
+    cards = unnest(pages.select(*keep, tree.cards_column(wanted, words, containers=containers, items=items).alias("cards")), F.col("cards"), "_", "card")
     return cards.select(*keep, "card.container", "card.item", "card.text")
 
 
@@ -327,15 +327,15 @@ def page_flags(pages: DataFrame) -> DataFrame:
     )
 
 
-def linked_pages(sources: DataFrame, targets: DataFrame, *, limit: int = 5) -> DataFrame:
-    """Join each source's first ``limit`` candidate addresses to the pages they lead to.
+def linked_pages(sources: DataFrame, targets: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Join each source's candidate addresses, or the first ``limit`` of them, to the pages they lead to.
 
     ``sources(..., potential_licence_urls)``; ``targets(url, ...)`` should hold extracted rows, not raw html, so a
     page that many sources link to is read once.
     """
     edges = sources.select(
         *[c for c in sources.columns if c != "potential_licence_urls"],
-        F.posexplode(F.slice("potential_licence_urls", 1, limit)).alias("rank", "target_url"),
+        F.posexplode(F.slice("potential_licence_urls", 1, limit) if limit else F.col("potential_licence_urls")).alias("rank", "target_url"),
     ).withColumn("_key", urls.normalize_url(F.col("target_url")))
     found = targets.withColumn("_key", urls.normalize_url(F.col("url"))).drop("url")
     return edges.join(found, "_key").drop("_key")

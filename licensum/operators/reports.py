@@ -3,7 +3,7 @@
 The input should be a stored table: every report is its own scan of the few columns it needs.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from licensum import vocab
@@ -71,7 +71,7 @@ def activity_counts(licences: DataFrame, *, k: int | None = 10) -> DataFrame:
     """Most mentioned activities; ties in order of first mention."""
     mentions = licences.select("seq", F.posexplode(_activities()).alias("i", "activity"))
     counts = mentions.groupBy("activity").agg(
-        F.count("*").alias("n"), F.min(F.col("seq") * 256 + F.least("i", F.lit(255))).alias("first_seq")
+        F.count("*").alias("n"), F.min(F.struct("seq", "i")).alias("first_seq")
     )
     return _ordered(counts, k)
 
@@ -283,7 +283,6 @@ def council_analysis(licences: DataFrame, *, as_of) -> DataFrame:
 
 def business_type_analysis(licences: DataFrame) -> DataFrame:
     """Per business type: size, share, risk, conditions, postcode areas, most common activity."""
-    total = licences.agg(F.count("*")).scalar()
     counts = X.facet_counts(
         licences,
         {"business_type": _kind()},
@@ -299,14 +298,13 @@ def business_type_analysis(licences: DataFrame) -> DataFrame:
             X.n_distinct("area").alias("geographic_areas"),
             F.coalesce(X.most_common("activity"), F.lit("None")).alias("most_common_activity"),
         )
-        .withColumn("percentage", F.col("n") / total * 100)
+        .withColumn("percentage", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)
         .orderBy(F.col("n").desc(), "business_type")
     )
 
 
 def activity_analysis(licences: DataFrame) -> DataFrame:
     """Per activity mention: count, share of all mentions, risk, councils, business types."""
-    total = licences.agg(F.sum(F.size(_activities()))).scalar()
     mentions = licences.select(
         "council_name", "seq", _kind().alias("business_type"), _risk().alias("risk"),
         F.explode(_activities()).alias("activity"),
@@ -326,7 +324,7 @@ def activity_analysis(licences: DataFrame) -> DataFrame:
             X.most_common("type").alias("most_common_business_type"),
             X.n_distinct("type").alias("business_types"),
         )
-        .withColumn("percentage", F.col("n") / total * 100)
+        .withColumn("percentage", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)
         .orderBy(F.col("n").desc(), "activity")
     )
 

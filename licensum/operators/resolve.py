@@ -47,7 +47,7 @@ def best_per_key(scored: DataFrame, key: str = MATCH_KEY) -> DataFrame:
     copies = F.col("copies") if "copies" in scored.columns else F.lit(1)
     names = [c for c in scored.columns if c not in (key, "first_seq", "copies")]
     best = scored.groupBy(key).agg(
-        F.max_by(F.struct(*names), F.struct(F.col("score"), -F.col("seq"))).alias("best"),
+        F.min_by(F.struct(*names), F.struct((-F.col("score")).alias("score"), "seq")).alias("best"),
         F.min(first).alias("first_seq"),
         F.sum(copies).alias("copies"),
     )

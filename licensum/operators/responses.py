@@ -10,6 +10,11 @@ from licensum.schemas import RESPONSE_OBJECT
 
 # JSON nulls in these fields reject the row; a field that is absent gets its default.
 _NOT_NULL = ["premises_name", "premises_address", "licensable_activities", "conditions"]
+# What a field may be; numbers and booleans are read as their text.
+_TYPES = [
+    *((name, r"STRING|BIGINT|BOOLEAN|DOUBLE|DECIMAL.*") for name in ("premises_name", "premises_address")),
+    *((name, r"ARRAY<(STRING|VOID)>") for name in ("licensable_activities", "conditions")),
+]
 
 
 def object_text(response: Column) -> Column:
@@ -29,10 +34,14 @@ def _typed(rows: DataFrame) -> DataFrame:
 
     def reason(f, v):
         is_null = lambda name: F.coalesce(F.is_variant_null(F.try_variant_get(v, f"$.{name}", "variant")), F.lit(False))
+        kind_of = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        # Empty lists are ARRAY<VOID>; absent fields have no type and pass.
+        wrong = lambda name, kind: F.coalesce(~kind_of(name).rlike(f"^(VOID|{kind})$"), F.lit(False))
         return (
             F.when(F.col("payload").isNull(), "no JSON found")
             .when(v.isNull(), "invalid JSON")
             .when(reduce(lambda a, b: a | b, map(is_null, _NOT_NULL)), "null in a required field")
+            .when(reduce(lambda a, b: a | b, [wrong(name, kind) for name, kind in _TYPES]), "field of a wrong type")
             .when(~(text.truthy(f.premises_name) & text.truthy(f.premises_address)), "missing name or address")
         )
 
@@ -62,13 +71,18 @@ def parse_object_responses(responses: DataFrame) -> DataFrame:
     return _typed(responses.withColumns({"payload": object_text(F.col("response")), "item": F.lit(0)}))
 
 
-def parse_array_responses(responses: DataFrame, *, max_items: int | None = 20) -> DataFrame:
-    """A list of licence objects per response; the first ``max_items`` count, each is judged on its own."""
+def parse_array_responses(responses: DataFrame, *, max_items: int | None = None) -> DataFrame:
+    """A list of licence objects per response, each judged on its own; ``max_items`` keeps the first of a list.
+
+    A response without a readable list gives one rejected row without an item number; an empty list gives none.
+    """
     items = F.from_json(array_text(F.col("response")), "array<string>")
     if max_items:
         items = F.slice(items, 1, max_items)
     kept = [c for c in responses.columns if c != "response"]
-    return _typed(responses.select(*kept, F.posexplode(items).alias("item", "payload")))
+    staged = responses.select(*kept, F.posexplode_outer(F.coalesce(items, F.array(F.lit(None).cast("string")))).alias("item", "payload"), items.isNull().alias("unread"))
+    staged = staged.filter("item IS NOT NULL").withColumn("item", F.when(~F.col("unread"), F.col("item"))).drop("unread")
+    return _typed(staged)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from licensum.operators import responses as R
 from licensum.operators.resolve import drop_exact_copies
 
 
-def table_licences(pages: DataFrame) -> DataFrame:
+def table_licences(pages: DataFrame, *, max_rows: int | None = None) -> DataFrame:
     """Licences of the register tables of all pages."""
-    return P.licences_of_rows(P.table_rows(pages))
+    return P.licences_of_rows(P.table_rows(pages, max_rows=max_rows))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
@@ -31,17 +31,18 @@ def items_texts(items: DataFrame) -> DataFrame:
     return P.unnest(items.filter("step <> 'table'").select("page_id", texts.alias("texts")), F.col("texts"), "item", "text").drop("texts")
 
 
-def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, extra_pages: int = 5) -> DataFrame:
-    """Licences of every council: from its register page and from up to ``extra_pages`` linked pages.
+def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, extra_pages: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """Licences of every council: from its register page and from its linked pages, or the first ``extra_pages`` of them.
 
-    Every page is parsed once, whoever links to it; councils are joined to the extracted rows.
+    Only pages that could be read and that some council wants are parsed, each once, whoever links to it; councils are
+    joined to the extracted rows. ``seq`` orders rows by council, page, table and row, as a struct of these numbers.
     """
-    licences = table_licences(pages).withColumn("_key", urls.normalize_url(F.col("url"))).drop("url", "council_name")
     routed = C.with_strategy(C.join_analyses(C.with_register(councils), analyses))
+    further = F.coalesce("analysis.potential_licence_urls", F.array().cast("array<string>"))
     wanted = F.concat(
         F.array(F.struct(F.lit(0).alias("rank"), F.col("licence_register_url").alias("source_url"))),
         F.transform(
-            F.slice(F.coalesce("analysis.potential_licence_urls", F.array().cast("array<string>")), 1, extra_pages),
+            F.slice(further, 1, extra_pages) if extra_pages else further,
             lambda u, i: F.struct((i + 1).alias("rank"), u.alias("source_url")),
         ),
     )
@@ -49,13 +50,13 @@ def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame,
         F.col("name").alias("council_name"), F.col("seq").alias("council_seq"), "strategy", F.explode(wanted).alias("e")
     ).select("council_name", "council_seq", "strategy", "e.*")
     edges = edges.withColumn("_key", urls.normalize_url(F.col("source_url")))
+    chosen = P.readable_pages(pages).withColumn("_key", urls.normalize_url(F.col("url"))).join(edges.select("_key"), "_key", "left_semi")
+    licences = table_licences(chosen.drop("_key"), max_rows=max_rows).withColumn("_key", urls.normalize_url(F.col("url"))).drop("url", "council_name")
     found = edges.join(licences, "_key").drop("_key")
     first = drop_exact_copies(found.withColumn("seq", F.struct("rank", "page_id", "table_no", "row_no")))
-    # Order of councils, their pages, tables and rows in one number.
-    place = (F.col("council_seq") * 16 + F.least("rank", F.lit(15))) * 16384 + F.least("table_no", F.lit(16383))
     return first.withColumns(
         {
-            "seq": place * 65536 + F.least("row_no", F.lit(65535)),
+            "seq": F.struct("council_seq", "rank", "page_id", "table_no", "row_no"),
             "licence_id": text.surrogate_id(
                 F.col("council_name"), F.lower("premises_name"), F.lower("premises_address")
             ),

@@ -37,7 +37,7 @@ def full_run(
 
 
 def incremental_update(
-    spark: SparkSession, councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, as_of, path: str, days: int = 30, limit=50
+    spark: SparkSession, councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, as_of, path: str, days: int = 30, limit=None
 ) -> DataFrame:
     """As :func:`full_run` for the councils that worked in the last ``days``."""
     chosen = C.recently_successful(councils, as_of=as_of, days=days, limit=limit)

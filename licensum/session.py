@@ -3,6 +3,8 @@
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +23,20 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to all Python workers of the session, once; needless where it is installed on them."""
+    context = spark.sparkContext
+    if getattr(context, "_licensum_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = f"{tempfile.mkdtemp(prefix='licensum-')}/licensum.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(target)
+    context._licensum_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared one that spark.checkpoint.dir names.
 

@@ -31,11 +31,11 @@ def demo(spark):
     return table(
         spark,
         [
-            licence(0, "The Red Lion", council_name="Westminster City Council", postcode="W1D 2HT", application_date=DAYS(30), granted_date=DAYS(15), licensable_activities=[alcohol, live, recorded], conditions=["No music after 23:00", "Maximum capacity 100 people"]),
-            licence(1, "Pizza Express", council_name="Islington Council", postcode="N1 0QY", application_date=DAYS(45), granted_date=DAYS(20), licensable_activities=[alcohol, "Late Night Refreshment"], conditions=["No deliveries before 8:00 AM"]),
-            licence(2, "The Northern Quarter Club", council_name="Manchester City Council", postcode="M1 1JQ", application_date=DAYS(60), granted_date=DAYS(35), licensable_activities=[alcohol, live, recorded, "Performance of Dance"], conditions=["a" * 11, "b" * 11, "c" * 11]),
-            licence(3, "Harbour View Restaurant", council_name="Bristol City Council", postcode="BS1 5DB", licence_type="variation", licence_status="pending", application_date=DAYS(10), licensable_activities=[alcohol, live], conditions=["Alcohol served with substantial meals only"]),
-            licence(4, "Tesco Express", postcode="LS6 3AA", application_date=DAYS(25), granted_date=DAYS(5), licensable_activities=[alcohol], conditions=["No single cans of beer or cider", "Challenge 25 policy"]),
+            licence(0, "Velvet Fox", council_name="Exeter City Council", postcode="EX1 9ZZ", application_date=DAYS(30), granted_date=DAYS(15), licensable_activities=[alcohol, live, recorded], conditions=["Music stops at ten in the evening", "At most sixty guests at a time"]),
+            licence(1, "Marble Spoon", council_name="Camden Council", postcode="NW5 9ZZ", application_date=DAYS(45), granted_date=DAYS(20), licensable_activities=[alcohol, "Late Night Refreshment"], conditions=["Vans may unload from nine onwards"]),
+            licence(2, "Moonlight Club", council_name="Norwich City Council", postcode="NR2 9ZZ", application_date=DAYS(60), granted_date=DAYS(35), licensable_activities=[alcohol, live, recorded, "Performance of Dance"], conditions=["a" * 11, "b" * 11, "c" * 11]),
+            licence(3, "Olive Grove Restaurant", council_name="Derby City Council", postcode="DE1 9ZZ", licence_type="variation", licence_status="pending", application_date=DAYS(10), licensable_activities=[alcohol, live], conditions=["Drinks are served at tables only"]),
+            licence(4, "Daily Basket", postcode="LS9 9ZZ", application_date=DAYS(25), granted_date=DAYS(5), licensable_activities=[alcohol], conditions=["Spirits are kept behind the counter", "Staff training twice a year"]),
         ],
     )
 
@@ -54,7 +54,7 @@ def test_demo_reports(demo):
     stats = reports.weekly_stats(enriched, as_of=AS_OF).first()
     assert (stats.new_licences, stats.weekly_change_percent, stats.avg_risk_score) == (0, -100.0, 5.0)
     recent = {r.council_name for r in reports.council_analysis(enriched, as_of=AS_OF).collect() if r.recent_activity}
-    assert recent == {"Westminster City Council", "Islington Council", "Leeds City Council"}
+    assert recent == {"Exeter City Council", "Camden Council", "Leeds City Council"}
     assert reports.no_licences_message(reports.week_of(enriched, AS_OF)).count() == 1
     assert reports.no_licences_message(enriched).count() == 0
 

@@ -67,11 +67,11 @@ def test_tables(spark):
     assert rows[(1, 0, 1)] == ["in", "ner", "row"]
 
 
-def test_row_limit_can_be_lifted(spark):
+def test_rows_have_no_limit_but_a_given_one(spark):
     body = "".join(f"<tr><td>n{i}</td><td>a</td><td>s</td></tr>" for i in range(80))
     pages = spark.createDataFrame([(1, "u", f"<table><tr><th>Name</th></tr>{body}</table>")], "page_id long, url string, html string")
-    assert P.table_rows(pages).count() == 50
-    assert P.table_rows(pages, max_rows=None).count() == 80
+    assert P.table_rows(pages).count() == 80
+    assert P.table_rows(pages, max_rows=50).count() == 50
 
 
 def test_card_and_menu_limits(spark):
@@ -79,8 +79,11 @@ def test_card_and_menu_limits(spark):
     menu = "".join(f'<a href="/{i}">{i}</a>' for i in range(12))
     html = f'<ul class="results">{items}</ul><nav class="nav">{menu}</nav><nav>{menu}</nav>'
     pages = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
-    assert P.card_texts(pages).count() == 20
-    nav = {r.page_id: r.navigation_structure for r in P.navigation(pages).collect()}
+    assert P.card_texts(pages).count() == 25
+    assert P.card_texts(pages, items=20).count() == 20
+    full = {r.page_id: r.navigation_structure for r in P.navigation(pages).collect()}
+    assert len(full[1].main_menu_items) == 12
+    nav = {r.page_id: r.navigation_structure for r in P.navigation(pages, menus=3, links_per_menu=10).collect()}
     assert len(nav[1].main_menu_items) == 10 and nav[1].breadcrumbs == []
 
 

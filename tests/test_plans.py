@@ -24,7 +24,7 @@ def stored(spark, tmp_path):
 def test_processing_has_one_shuffle_with_partial_aggregation(stored):
     text = plan(process_licences(stored, as_of=AS_OF))
     assert text.count("Exchange hashpartitioning") == 1 and text.count("Exchange") == 1
-    assert "partial_max_by" in text and "Python" not in text
+    assert "partial_min_by" in text and "Python" not in text
 
 
 def test_copies_are_dropped_before_the_shuffle(stored):

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from licensum.llm.common import stored
+
 DICTIONARY, TOKENS, LONGEST = 50_000, 65_536, 24
 # Words that mark the pages to learn from.
 UNWANTED = ("adult", "bet", "bets", "betting", "casino", "gambling", "poker", "porn", "sex", "slots", "xxx")
@@ -35,9 +37,16 @@ def listed(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tupl
 
 
 def word_counts(text: Column, frame: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """The ``most`` most frequent words of a-z in all texts, with their counts: the size of the unigram model."""
+    """Words of a-z in all texts with their counts: those above the smallest count at which no more than ``most`` are left.
+
+    That count is read from the number of words of each count, so tasks return words of the dictionary only, however
+    many tasks there are.
+    """
     each = frame.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
-    return each.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = stored(each.groupBy("word").agg(F.count("*").alias("n")))
+    ranks = counts.groupBy("n").agg(F.count("*").alias("words")).selectExpr("n", "sum(words) OVER (ORDER BY n DESC) AS upto")
+    least = ranks.filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return counts.filter(F.col("n") >= (least if least is not None else 2**62))
 
 
 class Segmenter:

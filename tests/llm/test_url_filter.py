@@ -54,3 +54,9 @@ def test_segments_are_the_cheapest(name):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert QUERIES["op4_url_filter"](spark, str(tmp_path)).count() == 0
+
+
+def test_dictionary_is_bounded_by_count(spark):
+    df = spark.createDataFrame([("a a a b b c c d",)], "t string")
+    got = lambda most: {r.word for r in url_filter.word_counts(df.t, df, most).collect()}
+    assert [got(n) for n in (0, 1, 2, 3, 9)] == [set(), {"a"}, {"a"}, {"a", "b", "c"}, {"a", "b", "c", "d"}]

@@ -5,10 +5,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from licensum.llm import bpe, exact_dedup, mixing, quality, simhash
-from licensum.llm.common import stored
+from licensum.llm.common import addressed, stored
 
 TOKENIZER = "byte_bpe_50k.json"
 
+# Stages that compare documents decide on narrow rows and meet the whole ones once, in a join that is shuffled by address
+# at every size: decisions grow with the documents, so they are never broadcast.
+ADDRESS = ["file", "line"]
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep the base rules and read like trusted text rather than junk."""
@@ -18,7 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal text."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select("row.*")
+    rows = addressed(docs)
+    judged = exact_dedup.exact_dedup(rows.select("row.doc_id", "row.text", *ADDRESS), keep_columns=ADDRESS)
+    dropped = judged.filter("NOT kept").select("row.*")
+    return rows.join(dropped.hint("shuffle_hash"), ADDRESS, "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mixing.mix(docs, columns=docs.columns)
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    rows = addressed(docs)
+    mixed = mixing.mix(rows.select("row.doc_id", "row.text", "row.source", *ADDRESS), columns=ADDRESS)
+    taken = mixed.filter("copies > 0").select("row.*", "copies")
+    return rows.join(taken.hint("shuffle_hash"), ADDRESS).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

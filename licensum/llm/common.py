@@ -1,6 +1,7 @@
 """What several operators of this subpackage share."""
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def addressed(docs: DataFrame) -> DataFrame:
+    """(row, file, line) for a table as it is read from files: all its columns as a struct, and where each row lies.
+
+    Every read gives a row the same address, whatever the splits and executors, so that decisions can be made on narrow
+    rows and taken back to the whole ones. A frame without files is stored first. A frame that repeats or joins rows of
+    files has no such addresses: store it before.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select(F.struct(*docs.columns).alias("row"), place["file_path"].alias("file"), place["row_index"].alias("line"))
+    except AnalysisException:
+        docs = stored(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs.select(F.struct(*docs.columns).alias("row"), place["file_path"].alias("file"), place["row_index"].alias("line"))
+
+
 def remainder(doc_id: str, by: int) -> Column:
     """The fold of a document: crc32 of its id as text, modulo ``by``; NULL without an id."""
     return F.crc32(F.col(doc_id).cast("string")) % by

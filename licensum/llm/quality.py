@@ -95,7 +95,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothi
     total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(F.col("weights"), b.cast("int")))
     rows = rows.withColumn("ratio", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0))
     kept = ~F.col("base_failed") & (F.col("ratio") >= threshold)
-    # Behind a generator, so that a later filter on kept is not moved down to repeat all that it depends on.
     rows = rows.withColumn("kept", kept)
     # Behind a generator, so that a later filter on kept is not moved down to repeat all that it depends on.
     return rows.select("row", *COUNTS, "base_failed", "ratio", F.explode(F.array("kept")).alias("kept"))

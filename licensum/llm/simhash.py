@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from licensum.llm.common import pieces, raw, stored
+from licensum.llm.common import addressed, pieces, raw, stored
 from licensum.llm.components import connected
 
 SHINGLE, RADIUS, SEED, BUCKET = 3, 3, 42, 4096
@@ -225,14 +225,16 @@ def likeness(a: bytes, b: bytes, size: int) -> float:
 
 
 def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE, sketch: int = SKETCH) -> DataFrame:
-    """(place, keeper) for every row of ``rows`` (place, doc_id, text) that has near duplicates; place numbers the rows.
+    """(place, keeper, ...) for every row of ``rows`` (place, doc_id, text, ...) that has near duplicates; place numbers the rows.
 
     Texts are near duplicates if the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more.
     Candidates are neighbours by covering hashing, within ``radius`` bits, of SimHash fingerprints of single words with
     damped counts, which differ little between texts with few changed words. Each candidate link is then verified by
     sketches of the shingles: exact up to ``sketch`` shingles, beyond that within a few hundredths. Linked texts are
     a group, and keeper is its row with the smallest doc_id, then place. Texts without words have no duplicates here.
+    Further columns of ``rows`` are carried to the result; rows are read once, so place need not be the same in a second read.
     """
+    more = rows.columns[3:]
 
     def run(batches):
         for batch in batches:
@@ -240,9 +242,10 @@ def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float
                 texts = raw(part.column(2))
                 fp = text_fingerprints(texts, 1, True).view(np.int64)
                 sketches = [text_sketch(t, shingle, sketch) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(sketches, pa.binary())], ["place", "doc_id", "fp", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(sketches, pa.binary()), *part.columns[3:]], ["place", "doc_id", "fp", "sketch", *more])
 
-    texts = stored(rows.select("place", "doc_id", "text").mapInArrow(run, "place long, doc_id long, fp long, sketch binary"))
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])
+    texts = stored(rows.select("place", "doc_id", "text", *more).mapInArrow(run, "place long, doc_id long, fp long, sketch binary" + carried))
     sketches = texts.select("place", "sketch")
     first = texts.groupBy("fp").agg(F.min("place").alias("first"))
     same = texts.select("place", "fp").join(first, "fp").filter("place > first").selectExpr("place AS a", "first AS b")
@@ -257,14 +260,17 @@ def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float
     both = stored(same.unionAll(near)).join(sketches.selectExpr("place AS a", "sketch AS s"), "a").join(sketches.selectExpr("place AS b", "sketch AS t"), "b")
     roots = stored(connected(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")))
     keepers = roots.join(texts.selectExpr("place AS node", "doc_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
-    return roots.join(keepers, "root").selectExpr("node AS place", "best.node AS keeper")
+    found = roots.join(keepers, "root").selectExpr("node AS place", "best.node AS keeper")
+    return found.join(texts.select("place", *more), "place") if more else found
 
 
 def drop_near_duplicates(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) without all but one of each group of near duplicates."""
-    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("place")))
-    groups = near_duplicates(rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")), **limits)
-    return rows.join(groups.filter("place <> keeper").select("place"), "place", "left_anti").select("row.*")
+    """The rows of ``docs`` (doc_id, text and any others; see ``addressed``) without all but one of each group of near duplicates."""
+    rows = addressed(docs)
+    place = F.monotonically_increasing_id().alias("place")
+    groups = near_duplicates(rows.select(place, F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "file", "line"), **limits)
+    dropped = groups.filter("place <> keeper").select("file", "line")
+    return rows.join(dropped.hint("shuffle_hash"), ["file", "line"], "left_anti").select("row.*")
 
 
 def simhash_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

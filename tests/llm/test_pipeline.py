@@ -70,3 +70,13 @@ def test_odd_rows(spark):
     assert left.columns == df.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "4", "7", "8", "None"]
     assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_addresses_beside_columns_of_the_same_names(spark, tmp_path):
+    rows = [(1, "one two three", 1, "a", "m"), (1, "one two three", 1, "a", "m"), (2, "one  two three", 2, None, None), (None, None, None, None, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line long, file string, _metadata string")
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (spark.read.parquet(str(tmp_path / "docs")), df):
+        left = corpus_pipeline.exact_duplicates(spark, docs, "")
+        assert left.columns == df.columns
+        assert {tuple(r) for r in left.collect()} == {rows[2], rows[3]} and left.count() == 2

@@ -1,5 +1,6 @@
 """Near duplicates: SimHash fingerprints, and covering locality-sensitive hashing to find all pairs within a radius."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -123,18 +124,20 @@ def path_mask(path: int, radius: int) -> int:
 
 
 def _expand(rows: DataFrame, radius: int) -> DataFrame:
-    """(path, fp) to (path, key, fp): a row for each finer table."""
+    """(path, fp, ...) to (path, key, fp, ...): a row for each finer table; further columns are longs."""
+    more = rows.columns[2:]
 
     def run(batches):
         for batch in batches:
             path, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for p in np.unique(path):
-                own = fp[path == p]
+                chosen = path == p
+                own, carried = fp[chosen], [c.filter(pa.array(chosen)) for c in batch.columns[2:]]
                 for v, mask in enumerate(path_masks(int(p), radius), 1):
                     key = own & np.uint64(mask).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), (int(p) << (radius + 1)) + v)), pa.array(key), pa.array(own)], ["path", "key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), (int(p) << (radius + 1)) + v)), pa.array(key), pa.array(own), *carried], ["path", "key", "fp", *more])
 
-    return rows.mapInArrow(run, "path long, key long, fp long")
+    return rows.mapInArrow(run, "path long, key long, fp long" + "".join(f", `{c}` long" for c in more))
 
 
 def _near(values: np.ndarray, radius: int):
@@ -177,61 +180,78 @@ def bucket_neighbours(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(max(x), min(x)) for x in out]
 
 
+def bucket_pairs(values: np.ndarray, labels: pa.Array, radius: int):
+    """Blocks (a, b) of all pairs within the radius, a > b, but for those with one label; a NULL label is like no other."""
+    mixed, label = labels.is_null().to_numpy(zero_copy_only=False), labels.fill_null(0).to_numpy()
+    for i, near in _near(values.view(np.uint64), radius):
+        own = slice(i, i + len(near))
+        other = mixed[own, None] | mixed[None, :] | (label[own, None] != label[None, :])
+        x, y = np.nonzero(near & other & (values[own, None] > values[None, :]))
+        yield values[own][x], values[y]
+
+
 def links(nodes: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET, pick=bucket_links) -> DataFrame:
     """(a, b): links between the different fingerprints of ``nodes`` (fp).
 
     Every pair within the radius shares a bucket of some table. Buckets of up to ``bucket`` fingerprints are compared
     in one numpy block; larger ones are dealt anew by covering masks over the bits that their table hides, about half
     each time, until they are small (a table that hides h bits has buckets of 2^h fingerprints at most). ``pick`` keeps
-    links that connect the same fingerprints as all pairs do, a number in proportion to the bucket.
+    links that connect the same fingerprints as all pairs do, a number in proportion to the bucket. If ``nodes`` has a
+    ``label`` too, the links are all pairs but those of one label (see ``bucket_pairs``), and ``pick`` is not used.
     """
-    rows = nodes.select(F.lit(0).cast("long").alias("path"), "fp")
+    more = nodes.columns[1:]
+    rows = nodes.select(F.lit(0).cast("long").alias("path"), "fp", *more)
     found = None
 
     def run(batches):
         for batch in batches:
+            if more:
+                for bucket in batch.column(0):
+                    for a, b in bucket_pairs(bucket.values.field(0).to_numpy(), bucket.values.field(1), radius):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                continue
             out = [x for values in batch.column(0) for x in pick(np.array(values.values, np.int64), radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     while True:
         tables = _expand(rows, radius)
         sizes = stored(tables.groupBy("path", "key").agg(F.count("*").alias("n")).filter("n > 1"))
-        small = tables.join(sizes.filter(F.col("n") <= bucket), ["path", "key"]).groupBy("path", "key").agg(F.collect_list("fp").alias("fps"))
+        small = tables.join(sizes.filter(F.col("n") <= bucket), ["path", "key"]).groupBy("path", "key").agg(F.collect_list(F.struct("fp", *more) if more else F.col("fp")).alias("fps"))
         level = small.select("fps").mapInArrow(run, "a long, b long")
         found = level if found is None else found.unionAll(level)
         if sizes.filter(F.col("n") > bucket).isEmpty():
             return found.distinct()
-        rows = stored(tables.join(sizes.filter(F.col("n") > bucket), ["path", "key"]).select("path", "fp"))
+        rows = stored(tables.join(sizes.filter(F.col("n") > bucket), ["path", "key"]).select("path", "fp", *more))
 
 
 # --- near duplicates by shingles ------------------------------------------------------------------------------------
 
-WORDS, SIMILARITY, WIDE, SKETCH = 5, 0.8, 5, 200
+WORDS, SIMILARITY, WIDE = 5, 0.8, 5
 
 
-def text_sketch(text: bytes, shingle: int, size: int) -> bytes:
-    """The ``size`` smallest different hashes of the text's shingles; all of them if there are fewer."""
-    hashes = np.fromiter((xxhash.xxh32_intdigest(x) for x in _shingles(text.lower().split(), shingle)), np.uint32)
-    return np.unique(hashes)[:size].tobytes()
+def text_shingles(text: bytes, shingle: int) -> bytes:
+    """The different hashes of the text's shingles in order."""
+    digests = b"".join(map(xxhash.xxh64_digest, _shingles(text.lower().split(), shingle)))
+    return np.unique(np.frombuffer(digests, np.uint64)).tobytes()
 
 
-def likeness(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity of the shingles of two texts by their sketches: exact where both sketches hold all hashes."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    union, seen = np.unique(np.concatenate([x, y]), return_counts=True)
-    complete = len(x) < size and len(y) < size
-    seen = seen if complete else seen[:size]
-    return float((seen == 2).mean()) if len(union) else 0.0
+def likeness(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of the shingles of two texts; 0 without any."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    union = np.sort(np.concatenate([x, y]))
+    both = int((union[1:] == union[:-1]).sum())
+    return both / (len(union) - both) if len(union) else 0.0
 
 
-def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE, sketch: int = SKETCH) -> DataFrame:
+def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
     """(place, keeper, ...) for every row of ``rows`` (place, doc_id, text, ...) that has near duplicates; place numbers the rows.
 
     Texts are near duplicates if the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more.
     Candidates are neighbours by covering hashing, within ``radius`` bits, of SimHash fingerprints of single words with
-    damped counts, which differ little between texts with few changed words. Each candidate link is then verified by
-    sketches of the shingles: exact up to ``sketch`` shingles, beyond that within a few hundredths. Linked texts are
-    a group, and keeper is its row with the smallest doc_id, then place. Texts without words have no duplicates here.
+    damped counts, which differ little between texts with few changed words. Texts with equal sets are one node.
+    Links of each node to few neighbours are verified by the whole sets first; then all candidate pairs that these have
+    not connected are, so that every pair within ``radius`` is either verified or within a group already. Linked texts
+    are a group, and keeper is its row with the smallest doc_id, then place. Texts without words have no duplicates here.
     Further columns of ``rows`` are carried to the result; rows are read once, so place need not be the same in a second read.
     """
     more = rows.columns[3:]
@@ -241,24 +261,48 @@ def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float
             for part in pieces(batch, 2):
                 texts = raw(part.column(2))
                 fp = text_fingerprints(texts, 1, True).view(np.int64)
-                sketches = [text_sketch(t, shingle, sketch) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(sketches, pa.binary()), *part.columns[3:]], ["place", "doc_id", "fp", "sketch", *more])
-
-    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])
-    texts = stored(rows.select("place", "doc_id", "text", *more).mapInArrow(run, "place long, doc_id long, fp long, sketch binary" + carried))
-    sketches = texts.select("place", "sketch")
-    first = texts.groupBy("fp").agg(F.min("place").alias("first"))
-    same = texts.select("place", "fp").join(first, "fp").filter("place > first").selectExpr("place AS a", "first AS b")
-    near = links(first.select("fp"), radius=radius, pick=bucket_neighbours)
-    near = near.join(first.selectExpr("fp AS a", "first AS x"), "a").join(first.selectExpr("fp AS b", "first AS y"), "b").selectExpr("x AS a", "y AS b")
+                sets = [text_shingles(t, shingle) for t in texts]
+                same = [hashlib.sha256(x).digest() for x in sets]
+                size = [len(x) // 8 for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), *part.columns[3:]], ["place", "doc_id", "fp", "same", "size", "shingles", *more])
 
     def verify(batches):
         for batch in batches:
-            keep = [likeness(x, y, sketch) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [likeness(x, y) >= similarity for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = stored(same.unionAll(near)).join(sketches.selectExpr("place AS a", "sketch AS s"), "a").join(sketches.selectExpr("place AS b", "sketch AS t"), "b")
-    roots = stored(connected(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")))
+    def verified(pairs):
+        """The pairs (a, b) of places that are near duplicates."""
+        pairs = pairs.join(shingles.selectExpr("place AS a", "shingles AS s"), "a").join(shingles.selectExpr("place AS b", "shingles AS t"), "b")
+        return stored(pairs.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
+
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])
+    texts = stored(rows.select("place", "doc_id", "text", *more).mapInArrow(run, "place long, doc_id long, fp long, same binary, size long, shingles binary" + carried))
+    shingles = texts.select("place", "shingles")
+    worded = texts.filter("size > 0").select("place", "fp", "same", "size")
+    nodes = stored(worded.groupBy("fp", "same").agg(F.min("place").alias("node"), F.first("size").alias("size")))
+    copies = worded.join(nodes.select("fp", "same", "node"), ["fp", "same"]).filter("place > node").selectExpr("place AS a", "node AS b")
+
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    own = nodes.join(first, "fp").filter("node > first").selectExpr("node AS a", "first AS b")
+    near = links(first.select("fp"), radius=radius, pick=bucket_neighbours)
+    near = near.join(first.selectExpr("fp AS a", "first AS x"), "a").join(first.selectExpr("fp AS b", "first AS y"), "b").selectExpr("x AS a", "y AS b")
+    few = verified(stored(own.unionAll(near)))
+
+    # All other pairs: of fingerprints with different groups, then of these groups, then of their texts.
+    group = stored(nodes.join(connected(few), "node", "left").select("fp", "node", "size", F.coalesce("root", "node").alias("group")))
+    kinds = stored(group.groupBy("fp", "group").agg(F.min("size").alias("least"), F.max("size").alias("most")))
+    label = F.when(F.min("group") == F.max("group"), F.min("group"))
+    labels = stored(kinds.groupBy("fp").agg(label.alias("label")))
+    pairs = links(labels, radius=radius).unionAll(labels.filter("label IS NULL").selectExpr("fp AS a", "fp AS b"))
+    side = lambda table, fp, mark: table.select(*(F.col(c).alias(fp if c == "fp" else c + mark) for c in table.columns))
+    fits = lambda small, large: F.expr(f"{small} / {large} >= {similarity!r}D")
+    pairs = pairs.join(side(kinds, "a", "_a"), "a").join(side(kinds, "b", "_b"), "b")
+    pairs = stored(pairs.filter("group_a <> group_b AND (a <> b OR group_a < group_b)").filter(fits("most_a", "least_b") & fits("most_b", "least_a")).select("a", "b", "group_a", "group_b"))
+    pairs = pairs.join(side(group, "a", "_a"), ["a", "group_a"]).join(side(group, "b", "_b"), ["b", "group_b"])
+    rest = verified(stored(pairs.filter(fits("least(size_a, size_b)", "greatest(size_a, size_b)")).selectExpr("node_a AS a", "node_b AS b")))
+
+    roots = stored(connected(copies.unionAll(few).unionAll(rest)))
     keepers = roots.join(texts.selectExpr("place AS node", "doc_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
     found = roots.join(keepers, "root").selectExpr("node AS place", "best.node AS keeper")
     return found.join(texts.select("place", *more), "place") if more else found

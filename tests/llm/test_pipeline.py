@@ -80,3 +80,36 @@ def test_addresses_beside_columns_of_the_same_names(spark, tmp_path):
         left = corpus_pipeline.exact_duplicates(spark, docs, "")
         assert left.columns == df.columns
         assert {tuple(r) for r in left.collect()} == {rows[2], rows[3]} and left.count() == 2
+
+
+def test_all_pairs_of_crowded_fingerprints(spark):
+    """Texts over few words share and crowd their fingerprints; a copy with one word more must still be found."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(20)]
+    rows = []
+    for i in range(150):
+        text = rng.choices(vocabulary, k=120)
+        other = text.copy()
+        other.insert(rng.randrange(121), rng.choice(vocabulary))
+        rows += [(2 * i, " ".join(text), None, None), (2 * i + 1, " ".join(other), None, None)]
+    got = {r.place: r.keeper for r in simhash.near_duplicates(documents(spark, rows).selectExpr("doc_id AS place", "doc_id", "text")).collect()}
+    fps = simhash.text_fingerprints([r[1].encode() for r in rows], 1, True)
+    want = [i for i in range(0, 300, 2) if jaccard(rows[i][1], rows[i + 1][1]) >= 0.8 and int(fps[i] ^ fps[i + 1]).bit_count() <= 5]
+    assert len(want) > 100
+    assert [i for i in want if got.get(i) == got.get(i + 1) == i] == want
+
+
+def test_long_texts_are_compared_whole(spark):
+    """A block of moved words leaves the fingerprint as it is: the whole sets decide on either side of the limit."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        text = [f"w{x}" for x in rng.sample(range(5000), 1000)]
+        other = text.copy()
+        block = slice(400, 502 + i % 2 * 12)
+        other[block] = rng.sample(text[block], len(text[block]))
+        rows += [(2 * i, " ".join(text), None, None), (2 * i + 1, " ".join(other), None, None)]
+    like = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(40)]
+    assert 10 < sum(x >= 0.8 for x in like) < 30 and all(abs(x - 0.8) < 0.03 for x in like)
+    got = {r.place: r.keeper for r in simhash.near_duplicates(documents(spark, rows).selectExpr("doc_id AS place", "doc_id", "text")).collect()}
+    assert [2 * i in got for i in range(40)] == [x >= 0.8 for x in like]

@@ -36,17 +36,17 @@ def listed(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tupl
     return rule, verdict
 
 
-def word_counts(text: Column, frame: DataFrame, most: int = DICTIONARY) -> DataFrame:
+def word_counts(text: Column, frame: DataFrame, most: int = DICTIONARY, always: Sequence[str] = ()) -> DataFrame:
     """Words of a-z in all texts with their counts: those above the smallest count at which no more than ``most`` are left.
 
     That count is read from the number of words of each count, so tasks return words of the dictionary only, however
-    many tasks there are.
+    many tasks there are. The words ``always`` stay at every count.
     """
     each = frame.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
     counts = stored(each.groupBy("word").agg(F.count("*").alias("n")))
     ranks = counts.groupBy("n").agg(F.count("*").alias("words")).selectExpr("n", "sum(words) OVER (ORDER BY n DESC) AS upto")
     least = ranks.filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    return counts.filter(F.col("n") >= (least if least is not None else 2**62))
+    return counts.filter((F.col("n") >= (least if least is not None else 2**62)) | F.col("word").isin(*always))
 
 
 class Segmenter:
@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str
     and unreadable URLs have no tokens: their score is the log odds of the classes. With no example all is allowed.
     """
     text = F.coalesce(F.col(text_column), F.lit("")) if text_column in pages.columns else F.lit("")
-    counts = {r.word: r.n for r in word_counts(text, pages, dictionary).collect()} | dict.fromkeys(unwanted, 1)
+    counts = dict.fromkeys(unwanted, 1) | {r.word: r.n for r in word_counts(text, pages, dictionary, unwanted).collect()}
     host, path = host_and_path(F.col(url_column))
     rows = segmented(pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path")), counts, unwanted, size)
 

@@ -60,3 +60,13 @@ def test_dictionary_is_bounded_by_count(spark):
     df = spark.createDataFrame([("a a a b b c c d",)], "t string")
     got = lambda most: {r.word for r in url_filter.word_counts(df.t, df, most).collect()}
     assert [got(n) for n in (0, 1, 2, 3, 9)] == [set(), {"a"}, {"a"}, {"a", "b", "c"}, {"a", "b", "c", "d"}]
+
+
+def test_unwanted_words_keep_their_counts(spark, tmp_path):
+    """The more text there is, the dearer is a word seen once: with its true count, adult stays whole at every size."""
+    urls = ["http://bigcasino.net/a", "http://adult.net/a", "http://good.net/a"]
+    text = "casino adult ad ul t big good " * 400 + "ad ul t " * 400 + "of the land " * 4000
+    rows = [(i, u, text) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.tokens for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()}
+    assert [got[i][:-2] for i in range(3)] == [["h:big", "h:casino"], ["h:adult"], ["h:good"]]

@@ -3,7 +3,6 @@
 import math
 import re
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from licensum.llm.common import stored
 
-DICTIONARY, TOKENS, LONGEST = 50_000, 65_536, 24
+TOKENS, LONGEST = 65_536, 24
 # Words that mark the pages to learn from.
 UNWANTED = ("adult", "bet", "bets", "betting", "casino", "gambling", "poker", "porn", "sex", "slots", "xxx")
 
@@ -36,14 +35,15 @@ def listed(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tupl
     return rule, verdict
 
 
-def word_counts(text: Column, frame: DataFrame, most: int = DICTIONARY, always: Sequence[str] = ()) -> DataFrame:
-    """Words of a-z in all texts with their counts: those above the smallest count at which no more than ``most`` are left.
+def word_counts(text: Column, frame: DataFrame, most: int | None = None, always: Sequence[str] = ()) -> DataFrame:
+    """Words of a-z in all texts with their counts; with ``most``, those above the smallest count at which no more are left.
 
-    That count is read from the number of words of each count, so tasks return words of the dictionary only, however
-    many tasks there are. The words ``always`` stay at every count.
+    That count is read from the number of words of each count. The words ``always`` stay at every count.
     """
     each = frame.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
     counts = stored(each.groupBy("word").agg(F.count("*").alias("n")))
+    if most is None:
+        return counts
     ranks = counts.groupBy("n").agg(F.count("*").alias("words")).selectExpr("n", "sum(words) OVER (ORDER BY n DESC) AS upto")
     least = ranks.filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
     return counts.filter((F.col("n") >= (least if least is not None else 2**62)) | F.col("word").isin(*always))
@@ -52,13 +52,11 @@ def word_counts(text: Column, frame: DataFrame, most: int = DICTIONARY, always:
 class Segmenter:
     """Splits names into their most probable words; an unknown word costs ten times more with every letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = math.log(sum(counts.values()) + 1)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = math.log((sum(counts.values()) if total is None else total) + 1)
         self.cost = {w: self.total - math.log(n) for w, n in counts.items()}
-        self.name = lru_cache(maxsize=100_000)(self._name)
-        self.host = lru_cache(maxsize=100_000)(lambda host: self.tokens(host))
 
-    def _name(self, name: str) -> tuple[str, ...]:
+    def name(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             found = []
@@ -75,52 +73,84 @@ class Segmenter:
             end = back[end]
         return tuple(reversed(words))
 
-    def tokens(self, text: str) -> list[str]:
-        """Words of all runs of a-z, other letters as they are, and ``0`` for a number."""
-        out = []
-        for run in re.findall(r"[a-z]+|[0-9]+|[^\W\d_]+", text.lower()):
-            out += self.name(run) if "a" <= run[0] <= "z" else ["0"] if run.isdecimal() else [run]
-        return out
+
+def runs(text: str) -> list[str]:
+    """All runs of a-z, runs of other letters, and ``0`` for a number."""
+    return ["0" if run.isdecimal() else run for run in re.findall(r"[a-z]+|[0-9]+|[^\W\d_]+", text.lower())]
 
 
 def buckets(tokens: Sequence[str], size: int = TOKENS) -> list[int]:
     return [xxhash.xxh64_intdigest(t) % size for t in tokens]
 
 
-def segmented(pages: DataFrame, counts: dict[str, int], unwanted: Sequence[str], size: int) -> DataFrame:
-    """Adds ``tokens`` (host words marked ``h:``, path words ``p:``), ``marked`` and ``buckets`` to (row, host, path)."""
-    bad = frozenset(unwanted)
+def segments(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(name, words) for every row of ``names`` (different names of a-z), which meet those of the words ``counts`` (word, n) that they hold."""
+
+    def parts(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                found = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "word"])
 
     def run(batches):
-        own = Segmenter(counts)
         for batch in batches:
-            names, marks, numbers = [], [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                words = own.host(host)
-                tokens = [f"h:{w}" for w in words] + [f"p:{w}" for w in own.tokens(path)]
-                names.append(tokens)
-                marks.append(not bad.isdisjoint(words))
-                numbers.append(buckets(tokens, size))
-            columns = [*batch.columns, pa.array(names, pa.list_(pa.string())), pa.array(marks), pa.array(numbers, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "tokens", "marked", "buckets"])
+            known = [{e["word"]: e["n"] for e in x or ()} for x in batch.column(1).to_pylist()]
+            words = [Segmenter(k, total).name(name) for name, k in zip(batch.column(0).to_pylist(), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
+
+    held = names.mapInArrow(parts, "name string, word string").join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    return names.join(held, "name", "left").select("name", "held").mapInArrow(run, "name string, words array<string>")
 
-    spark_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{spark_type}, tokens array<string>, marked boolean, buckets array<int>")
 
+def segmented(pages: DataFrame, counts: DataFrame, total: int, unwanted: Sequence[str], size: int) -> DataFrame:
+    """Adds ``tokens`` (host words marked ``h:``, path words ``p:``), ``marked`` and ``buckets`` to (row, host, path)."""
+    bad = frozenset(f"h:{w}" for w in unwanted)
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            for host, path, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(at, i, kind, name) for i, (kind, name) in enumerate([("h:", x) for x in runs(host)] + [("p:", x) for x in runs(path)])]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["address", "i", "kind", "name"])
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str = "page_id", url_column: str = "url", text_column: str = "html", unwanted: Sequence[str] = UNWANTED, dictionary: int = DICTIONARY, size: int = TOKENS) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            names = batch.column("tokens").to_pylist()
+            marks = [not bad.isdisjoint(x) for x in names]
+            numbers = [buckets(x, size) for x in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.bool_()), pa.array(numbers, pa.list_(pa.int32()))], [*batch.schema.names, "marked", "buckets"])
+
+    # Addresses are cut into names once each, and names into words once each.
+    addresses = stored(pages.select("host", "path").distinct().withColumn("address", F.monotonically_increasing_id()))
+    pieces = stored(addresses.select("host", "path", "address").mapInArrow(split, "address long, i int, kind string, name string"))
+    names = stored(pieces.select("name").filter(F.col("name").rlike("^[a-z]+$")).distinct())
+    words = pieces.join(segments(names, counts, total), "name", "left").withColumn("words", F.coalesce("words", F.array("name")))
+    inorder = F.array_sort(F.collect_list(F.struct("i", F.transform("words", lambda w: F.concat("kind", w)).alias("words"))))
+    tokens = words.groupBy("address").agg(F.flatten(inorder["words"]).alias("tokens"))
+    known = addresses.join(tokens, "address", "left").select("host", "path", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    rows = pages.join(known, ["host", "path"]).select(*pages.columns, "tokens")
+    spark_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return stored(rows.mapInArrow(run, f"{spark_type}, marked boolean, buckets array<int>"))
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str = "page_id", url_column: str = "url", text_column: str = "html", unwanted: Sequence[str] = UNWANTED, dictionary: int | None = None, size: int = TOKENS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, tokens) for every row of ``pages``.
 
     A listed rule decides where one fits. Else naive Bayes does: host names and paths are split into words by a
     unigram model of the words in ``text_column`` of all pages; pages whose host has an unwanted word are the examples
     of class block, all others of class allow; add-one smoothed token counts of all pages, in ``size`` hashed cells,
-    give the log odds ``score``, and over 0 blocks. Both models have a fixed size, whatever the number of pages. NULL
+    give the log odds ``score``, and over 0 blocks. All words are in the unigram model unless ``dictionary`` limits it. NULL
     and unreadable URLs have no tokens: their score is the log odds of the classes. With no example all is allowed.
     """
     text = F.coalesce(F.col(text_column), F.lit("")) if text_column in pages.columns else F.lit("")
-    counts = dict.fromkeys(unwanted, 1) | {r.word: r.n for r in word_counts(text, pages, dictionary, unwanted).collect()}
+    counts = word_counts(text, pages, dictionary, unwanted)
+    absent = pages.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, unwanted)).cast("array<string>")).alias("word"), F.lit(1).cast("long").alias("n"))
+    counts = stored(counts.unionAll(absent.join(counts, "word", "left_anti")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     host, path = host_and_path(F.col(url_column))
-    rows = segmented(pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path")), counts, unwanted, size)
+    rows = segmented(pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path")), counts, total, unwanted, size)
 
     cells = np.zeros((2, size))
     for r in rows.select("marked", F.explode("buckets").alias("bucket")).groupBy("marked", "bucket").agg(F.count("*").alias("n")).toLocalIterator():

@@ -70,3 +70,13 @@ def test_unwanted_words_keep_their_counts(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r.tokens for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()}
     assert [got[i][:-2] for i in range(3)] == [["h:big", "h:casino"], ["h:adult"], ["h:good"]]
+
+
+def test_rare_words_split_names_in_large_dictionaries(spark, tmp_path):
+    """Words seen once count too, when there are more of them than a fixed dictionary would hold."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join("q" + "".join(x) for x in itertools.islice(itertools.product(letters, repeat=4), 60_000))
+    rows = [(0, "http://xylophonezebra.net/a", f"xylophone zebra {many}"), (1, "http://xylophonezebra.net/b", "the land")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.tokens for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()}
+    assert got[0][:2] == got[1][:2] == ["h:xylophone", "h:zebra"]

@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from licensum.llm.common import stored
 
 TOKENS, LONGEST = 65_536, 24
-# Words that mark the pages to learn from.
-UNWANTED = ("adult", "bet", "bets", "betting", "casino", "gambling", "poker", "porn", "sex", "slots", "xxx")
+# Host words that mark the pages to learn from, by class of unwanted hosts.
+UNWANTED_CLASSES = {
+    "adult": ("adult", "porn", "sex", "xxx"),
+    "gambling": ("bet", "bets", "betting", "casino", "gambling", "poker", "slots"),
+    "advertising and tracking": ("ads", "adserver", "popunder", "tracker", "tracking"),
+    "spam and link farms": ("backlinks", "linkfarm", "spam"),
+    "pharmacy": ("cialis", "pharmacy", "pills", "viagra"),
+}
+UNWANTED = tuple(word for words in UNWANTED_CLASSES.values() for word in words)
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -140,7 +147,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str
 
     A listed rule decides where one fits. Else naive Bayes does: host names and paths are split into words by a
     unigram model of the words in ``text_column`` of all pages; pages whose host has an unwanted word are the examples
-    of class block, all others of class allow; add-one smoothed token counts of all pages, in ``size`` hashed cells,
+    of class block, all others of class allow, but for those that a first model blocks; add-one smoothed token counts of the examples, in ``size`` hashed cells,
     give the log odds ``score``, and over 0 blocks. All words are in the unigram model unless ``dictionary`` limits it. NULL
     and unreadable URLs have no tokens: their score is the log odds of the classes. With no example all is allowed.
     """
@@ -152,17 +159,32 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str
     host, path = host_and_path(F.col(url_column))
     rows = segmented(pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path")), counts, total, unwanted, size)
 
-    cells = np.zeros((2, size))
-    for r in rows.select("marked", F.explode("buckets").alias("bucket")).groupBy("marked", "bucket").agg(F.count("*").alias("n")).toLocalIterator():
-        cells[int(r.marked), r.bucket] = r.n
-    prior = {r.marked: r["count"] for r in rows.groupBy("marked").count().collect()}
-    if prior.get(True, 0) and prior.get(False, 0):
+    def learned(examples: DataFrame) -> tuple[np.ndarray, float]:
+        """Log odds of the cells and of the classes."""
+        cells = np.zeros((2, size))
+        for r in examples.select("marked", F.explode("buckets").alias("bucket")).groupBy("marked", "bucket").agg(F.count("*").alias("n")).toLocalIterator():
+            cells[int(r.marked), r.bucket] = r.n
+        prior = {r.marked: r["count"] for r in examples.groupBy("marked").count().collect()}
+        if not (prior.get(True, 0) and prior.get(False, 0)):
+            return np.zeros(size), -math.inf if not prior.get(True, 0) else math.inf
         odds = np.log((cells[1] + 1) / (cells[1].sum() + size)) - np.log((cells[0] + 1) / (cells[0].sum() + size))
-        start = math.log(prior[True] / prior[False])
+        return odds, math.log(prior[True] / prior[False])
+
+    odds, start = learned(rows)
+
+    def unlike(batches):
+        for batch in batches:
+            score = np.array([start + sum(odds[b] for b in row) for row in batch.column("buckets").to_pylist()])
+            yield batch.filter(pa.array((score <= 0) | batch.column("marked").to_numpy(zero_copy_only=False)))
+
+    # Unmarked pages that resemble marked ones teach neither class.
+    if math.isfinite(start):
+        again = learned(rows.select("marked", "buckets").mapInArrow(unlike, "marked boolean, buckets array<int>"))
+        final = again if math.isfinite(again[1]) else (odds, start)
     else:
-        odds, start = np.zeros(size), -math.inf if not prior.get(True, 0) else math.inf
+        final = odds, start
 
-    def run(batches):
+    def run(batches, odds=final[0], start=final[1]):
         for batch in batches:
             score = [start + sum(odds[b] for b in row) for row in batch.column("buckets").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "tokens")), pa.array(score, pa.float64())], ["page_id", "host", "path", "tokens", "score"])

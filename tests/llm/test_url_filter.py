@@ -80,3 +80,14 @@ def test_rare_words_split_names_in_large_dictionaries(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r.tokens for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()}
     assert got[0][:2] == got[1][:2] == ["h:xylophone", "h:zebra"]
+
+
+def test_all_classes_of_unwanted_hosts_are_examples(spark, tmp_path):
+    """Unmarked pages that resemble marked ones do not teach class allow."""
+    names = ["ads-track", "spam-farm", "cheap-pills", "casino-win", "adult-x"]
+    bad = [f"http://{n}{i}.biz/offer/{i}" for n in names for i in range(8)] + [f"http://win-x{i}.biz/offer/{i}" for i in range(8)]
+    good = [f"http://garden{i}.net/news/{i}" for i in range(60)]
+    rows = [(i, u, "ads track spam farm cheap pills casino win adult bargain garden offer news") for i, u in enumerate([*bad, *good])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.verdict, r.score) for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(108)] == ["block"] * 48 + ["allow"] * 60

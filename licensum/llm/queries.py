@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from licensum.llm import bpe, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, range_coder, simhash, url_filter
+from licensum.llm import bpe, chat_format, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, range_coder, simhash, url_filter
 from licensum.session import shared_folder
 
 QUERIES, ORACLES = {}, {}
@@ -100,6 +100,33 @@ def op10(spark, folder):
     return judged.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
+@query(
+    "op11_chat_format",
+    r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    f AS (
+      SELECT *, concat('<turn:', url_encode(role), '>',
+        regexp_replace(text, '<(\\*)(/?(turn|text|image|audio|document|part)[:>])', '<\\\1\2', 'g'), '</turn>', chr(10)) AS formatted
+      FROM t),
+    g AS (
+      SELECT conv_id, count(*) AS n_turns, sum(length(formatted))::BIGINT AS formatted_chars,
+        string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, formatted) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '') AS loss
+      FROM f GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+    """,
+)
+def op11(spark, folder):
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = shared_folder(spark)
+    chat_format.write(chat_format.format_turns(turns), path)
+    return chat_format.digests(spark.read.parquet(path)).drop("expanded_tokens")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

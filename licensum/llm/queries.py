@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from licensum.llm import bpe, chat_format, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, range_coder, simhash, spelling, url_filter
+from licensum.llm import bpe, chat_format, exact_dedup, hilbert_shards, language_id, maxent_lm, mixing, quality, range_coder, simhash, spelling, url_filter, whitening
 from licensum.session import shared_folder
 
 QUERIES, ORACLES = {}, {}
@@ -132,6 +132,11 @@ def op12(spark, folder):
     return spelling.variants(spelling.vocabulary(table(spark, folder, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query("op13_whitened_embeddings")
+def op13(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

@@ -1,9 +1,7 @@
 """Near duplicates: SimHash fingerprints, and covering locality-sensitive hashing to find all pairs within a radius."""
 
-import hashlib
-import math
 import random
-from collections import Counter
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -44,55 +42,37 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def weighted_majority(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """As ``majority``, with integer weights."""
-    full = counts > 0
-    out = np.zeros(len(counts), np.uint64)
-    n = counts[full]
-    if not len(n):
-        return out
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    sums = np.add.reduceat((2 * bits - 1) * weights[:, None], np.cumsum(n) - n, axis=0)
-    out[full] = np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
-
-
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
     if len(words) <= size:
         return [b" ".join(words)] if words else []
     return words if size == 1 else list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def text_fingerprints(texts: list[bytes], shingle: int, damped: bool) -> np.ndarray:
+def text_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     digest, seed = xxhash.xxh64_digest, SEED
-    hashes, counts, weights = [], [], []
+    hashes, counts = [], []
     for text in texts:
-        found = _shingles(text.lower().split(), shingle)
-        if damped:
-            repeats = Counter(found)
-            weights += [round(1024 * math.log1p(x)) for x in repeats.values()]
-            found = list(repeats)
-        hashes += [digest(x, seed) for x in found]
+        found = [digest(x, seed) for x in _shingles(text.lower().split(), shingle)]
+        hashes.append(b"".join(found))
         counts.append(len(found))
-    hashes, counts = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64), np.array(counts, np.int64)
-    return weighted_majority(hashes, np.array(weights, np.int64), counts) if damped else majority(hashes, counts)
+    return majority(np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64), np.array(counts, np.int64))
 
 
-def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, damped: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row: fp is the SimHash of the whole text as a signed long.
+def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, columns: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, ...) for every row: fp is the SimHash of the whole text as a signed long; ``columns`` are carried along.
 
-    A-Z is lower-cased; the features are runs of ``shingle`` words, repeats included; with ``damped`` each different
-    one counts once with weight log(1 + repeats). A text of fewer words is one feature; a text without words, NULL
-    included, has fingerprint 0.
+    A-Z is lower-cased; the features are runs of ``shingle`` words, repeats included. A text of fewer words is one
+    feature; a text without words, NULL included, has fingerprint 0.
     """
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, 1):
-                fp = text_fingerprints(raw(part.column(1)), shingle, damped)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                fp = text_fingerprints(raw(part.column(1)), shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *columns])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), *columns).mapInArrow(run, "doc_id long, fp long" + carried)
 
 
 # --- covering hashing -----------------------------------------------------------------------------------------------
@@ -124,20 +104,18 @@ def path_mask(path: int, radius: int) -> int:
 
 
 def _expand(rows: DataFrame, radius: int) -> DataFrame:
-    """(path, fp, ...) to (path, key, fp, ...): a row for each finer table; further columns are longs."""
-    more = rows.columns[2:]
+    """(path, fp) to (path, key, fp): a row for each finer table."""
 
     def run(batches):
         for batch in batches:
             path, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for p in np.unique(path):
-                chosen = path == p
-                own, carried = fp[chosen], [c.filter(pa.array(chosen)) for c in batch.columns[2:]]
+                own = fp[path == p]
                 for v, mask in enumerate(path_masks(int(p), radius), 1):
                     key = own & np.uint64(mask).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), (int(p) << (radius + 1)) + v)), pa.array(key), pa.array(own), *carried], ["path", "key", "fp", *more])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), (int(p) << (radius + 1)) + v)), pa.array(key), pa.array(own)], ["path", "key", "fp"])
 
-    return rows.mapInArrow(run, "path long, key long, fp long" + "".join(f", `{c}` long" for c in more))
+    return rows.mapInArrow(run, "path long, key long, fp long")
 
 
 def _near(values: np.ndarray, radius: int):
@@ -162,158 +140,55 @@ def bucket_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return list(zip(values[member].tolist(), values[label[member]].tolist(), strict=True))
 
 
-def bucket_neighbours(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links to be verified, at most two for each value: to its nearest value, and to the neighbour with the most neighbours."""
-    words = np.sort(values)
-    unsigned = words.view(np.uint64)
-    blocks = [(i, np.bitwise_count(unsigned[i : i + 512, None] ^ unsigned[None, :])) for i in range(0, len(words), 512)]
-    degree = np.concatenate([(d <= radius).sum(axis=1) for _, d in blocks])
-    out = set()
-    for i, d in blocks:
-        row = np.arange(len(d))
-        d = d.astype(np.int64)
-        d[row, row + i] = 99
-        near = d <= radius
-        has = near.any(axis=1)
-        for pick in (d.argmin(axis=1), np.where(near, degree[None, :], -1).argmax(axis=1)):
-            out |= set(zip(words[i + row[has]].tolist(), words[pick[has]].tolist(), strict=True))
-    return [(max(x), min(x)) for x in out]
-
-
-def bucket_pairs(values: np.ndarray, labels: pa.Array, radius: int):
-    """Blocks (a, b) of all pairs within the radius, a > b, but for those with one label; a NULL label is like no other."""
-    mixed, label = labels.is_null().to_numpy(zero_copy_only=False), labels.fill_null(0).to_numpy()
-    for i, near in _near(values.view(np.uint64), radius):
-        own = slice(i, i + len(near))
-        other = mixed[own, None] | mixed[None, :] | (label[own, None] != label[None, :])
-        x, y = np.nonzero(near & other & (values[own, None] > values[None, :]))
-        yield values[own][x], values[y]
-
-
-def links(nodes: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET, pick=bucket_links) -> DataFrame:
-    """(a, b): links between the different fingerprints of ``nodes`` (fp).
+def links(nodes: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links that connect the different fingerprints of ``nodes`` (fp) as all pairs within the radius do.
 
     Every pair within the radius shares a bucket of some table. Buckets of up to ``bucket`` fingerprints are compared
     in one numpy block; larger ones are dealt anew by covering masks over the bits that their table hides, about half
-    each time, until they are small (a table that hides h bits has buckets of 2^h fingerprints at most). ``pick`` keeps
-    links that connect the same fingerprints as all pairs do, a number in proportion to the bucket. If ``nodes`` has a
-    ``label`` too, the links are all pairs but those of one label (see ``bucket_pairs``), and ``pick`` is not used.
+    each time, until they are small (a table that hides h bits has buckets of 2^h fingerprints at most). A bucket gives
+    a link for each fingerprint at most.
     """
-    more = nodes.columns[1:]
-    rows = nodes.select(F.lit(0).cast("long").alias("path"), "fp", *more)
+    rows = nodes.select(F.lit(0).cast("long").alias("path"), "fp")
     found = None
 
     def run(batches):
         for batch in batches:
-            if more:
-                for bucket in batch.column(0):
-                    for a, b in bucket_pairs(bucket.values.field(0).to_numpy(), bucket.values.field(1), radius):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                continue
-            out = [x for values in batch.column(0) for x in pick(np.array(values.values, np.int64), radius)]
+            out = [x for values in batch.column(0) for x in bucket_links(np.array(values.values, np.int64), radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     while True:
         tables = _expand(rows, radius)
         sizes = stored(tables.groupBy("path", "key").agg(F.count("*").alias("n")).filter("n > 1"))
-        small = tables.join(sizes.filter(F.col("n") <= bucket), ["path", "key"]).groupBy("path", "key").agg(F.collect_list(F.struct("fp", *more) if more else F.col("fp")).alias("fps"))
+        small = tables.join(sizes.filter(F.col("n") <= bucket), ["path", "key"]).groupBy("path", "key").agg(F.collect_list("fp").alias("fps"))
         level = small.select("fps").mapInArrow(run, "a long, b long")
         found = level if found is None else found.unionAll(level)
         if sizes.filter(F.col("n") > bucket).isEmpty():
             return found.distinct()
-        rows = stored(tables.join(sizes.filter(F.col("n") > bucket), ["path", "key"]).select("path", "fp", *more))
-
+        rows = stored(tables.join(sizes.filter(F.col("n") > bucket), ["path", "key"]).select("path", "fp"))
 
-# --- near duplicates by shingles ------------------------------------------------------------------------------------
 
-WORDS, SIMILARITY, WIDE = 5, 0.8, 5
+# --- near duplicates ------------------------------------------------------------------------------------------------
 
 
-def text_shingles(text: bytes, shingle: int) -> bytes:
-    """The different hashes of the text's shingles in order."""
-    digests = b"".join(map(xxhash.xxh64_digest, _shingles(text.lower().split(), shingle)))
-    return np.unique(np.frombuffer(digests, np.uint64)).tobytes()
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the shingles of two texts; 0 without any."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.sort(np.concatenate([x, y]))
-    both = int((union[1:] == union[:-1]).sum())
-    return both / (len(union) - both) if len(union) else 0.0
+def _rooted(nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """``nodes`` (fp, ...) with ``root``, one fingerprint of the component."""
+    roots = connected(links(nodes, radius=radius, bucket=bucket)).withColumnsRenamed({"node": "fp"})
+    return nodes.join(roots, "fp", "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(rows: DataFrame, *, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
-    """(place, keeper, ...) for every row of ``rows`` (place, doc_id, text, ...) that has near duplicates; place numbers the rows.
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others; see ``addressed``) without all but one of each component of near duplicates.
 
-    Texts are near duplicates if the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more.
-    Candidates are neighbours by covering hashing, within ``radius`` bits, of SimHash fingerprints of single words with
-    damped counts, which differ little between texts with few changed words. Texts with equal sets are one node.
-    Links of each node to few neighbours are verified by the whole sets first; then all candidate pairs that these have
-    not connected are, so that every pair within ``radius`` is either verified or within a group already. Linked texts
-    are a group, and keeper is its row with the smallest doc_id, then place. Texts without words have no duplicates here.
-    Further columns of ``rows`` are carried to the result; rows are read once, so place need not be the same in a second read.
+    Components are those of ``simhash_components``; the row with the smallest doc_id stays, a row without an id only if
+    no other has one, and of rows equal in this the first by file and line. An empty table stays empty.
     """
-    more = rows.columns[3:]
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, 2):
-                texts = raw(part.column(2))
-                fp = text_fingerprints(texts, 1, True).view(np.int64)
-                sets = [text_shingles(t, shingle) for t in texts]
-                same = [hashlib.sha256(x).digest() for x in sets]
-                size = [len(x) // 8 for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(sets, pa.binary()), *part.columns[3:]], ["place", "doc_id", "fp", "same", "size", "shingles", *more])
-
-    def verify(batches):
-        for batch in batches:
-            keep = [likeness(x, y) >= similarity for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs):
-        """The pairs (a, b) of places that are near duplicates."""
-        pairs = pairs.join(shingles.selectExpr("place AS a", "shingles AS s"), "a").join(shingles.selectExpr("place AS b", "shingles AS t"), "b")
-        return stored(pairs.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long"))
-
-    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])
-    texts = stored(rows.select("place", "doc_id", "text", *more).mapInArrow(run, "place long, doc_id long, fp long, same binary, size long, shingles binary" + carried))
-    shingles = texts.select("place", "shingles")
-    worded = texts.filter("size > 0").select("place", "fp", "same", "size")
-    nodes = stored(worded.groupBy("fp", "same").agg(F.min("place").alias("node"), F.first("size").alias("size")))
-    copies = worded.join(nodes.select("fp", "same", "node"), ["fp", "same"]).filter("place > node").selectExpr("place AS a", "node AS b")
-
-    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    own = nodes.join(first, "fp").filter("node > first").selectExpr("node AS a", "first AS b")
-    near = links(first.select("fp"), radius=radius, pick=bucket_neighbours)
-    near = near.join(first.selectExpr("fp AS a", "first AS x"), "a").join(first.selectExpr("fp AS b", "first AS y"), "b").selectExpr("x AS a", "y AS b")
-    few = verified(stored(own.unionAll(near)))
-
-    # All other pairs: of fingerprints with different groups, then of these groups, then of their texts.
-    group = stored(nodes.join(connected(few), "node", "left").select("fp", "node", "size", F.coalesce("root", "node").alias("group")))
-    kinds = stored(group.groupBy("fp", "group").agg(F.min("size").alias("least"), F.max("size").alias("most")))
-    label = F.when(F.min("group") == F.max("group"), F.min("group"))
-    labels = stored(kinds.groupBy("fp").agg(label.alias("label")))
-    pairs = links(labels, radius=radius).unionAll(labels.filter("label IS NULL").selectExpr("fp AS a", "fp AS b"))
-    side = lambda table, fp, mark: table.select(*(F.col(c).alias(fp if c == "fp" else c + mark) for c in table.columns))
-    fits = lambda small, large: F.expr(f"{small} / {large} >= {similarity!r}D")
-    pairs = pairs.join(side(kinds, "a", "_a"), "a").join(side(kinds, "b", "_b"), "b")
-    pairs = stored(pairs.filter("group_a <> group_b AND (a <> b OR group_a < group_b)").filter(fits("most_a", "least_b") & fits("most_b", "least_a")).select("a", "b", "group_a", "group_b"))
-    pairs = pairs.join(side(group, "a", "_a"), ["a", "group_a"]).join(side(group, "b", "_b"), ["b", "group_b"])
-    rest = verified(stored(pairs.filter(fits("least(size_a, size_b)", "greatest(size_a, size_b)")).selectExpr("node_a AS a", "node_b AS b")))
-
-    roots = stored(connected(copies.unionAll(few).unionAll(rest)))
-    keepers = roots.join(texts.selectExpr("place AS node", "doc_id"), "node").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best"))
-    found = roots.join(keepers, "root").selectExpr("node AS place", "best.node AS keeper")
-    return found.join(texts.select("place", *more), "place") if more else found
-
-
-def drop_near_duplicates(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others; see ``addressed``) without all but one of each group of near duplicates."""
     rows = addressed(docs)
-    place = F.monotonically_increasing_id().alias("place")
-    groups = near_duplicates(rows.select(place, F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "file", "line"), **limits)
-    dropped = groups.filter("place <> keeper").select("file", "line")
+    fps = fingerprints(rows.select("row.doc_id", "row.text", "file", "line"), shingle=shingle, columns=["file", "line"])
+    fps = stored(fps.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "line").alias("place"), "fp"))
+    nodes = stored(fps.groupBy("fp").agg(F.min("place").alias("least")))
+    rooted = _rooted(nodes, radius, bucket)
+    keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
+    dropped = fps.join(rooted.join(keepers, "root").select("fp", "keeper"), "fp").filter("place <> keeper").select("place.file", "place.line")
     return rows.join(dropped.hint("shuffle_hash"), ["file", "line"], "left_anti").select("row.*")
 
 
@@ -327,7 +202,6 @@ def simhash_components(docs: DataFrame, *, id_column: str = "doc_id", text_colum
     """
     fps = stored(fingerprints(docs, id_column=id_column, text_column=text_column, shingle=shingle))
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(nodes, radius=radius, bucket=bucket)).withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(nodes, radius, bucket)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

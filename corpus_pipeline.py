@@ -29,7 +29,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose texts share four fifths of their runs of five words."""
+    """One document of each group whose SimHash fingerprints of three-word runs are within three bits of each other."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -9,9 +9,8 @@ from licensum import vocab
 from licensum.functions import text
 from licensum.operators import councils as C
 from licensum.operators import pages as P
-from licensum.operators.resolve import first_per_key
 from licensum.plans import discovery, extraction
-from licensum.session import shared_folder
+from licensum.session import kept
 
 F3 = f"WITH register_pages AS ({duck(REGISTER_PAGES)})"
 F5 = f"WITH card_pages AS ({duck(CARD_PAGES)})"
@@ -221,12 +220,12 @@ def _(t):
 
 
 _FORMS = r"list_transform(string_split_regex(m, '(?i)<form(?:[\s/][^>]*)?>')[2:], lambda f: split_part(f, '</form', 1))"
-_TABLE_ROWS = r"list_transform(list_slice(string_split_regex(m, '(?i)<table(?:[\s/][^>]*)?>'), 2, 3), lambda t: CAST(len(regexp_extract_all(split_part(t, '</table', 1), '(?i)<tr(?:[\s/][^>]*)?>')) AS VARCHAR))"
+_TABLE_ROWS = r"list_transform(string_split_regex(m, '(?i)<table(?:[\s/][^>]*)?>')[2:], lambda t: CAST(len(regexp_extract_all(split_part(t, '</table', 1), '(?i)<tr(?:[\s/][^>]*)?>')) AS VARCHAR))"
 
 
 def _structure(table):
-    inputs = lambda tag, n: f"array_to_string(list_transform({_FORMS}[1:{n}], lambda f: CAST({Q.count('f', Q.opening(tag))} AS VARCHAR)), ';')"
-    return f"""SELECT page_id, CAST(len({_FORMS}) AS INTEGER) AS n_forms, {inputs('input', 3)} AS form_inputs, {inputs('select', 2)} AS form_selects,
+    inputs = lambda tag: f"array_to_string(list_transform({_FORMS}, lambda f: CAST({Q.count('f', Q.opening(tag))} AS VARCHAR)), ';')"
+    return f"""SELECT page_id, CAST(len({_FORMS}) AS INTEGER) AS n_forms, {inputs('input')} AS form_inputs, {inputs('select')} AS form_selects,
   CAST({Q.count('m', Q.opening('table'))} AS INTEGER) AS n_tables, array_to_string({_TABLE_ROWS}, ';') AS table_rows,
   CAST({Q.count('m', '(?i)<div' + chr(92) + 's(?:[^>]*?' + chr(92) + 's)?class' + chr(92) + 's*=')} AS INTEGER) AS n_class_divs FROM (SELECT page_id, {Q.markup('html')} AS m FROM {table})"""
 
@@ -293,7 +292,7 @@ def _(t):
 _STATUS_MAPPED = "CASE o_orderstatus WHEN 'F' THEN 'granted' WHEN 'O' THEN 'pending' ELSE 'under_review' END"
 _LICENCE_ROWS = f"""SELECT o_orderkey AS page_id, 'Red Lion ' || (o_custkey % 40) AS premises_name, (o_custkey % 200) || ' High St & Co' AS premises_address, 'new' AS licence_type,
   {_STATUS_MAPPED} AS licence_status, 'Red Lion ' || (o_custkey % 40) || ' | ' || (o_custkey % 200) || ' High St & Co | ' || {_STATUS} AS raw_data,
-  'https://www.council' || c_nationkey || '.gov.uk/business/licensing' AS url
+  'https://www.council' || o_custkey || '.gov.uk/business/licensing' AS url
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 0"""
 
 
@@ -310,46 +309,49 @@ def _(t):
     return rows.select("page_id", F.col("r")["premises name"].alias("name"), F.col("r")["status"].alias("status"))
 
 
-@query(
-    "h22_extraction_cascade",
-    f"""WITH cards AS (SELECT o_orderkey AS page_id, {CARD_ONE} AS a, {CARD_TWO} AS b FROM orders)
-SELECT 'table' AS step, count(*) AS n FROM ({_LICENCE_ROWS})
-UNION ALL SELECT 'card', count(*) FILTER (length(a) > 50) + count(*) FILTER (length(b) > 50) FROM cards
-UNION ALL SELECT 'text', (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0)""",
-)
-def _(t):
-    cards_from = F.col("page_id") + 1000000000
-    pages = t.register_pages.unionByName(t.card_pages.withColumn("page_id", cards_from))
-    # Written once, as the three results are read from it.
-    path = f"{shared_folder(t.spark)}/items"
-    extraction.read_pages(pages).write.parquet(path)
-    items = t.spark.read.parquet(path)
-    texts = extraction.items_texts(items).join(items.select("page_id", "step"), "page_id")
-    steps = extraction.items_licences(items).select(F.lit("table").alias("step")).unionAll(texts.select("step"))
-    return steps.groupBy("step").agg(F.count("*").alias("n"))
+_CASCADE = f"""cascade AS (
+  SELECT page_id, url, 'table' AS step, premises_name, premises_address FROM ({_LICENCE_ROWS})
+  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'card', 'Red Lion ' || (o_custkey % 40), (o_custkey % 200) || ' High Street, Leeds' FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'card', 'Kebab House', '12 Mill Road, York' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0
+  UNION ALL SELECT o_orderkey, 'https://www.council' || o_custkey || '.gov.uk/business/licensing', 'text', 'Text Inn ' || (o_custkey % 7), o_custkey || ' Low Rd' FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'text', 'Text Inn ' || (o_custkey % 7), o_custkey || ' Low Rd' FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
-# One page per council address, so that a join to pages by address is a lookup.
-def _council_pages(t):
-    return first_per_key(t.register_pages, ["url"], ["page_id"])
+def _all_pages(t):
+    """Register and card pages; the latter are numbered behind the former."""
+    return t.register_pages.unionByName(t.card_pages.withColumn("page_id", F.col("page_id") + 1000000000))
 
 
-_COUNCIL_PAGES = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM ({_LICENCE_ROWS.replace(' WHERE o_orderkey % 5 <> 0', '')})) WHERE rn = 1 AND page_id % 5 <> 0"
+@query("h22_extraction_cascade", f"WITH {_CASCADE} SELECT page_id, step, premises_name, premises_address FROM cascade")
+def _(t):
+    items = kept(extraction.read_pages(_all_pages(t)))
+    return extraction.cascade_licences(items, t.card_answers, t.text_answers).select("page_id", "step", "premises_name", "premises_address")
+
+
+@query(
+    "h22_texts_for_readers",
+    f"""SELECT o_orderkey + 1000000000 AS page_id, 0 AS item, {CARD_ONE} AS text FROM orders UNION ALL SELECT o_orderkey + 1000000000, 1, {CARD_TWO} FROM orders WHERE o_orderkey % 2 = 1
+UNION ALL SELECT o_orderkey, NULL, {Q.visible('html')} FROM orders JOIN ({duck(REGISTER_PAGES)}) ON page_id = o_orderkey WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey + 1000000000, NULL, {Q.visible('html')} FROM orders JOIN ({duck(CARD_PAGES)}) ON page_id = o_orderkey""",
+)
+def _(t):
+    items = kept(extraction.read_pages(_all_pages(t)))
+    return extraction.items_cards(items).unionByName(extraction.items_texts(items), allowMissingColumns=True)
 
 
 @query(
     "j3_linked_pages",
-    f"""WITH targets AS ({_COUNCIL_PAGES}) SELECT c_custkey AS page_id, 1 AS rank, premises_name FROM customer JOIN targets ON url = 'https://www.council' || c_nationkey || '.gov.uk/business/licensing'""",
+    f"""SELECT c_custkey AS page_id, 1 AS rank, premises_name FROM customer JOIN ({_LICENCE_ROWS}) ON url = 'https://www.council' || c_custkey || '.gov.uk/business/licensing'""",
 )
 def _(t):
     sources = t.table("customer").select(
         F.col("c_custkey").alias("page_id"),
         F.array(
             F.lit("https://www.nowhere.gov.uk/"),
-            F.concat(F.lit("https://WWW.council"), F.col("c_nationkey").cast("string"), F.lit(".gov.uk/business/licensing/#list")),
+            F.concat(F.lit("https://WWW.council"), F.col("c_custkey").cast("string"), F.lit(".gov.uk/business/licensing/#list")),
         ).alias("potential_licence_urls"),
     )
-    targets = extraction.table_licences(_council_pages(t)).select("url", "premises_name")
+    targets = extraction.table_licences(t.register_pages).select("url", "premises_name")
     return P.linked_pages(sources, targets).select("page_id", "rank", "premises_name")
 
 
@@ -361,7 +363,7 @@ def _analyses(t):
     return t.councils.filter("seq % 3 <> 0").select(
         F.col("name").alias("council_name"), "seq", (F.col("seq") % 4 == 0).alias("javascript_required"),
         (F.col("seq") % 6 == 0).alias("pagination_detected"),
-        F.array(F.concat(F.col("website_url"), F.lit("/business/licensing")), F.lit("https://x.example.org/")).alias("potential_licence_urls"),
+        F.array(*(F.concat(F.col("website_url"), F.lit(path)) for path in ("/business/licensing", "/cards")), F.lit("https://x.example.org/")).alias("potential_licence_urls"),
     )
 
 
@@ -376,24 +378,34 @@ def _(t):
     return out.select("seq", F.col("analysis").isNotNull().alias("analysed"), "strategy")
 
 
-_EXTRACTED = f"""{COUNCIL_CTE}, targets AS ({_COUNCIL_PAGES}), last AS (SELECT c.name AS cn, arg_max(c.website_url || '/business/licensing', c.seq) AS extra FROM councils c WHERE c.seq % 3 <> 0 GROUP BY 1),
-edges AS (SELECT name, licence_register_url AS u, 0 AS rank FROM councils WHERE coalesce(licence_register_url, '') <> ''
-  UNION ALL SELECT name, extra, 1 FROM councils JOIN last ON name = cn WHERE coalesce(licence_register_url, '') <> ''),
-extracted AS (SELECT DISTINCT name AS council_name, premises_name, premises_address FROM edges JOIN targets ON u = url)"""
+_WITH_CARDS = "SELECT * REPLACE (CASE WHEN seq % 6 = 5 THEN website_url || '/cards' ELSE licence_register_url END AS licence_register_url) FROM councils"
+_EXTRACTED = f"""{COUNCIL_CTE}, {_CASCADE}, asked AS ({_WITH_CARDS}), last AS (SELECT name AS cn, arg_max(website_url, seq) AS site FROM councils WHERE seq % 3 <> 0 GROUP BY 1),
+edges AS (SELECT name, licence_register_url AS u, 0 AS rank FROM asked WHERE coalesce(licence_register_url, '') <> ''
+  UNION ALL SELECT name, site || '/business/licensing', 1 FROM asked JOIN last ON name = cn WHERE coalesce(licence_register_url, '') <> ''
+  UNION ALL SELECT name, site || '/cards', 2 FROM asked JOIN last ON name = cn WHERE coalesce(licence_register_url, '') <> ''),
+extracted AS (SELECT DISTINCT ON (name, lower(premises_name), lower(premises_address)) name AS council_name, premises_name, premises_address, step
+  FROM edges JOIN cascade ON u = url WHERE rank = 0 OR step <> 'text' ORDER BY name, lower(premises_name), lower(premises_address), rank, page_id)"""
+
+
+def _councils_with_cards(t):
+    cards = F.concat("website_url", F.lit("/cards"))
+    return t.councils.withColumn("licence_register_url", F.when(F.col("seq") % 6 == 5, cards).otherwise(F.col("licence_register_url")))
+
+
+def _extracted(t):
+    return extraction.extract_licences(_councils_with_cards(t), _analyses(t), _all_pages(t), card_answers=t.card_answers, text_answers=t.text_answers)
 
 
 @query("l6_extract_licences", f"WITH {_EXTRACTED} SELECT * FROM extracted")
 def _(t):
-    out = extraction.extract_licences(t.councils, _analyses(t), _council_pages(t))
-    return out.select("council_name", "premises_name", "premises_address")
+    return _extracted(t).select("council_name", "premises_name", "premises_address", "step")
 
 
 @query(
     "p9_results_per_council",
     f"""WITH {_EXTRACTED}, n AS (SELECT council_name, count(*) AS k FROM extracted GROUP BY 1)
 SELECT name AS council_name, coalesce(k, 0) > 0 AS success, coalesce(k, 0) AS licences_found, CASE WHEN k IS NULL THEN 'No licence data found' END AS error_message
-FROM councils LEFT JOIN n ON name = council_name WHERE coalesce(licence_register_url, '') <> ''""",
+FROM asked LEFT JOIN n ON name = council_name WHERE coalesce(licence_register_url, '') <> ''""",
 )
 def _(t):
-    licences = extraction.extract_licences(t.councils, _analyses(t), _council_pages(t))
-    return extraction.extraction_results(t.councils, licences)
+    return extraction.extraction_results(_councils_with_cards(t), _extracted(t))

@@ -39,7 +39,7 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
 
 REGISTER_PAGES = """
 SELECT o_orderkey AS page_id,
-  concat('https://www.council', CAST(c_nationkey AS STRING), '.gov.uk/business/licensing') AS url,
+  concat('https://www.council', CAST(o_custkey AS STRING), '.gov.uk/business/licensing') AS url,
   concat('<html><body><nav class="', CASE o_orderkey % 4 WHEN 0 THEN 'gov-nav' WHEN 1 THEN 'wordpress-menu' WHEN 2 THEN 'Drupal-nav' ELSE 'site-header' END, '">',
     '<a href="/register">Public register search</a><a href="premises?id=', CAST(o_custkey AS STRING), '">View licence application</a><a href="https://x.example.org/bins">Bins</a></nav>',
     CASE WHEN o_orderkey % 3 = 0 THEN concat('<form class="search-form">', CASE WHEN o_orderkey % 9 = 0 THEN '<label>Find a licence</label>' ELSE '' END, '<input type="search" placeholder="Search premises"><input type="submit" value="Go"></form>') ELSE '' END,
@@ -56,7 +56,7 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 # Pages with breadcrumbs, menus, a main element and cards, for the operators that need the element tree.
 CARD_PAGES = """
 SELECT o_orderkey AS page_id,
-  concat('https://www.council', CAST(o_custkey % 25 AS STRING), '.gov.uk/cards') AS url,
+  concat('https://www.council', CAST(o_custkey AS STRING), '.gov.uk/cards') AS url,
   concat('<html><body><ul class="breadcrumb"><li><a href="/">Home</a><li><a href="/lic"> Licensing</a></ul>',
     '<div class="main-menu"><a href="/n', CAST(o_orderkey % 9 AS STRING), '">News</a><a>no target</a></div>',
     CASE o_orderkey % 4 WHEN 0 THEN '<main>' WHEN 1 THEN '<div id="content">' WHEN 2 THEN '<article>' ELSE '<section>' END,
@@ -99,9 +99,9 @@ SELECT c_custkey AS seq,
     concat(CASE c_custkey % 4 WHEN 0 THEN 'Area ' WHEN 1 THEN 'Upper-' WHEN 2 THEN ' North ' ELSE 'St Mary''s ' END, CAST(c_custkey % 400 AS STRING),
       CASE c_custkey % 3 WHEN 0 THEN ' City Council' WHEN 1 THEN ' Council' ELSE '' END) END AS name,
   CASE WHEN c_custkey % 3 = 0 THEN concat('C', CAST(c_custkey AS STRING)) END AS code,
-  concat('https://www.council', CAST(c_nationkey AS STRING), '.gov.uk') AS website_url,
-  CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('See https://www.council', CAST(c_nationkey AS STRING), '.gov.uk/licensing). Thanks')
-    WHEN 3 THEN concat('https://www.council', CAST(c_nationkey AS STRING), '.gov.uk/business/licensing') WHEN 4 THEN 'https://example.com/register'
+  concat('https://www.council', CAST(c_custkey AS STRING), '.gov.uk') AS website_url,
+  CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('See https://www.council', CAST(c_custkey AS STRING), '.gov.uk/licensing). Thanks')
+    WHEN 3 THEN concat('https://www.council', CAST(c_custkey AS STRING), '.gov.uk/business/licensing') WHEN 4 THEN 'https://example.com/register'
     ELSE concat('https://www.b', CAST(c_custkey AS STRING), '.gov.uk/reg.;') END AS licence_register_url,
   CASE WHEN c_custkey % 2 = 0 THEN 'England' ELSE 'Unknown' END AS region,
   CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS scrape_successful,
@@ -135,6 +135,20 @@ SELECT c_custkey AS seq, concat('Council ', CAST(c_custkey AS STRING)) AS counci
 FROM {customer}
 """
 
+# What a reader says about single cards, and about the texts of pages; some of it is about pages that need no reader.
+CARD_ANSWERS = """
+SELECT o_orderkey + 1000000000 AS page_id, item,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'No licence here.'
+    WHEN item = 0 THEN concat('{{"premises_name": "Red Lion ', CAST(o_custkey % 40 AS STRING), '", "premises_address": "', CAST(o_custkey % 200 AS STRING), ' High Street, Leeds", "licence_status": "granted"}}')
+    ELSE concat('It says: {{"premises_name": "Kebab House", "premises_address": ', CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '"12 Mill Road, York"' END, '}}') END AS response
+FROM {orders} JOIN (SELECT 0 AS item UNION ALL SELECT 1 AS item) AS items ON item = 0 OR o_orderkey % 2 = 1
+"""
+TEXT_ANSWERS = """
+SELECT page_id, concat('[{{"premises_name": "Text Inn ', CAST(o_custkey % 7 AS STRING), '", "premises_address": "', CAST(o_custkey AS STRING), ' Low Rd"}}',
+    CASE WHEN o_orderkey % 2 = 0 THEN ', {{"premises_name": "", "premises_address": "nowhere"}}' ELSE '' END, ']') AS response
+FROM (SELECT o_orderkey AS page_id, o_orderkey, o_custkey FROM {orders} UNION ALL SELECT o_orderkey + 1000000000, o_orderkey, o_custkey FROM {orders}) AS asked
+"""
+
 ANSWERS = """
 SELECT name, CAST(CASE WHEN min(seq) % 5 = 0 THEN 404 ELSE 200 END AS INT) AS status,
   CASE min(seq) % 4 WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN concat('The page is https://www.c', CAST(min(seq) AS STRING), '.gov.uk/licensing, I think') WHEN 2 THEN 'https://example.com/placeholder' ELSE 'no idea' END AS answer
@@ -201,6 +215,8 @@ class Tables:
     register_files = property(lambda self: self.derived(REGISTER_FILES))
     directory_pages = property(lambda self: self.derived(DIRECTORY_PAGES))
     results = property(lambda self: self.derived(RESULTS))
+    card_answers = property(lambda self: self.derived(CARD_ANSWERS))
+    text_answers = property(lambda self: self.derived(TEXT_ANSWERS))
     answers = property(lambda self: self.derived(ANSWERS))
 
     @property

@@ -132,11 +132,7 @@ def class_text(m: Column) -> Column:
 def script_text(html: Column) -> Column:
     """Contents of all scripts, lower-cased, one per line."""
     pattern = rf"(?is){COMMENT}|<script(?:[\s/][^>]*)?>(.*?)(?:</script\s*>|\z)"
-    return F.lower(F.array_join(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), "\n"))
-
-
-def count_matches(c: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    return _held(html, lambda x: F.lower(F.array_join(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), "\n")))
 
 
 def opening(tag: str) -> str:
@@ -144,8 +140,22 @@ def opening(tag: str) -> str:
 
 
 def pieces(c: Column, pattern: str) -> Column:
-    """What follows each match of ``pattern``, up to the next one."""
-    return rest(F.split(c, pattern))
+    """What follows each match of a tag pattern, up to the next one."""
+    return rest(parts(c, pattern))
+
+
+#: A whole tag. What a page's features look for are tags of an array that one scan of the page gives.
+ANY_TAG = r"</?[A-Za-z][^>]*>"
+
+
+def tags(m: Column) -> Column:
+    """All tags of a page's markup in document order."""
+    return _held(m, lambda x: F.regexp_extract_all(x, F.lit(ANY_TAG), F.lit(0)))
+
+
+def is_tag(t: Column, name: str) -> Column:
+    """Whether a tag opens an element, or with ``/`` in front of the name closes it."""
+    return t.rlike(rf"(?i)^<{name}[\s/>]")
 
 
 def rest(c: Column) -> Column:
@@ -184,10 +194,11 @@ def website_type(css: Column) -> Column:
 
 def has_search(m: Column) -> Column:
     """A form, input or button with a search class, a search input, or a placeholder that mentions search."""
-    css = r"""(?i)<(?:form|input|button)\s(?:[^<>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
-    kind = r"""(?i:<input\s(?:[^<>]*?\s)?type\s*=\s*)(?:"search"|'search'|search[\s/>])"""
-    hint = r"""(?i)<input\s(?:[^<>]*?\s)?placeholder\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
-    return m.rlike(css) | m.rlike(kind) | m.rlike(hint)
+    css = r"""(?i)^<(?:form|input|button)\s(?:[^<>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
+    kind = r"""(?i:^<input\s(?:[^<>]*?\s)?type\s*=\s*)(?:"search"|'search'|search[\s/>])"""
+    hint = r"""(?i)^<input\s(?:[^<>]*?\s)?placeholder\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
+    found = lambda x: F.exists(tags(x), lambda t: t.rlike(css) | t.rlike(kind) | t.rlike(hint))
+    return let(m, lambda x: F.when(F.lower(x).contains("search"), found(x)).otherwise(F.lit(False)))
 
 
 def has_pagination(css: Column, html: Column) -> Column:
@@ -210,19 +221,22 @@ def has_next_link(m: Column) -> Column:
     return m.rlike(button) | F.exists(links(m), lambda e: e.text.contains("Next") | e.css.contains("next"))
 
 
-def has_search_form(m: Column, words=vocab.SEARCH_FORM_WORDS) -> Column:
-    """A form whose text mentions a search word and that has a submit control."""
-    submit = (
-        r"""(?i)<(?:input|button)\s(?:[^<>]*?\s)?type\s*=\s*["']?submit"""
-        r"""|<button\s(?:[^<>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
-    )
-    usable = lambda form: form.rlike(submit) & contains_any(F.lower(inner_text(form)), words)
-    return F.exists(forms(m), usable)
+#: Marks between texts, which no text has: a form opens, it closes, one can submit.
+FORM_OPENS, FORM_CLOSES, SUBMITS = "\ufdd0", "\ufdd1", "\ufdd2"
+SUBMIT_TAG = r"""(?i)^<(?:input|button)\s(?:[^<>]*?\s)?type\s*=\s*["']?submit|^<button\s(?:[^<>]*?\s)?class\s*=\s*(?:"[^"]*search|'[^']*search|[^\s>"']*search)"""
 
 
-def forms(m: Column) -> Column:
-    """Contents of all forms."""
-    return F.transform(pieces(m, opening("form")), lambda p: F.regexp_extract(p, r"(?is)^(.*?)(?:</form\s*>|\z)", 1))
+def has_search_form(m: Column, words=vocab.SEARCH_FORM_WORDS) -> Column:
+    """A form whose text mentions a search word and that has a submit control.
+
+    The page's texts are joined with a mark for each tag that matters, so a form is what stands between two marks.
+    """
+    mark = lambda t: F.when(is_tag(t, "form"), FORM_OPENS).when(is_tag(t, "/form"), FORM_CLOSES).when(t.rlike(SUBMIT_TAG), SUBMITS).otherwise("")
+    texts = lambda found: F.transform(parts(m, ANY_TAG), lambda p, i: F.concat(F.when(i > 0, mark(F.get(found, i - 1))).otherwise(""), strip(decode_entities(p))))
+    marked = let(tags(m), lambda found: F.array_join(texts(found), ""))
+    forms = lambda x: F.transform(rest(F.split(x, FORM_OPENS)), lambda f: F.substring_index(f, FORM_CLOSES, 1))
+    usable = lambda f: f.contains(SUBMITS) & contains_any(F.lower(f), words)
+    return let(m, lambda x: F.when(F.lower(x).contains("<form"), F.exists(forms(marked), usable)).otherwise(F.lit(False)))
 
 
 def flat_tables(m: Column) -> Column:

@@ -2,9 +2,14 @@
 
 A small standard-library parser runs once per page inside an Arrow-batched pandas UDF. Spark partitions the pages;
 the columns passed in are NULL for pages that do not need the tree, so those cost nothing here.
+
+Elements and texts are numbered as they open, so what an element holds is an interval of numbers. Results name texts by
+intervals too: they are as long as the page, however deep its elements are nested.
 """
 
+from bisect import bisect_left
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -29,85 +34,102 @@ ENDED_BY = {
     "p": (frozenset(("p",)), CELLS | LISTS | {"li", "div", "table", "section", "article", "body"}),
 }
 
-TABLES = T.ArrayType(
-    T.StructType(
-        [T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))]
-    )
-)
-CARDS = T.ArrayType(
-    T.StructType(
-        [T.StructField("container", T.IntegerType()), T.StructField("item", T.IntegerType()), T.StructField("text", T.StringType())]
-    )
+_SPAN = [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
+_SPANS = T.ArrayType(T.StructType(_SPAN))
+_TEXTS = T.StructField("texts", T.ArrayType(T.StringType()))
+#: Texts of a page; its cells as spans of texts, its rows as spans of cells, and the wanted tables as spans of rows.
+TABLES = T.StructType([_TEXTS, T.StructField("cells", _SPANS), T.StructField("rows", _SPANS), T.StructField("tables", T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), *_SPAN])))])
+#: Texts of a page; its boxes with the number of the box around them and of their first item, and the substantial cards as
+#: spans of texts, each in its innermost box.
+CARDS = T.StructType(
+    [
+        _TEXTS,
+        T.StructField("boxes", T.ArrayType(T.StructType([T.StructField("parent", T.IntegerType()), T.StructField("items", T.IntegerType())]))),
+        T.StructField("cards", T.ArrayType(T.StructType([T.StructField("container", T.IntegerType()), T.StructField("item", T.IntegerType()), *_SPAN]))),
+    ]
 )
 
 
-class _Element:
-    __slots__ = ("tag", "attrs", "children")
+class Page:
+    """Elements in document order: tag, attributes, the number behind their last descendant, the span of their texts.
 
-    def __init__(self, tag, attrs):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    ``texts`` are the text nodes without outer blanks, but for empty ones and those of scripts, styles and templates.
+    """
 
-    def walk(self, skip=()):
-        """Descendants in document order, without the subtrees of the skipped tags."""
-        stack = list(reversed(self.children))
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                yield node
-            elif node.tag not in skip:
-                yield node
-                stack.extend(reversed(node.children))
+    def __init__(self):
+        self.tags, self.attrs, self.end, self.first, self.last = [], [], [], [], []
+        self.texts = []
 
-    def elements(self, *tags, skip=()):
-        return (n for n in self.walk(skip) if not isinstance(n, str) and (not tags or n.tag in tags))
+    def numbers(self, *tags, among=None):
+        wanted = frozenset(tags)
+        return [i for i in (range(len(self.tags)) if among is None else among) if self.tags[i] in wanted]
 
-    def text(self, sep, skip=()):
-        parts = (n.strip() for n in self.walk({*skip, *UNREAD}) if isinstance(n, str))
-        return sep.join(p for p in parts if p)
+    def within(self, numbers, i):
+        """The slice of sorted element numbers that are descendants of element ``i``."""
+        return bisect_left(numbers, i + 1), bisect_left(numbers, self.end[i])
 
-    def css_has(self, words):
-        css = (self.attrs.get("class") or "").lower()
+    def text(self, sep, i):
+        return sep.join(self.texts[self.first[i] : self.last[i]])
+
+    def css_has(self, i, words):
+        css = (self.attrs[i].get("class") or "").lower()
         return any(w in css for w in words)
 
-    def matches(self, selector):
+    def matches(self, i, selector):
         if selector[0] == ".":
-            return selector[1:] in (self.attrs.get("class") or "").split()
+            return selector[1:] in (self.attrs[i].get("class") or "").split()
         if selector[0] == "#":
-            return self.attrs.get("id") == selector[1:]
-        return self.tag == selector
+            return self.attrs[i].get("id") == selector[1:]
+        return self.tags[i] == selector
 
 
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Element("", {})
-        self.open = [self.root]
+        self.page = Page()
+        self.open = []
         self.count = Counter()
-        self.joined = False
+        self.data = []
+
+    def _flush(self):
+        """Ends a text node."""
+        if self.data:
+            text = "".join(self.data).strip()
+            self.data = []
+            if text and not any(self.count[t] for t in UNREAD):
+                self.page.texts.append(text)
 
     def _close(self, depth):
-        for node in self.open[depth:]:
-            self.count[node.tag] -= 1
+        self._flush()
+        page = self.page
+        for i in self.open[depth:]:
+            self.count[page.tags[i]] -= 1
+            page.end[i], page.last[i] = len(page.tags), len(page.texts)
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
+        self._flush()
+        page = self.page
         if tag in ENDED_BY:
             ended, border = ENDED_BY[tag]
             if any(self.count[t] for t in ended):
                 outermost = None
-                for depth in range(len(self.open) - 1, 0, -1):
-                    if self.open[depth].tag in border:
+                for depth in range(len(self.open) - 1, -1, -1):
+                    if page.tags[self.open[depth]] in border:
                         break
-                    if self.open[depth].tag in ended:
+                    if page.tags[self.open[depth]] in ended:
                         outermost = depth
-                if outermost:
+                if outermost is not None:
                     self._close(outermost)
-        node = _Element(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        self.joined = False
-        if tag not in VOID:
-            self.open.append(node)
-            self.count[tag] += 1
+        self.open.append(len(page.tags))
+        self.count[tag] += 1
+        page.tags.append(tag)
+        page.attrs.append(dict(attrs))
+        page.end.append(0)
+        page.first.append(len(page.texts))
+        page.last.append(0)
+        if tag in VOID:
+            self._close(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -115,79 +137,138 @@ class _Reader(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        self.joined = False
+        self._flush()
         if not self.count[tag]:
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.page.tags[self.open[depth]] == tag:
                 self._close(depth)
                 return
 
     def handle_data(self, data):
-        siblings = self.open[-1].children
-        if self.joined:
-            siblings[-1] += data
-        else:
-            siblings.append(data)
-        self.joined = True
+        self.data.append(data)
 
     def _break(self, _):
-        self.joined = False
+        self._flush()
 
     handle_comment = handle_decl = handle_pi = unknown_decl = _break
 
 
-def parse(html: str) -> _Element:
+def parse(html: str) -> Page:
+    """The elements and texts of a page. Behind the last ``>`` no tag can end, so what is there is text, up to an open comment."""
     reader = _Reader()
-    reader.feed(html)
+    end = html.rfind(">") + 1
+    reader.feed(html[:end])
     reader.close()
-    return reader.root
-
-
-def main_text(root, selectors, drop) -> str:
-    nodes = list(root.elements(skip=drop))
+    reader.handle_data(unescape(html[end:].partition("<!--")[0]))
+    reader._close(0)
+    return reader.page
+
+
+def main_text(page, selectors, drop) -> str:
+    kept, nodes, behind = [True] * len(page.texts), [], 0
+    for i, tag in enumerate(page.tags):
+        if i < behind:
+            continue
+        if tag in drop:
+            behind = page.end[i]
+            kept[page.first[i] : page.last[i]] = [False] * (page.last[i] - page.first[i])
+        else:
+            nodes.append(i)
     for selector in [*selectors, "body"]:
-        for node in nodes:
-            if node.matches(selector):
-                return node.text(" ", drop)
-    return root.text(" ", drop)
+        for i in nodes:
+            if page.matches(i, selector):
+                return " ".join(t for t, k in zip(page.texts[page.first[i] : page.last[i]], kept[page.first[i] : page.last[i]], strict=True) if k)
+    return " ".join(t for t, k in zip(page.texts, kept, strict=True) if k)
 
 
-def navigation(root, words, menus, links_per_menu) -> dict:
-    def anchors(node, limit=None):
-        found = [
-            {"text": a.text(""), "url": a.attrs.get("href") or ""} for a in node.elements("a") if "href" in a.attrs
-        ]
-        return found[:limit]
+def navigation(page, words, menus, links_per_menu) -> dict:
+    anchors = [i for i in page.numbers("a") if "href" in page.attrs[i]]
+    links = {i: {"text": page.text("", i), "url": page.attrs[i]["href"] or ""} for i in anchors}
 
-    bars = [n for n in root.elements("nav", "ul", "div") if n.css_has(words)][:menus]
-    crumbs = [n for n in root.elements() if n.css_has(["breadcrumb"])]
+    def inside(i, limit=None):
+        a, b = page.within(anchors, i)
+        return [links[x] for x in anchors[a:b][:limit]]
+
+    bars = [i for i in page.numbers("nav", "ul", "div") if page.css_has(i, words)][:menus]
+    crumbs = [i for i in range(len(page.tags)) if page.css_has(i, ["breadcrumb"])]
     return {
-        "main_menu_items": [link for n in bars for link in anchors(n, links_per_menu)],
-        "breadcrumbs": [link for n in crumbs for link in anchors(n)],
+        "main_menu_items": [link for i in bars for link in inside(i, links_per_menu)],
+        "breadcrumbs": [link for i in crumbs for link in inside(i)],
         "sidebar_links": [],
         "footer_links": [],
     }
 
 
-def cards(root, words, containers, items, min_length) -> list:
-    boxes = [n for n in root.elements("ul", "ol", "div") if n.css_has(words)][:containers]
-    out = []
-    for i, box in enumerate(boxes):
-        inner = [n for n in box.elements("li", "div") if n.css_has(words)][:items]
-        texts = ((j, n.text(" ")) for j, n in enumerate(inner))
-        out.extend({"container": i, "item": j, "text": t} for j, t in texts if len(t) >= min_length)
-    return out
-
-
-def tables(root) -> list:
-    """All tables in document order; the rows and cells of inner tables count in the outer ones too."""
-    out = []
-    for table in root.elements("table"):
-        rows = [[c.text("") for c in tr.elements("td", "th")] for tr in table.elements("tr")]
-        headers = [c.lower() for c in rows[0]] if rows else []
-        out.append({"headers": headers, "rows": rows[1:]})
-    return out
+def cards(page, words, containers, items, min_length) -> dict:
+    """A card is an item in some box, and is given once, with the innermost of its boxes and its number there.
+
+    The boxes around that one are its parents; a card's number in a box is its number among all items less the box's
+    ``items``. With limits a card counts if it is among the first ``items`` of one of the first ``containers``.
+    """
+    lists = [i for i in page.numbers("ul", "ol", "div") if page.css_has(i, words)]
+    inner = [i for i in page.numbers("li", "div") if page.css_has(i, words)]
+    number = {i: n for n, i in enumerate(lists)}
+    length = [0]
+    for text in page.texts:
+        length.append(length[-1] + len(text) + 1)
+    boxes, found, around, place = [], [], [], 0
+    for i in sorted({*lists, *inner}):
+        while around and page.end[lists[around[-1]]] <= i:
+            around.pop()
+        if place < len(inner) and inner[place] == i:
+            limited = containers is not None or items is not None
+            fits = not limited or any((containers is None or c < containers) and (items is None or place - boxes[c]["items"] < items) for c in around)
+            a, b = page.first[i], page.last[i]
+            if around and fits and length[b] - length[a] - 1 >= min_length:
+                found.append({"container": around[-1], "item": place - boxes[around[-1]]["items"], "a": a, "b": b})
+            place += 1
+        if i in number:
+            boxes.append({"parent": around[-1] if around else None, "items": place})
+            around.append(number[i])
+    return {"texts": page.texts, "boxes": boxes, "cards": found}
+
+
+def tables(page, words) -> dict:
+    """The tables whose header, their first row, mentions a word; rows and cells of inner tables belong to the outer ones too.
+
+    Where a word stands is found once in all texts. A cell's text is its texts without a separator, so a word may run over
+    several of them, but not over the end of an outermost cell.
+    """
+    rows, cells = page.numbers("tr"), page.numbers("td", "th")
+    lows = [t.lower() for t in page.texts]
+    start = [0]
+    for low in lows:
+        start.append(start[-1] + len(low))
+    joined = "".join(lows)
+    places = []
+    for word in words:
+        found, at = [], joined.find(word)
+        while at >= 0:
+            found.append(at)
+            at = joined.find(word, at + 1)
+        places.append((len(word), found))
+
+    def mentions(row):
+        a, b = page.within(cells, row)
+        while a < b:
+            left, right = start[page.first[cells[a]]], start[page.last[cells[a]]]
+            for size, found in places:
+                at = bisect_left(found, left)
+                if at < len(found) and found[at] + size <= right:
+                    return True
+            a = page.within(cells, cells[a])[1] if page.end[cells[a]] > cells[a] + 1 else a + 1
+        return False
+
+    spans = []
+    for no, i in enumerate(page.numbers("table")):
+        a, b = page.within(rows, i)
+        if a < b and mentions(rows[a]):
+            spans.append({"no": no, "a": a, "b": b})
+    if not spans:
+        return {"texts": [], "cells": [], "rows": [], "tables": []}
+    of_rows = [dict(zip("ab", page.within(cells, i), strict=True)) for i in rows]
+    return {"texts": page.texts, "cells": [{"a": page.first[i], "b": page.last[i]} for i in cells], "rows": of_rows, "tables": spans}
 
 
 def _udf(kind, fn):
@@ -204,24 +285,30 @@ def _udf(kind, fn):
     return F.pandas_udf(body, returnType=kind)
 
 
+def joined(texts: Column, span: Column, sep: str) -> Column:
+    """The texts of a span as one text."""
+    return F.array_join(F.slice(texts, span["a"] + 1, span["b"] - span["a"]), sep)
+
+
 def main_text_column(html: Column, selectors=vocab.MAIN_SELECTORS, drop=vocab.BOILERPLATE_TAGS) -> Column:
     """Text of the first element in selector priority, else of the body, else of the page."""
     selectors, drop = list(selectors), frozenset(drop)
-    return _udf(T.StringType(), lambda root: main_text(root, selectors, drop))(html)
+    return _udf(T.StringType(), lambda page: main_text(page, selectors, drop))(html)
 
 
 def navigation_column(html: Column, words=vocab.NAV_CLASS_WORDS, menus=None, links_per_menu=None) -> Column:
     """Links of the menus, all or the first of them, and of all breadcrumbs."""
     words = list(words)
-    return _udf(NAVIGATION, lambda root: navigation(root, words, menus, links_per_menu))(html)
+    return _udf(NAVIGATION, lambda page: navigation(page, words, menus, links_per_menu))(html)
 
 
 def cards_column(html: Column, words=vocab.CARD_CLASS_WORDS, containers=None, items=None, min_length=51) -> Column:
-    """Substantial texts of list items and cards, with container and item number."""
+    """Substantial texts of list items and cards, as ``CARDS``."""
     words = list(words)
-    return _udf(CARDS, lambda root: cards(root, words, containers, items, min_length))(html)
+    return _udf(CARDS, lambda page: cards(page, words, containers, items, min_length))(html)
 
 
-def tables_column(html: Column) -> Column:
-    """All tables, inner ones included both in their outer table and on their own."""
-    return _udf(TABLES, tables)(html)
+def tables_column(html: Column, words=vocab.TABLE_HEADER_WORDS) -> Column:
+    """The tables whose header mentions a word, as ``TABLES``."""
+    words = list(words)
+    return _udf(TABLES, lambda page: tables(page, words))(html)

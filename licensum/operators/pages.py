@@ -138,30 +138,34 @@ def scored_links(pages: DataFrame, *, min_score: int = 2, top: int = 5) -> DataF
     )
 
 
+#: One letter for each tag that structure counts look at; a page's structure is the text of these letters.
+_LETTERS = {"form": "F", "/form": "f", "input": "I", "select": "S", "table": "T", "/table": "t", "tr": "R"}
+
+
 def structure_counts(pages: DataFrame) -> DataFrame:
-    """Forms, inputs of the first three forms, selects of the first two, tables, rows of the first two tables,
-    divisions with a class."""
-    m = F.col("m")
-    rows_of = lambda p: H.count_matches(F.regexp_extract(p, r"(?is)^(.*?)(?:</table\s*>|\z)", 1), H.opening("tr"))
-    inside = lambda forms, n, tag: F.transform(F.slice(forms, 1, n), lambda f: H.count_matches(f, H.opening(tag)))
-    of_forms = lambda forms: F.struct(
-        F.size(forms).alias("n_forms"),
-        inside(forms, 3, "input").alias("form_inputs"),
-        inside(forms, 2, "select").alias("form_selects"),
-    )
-    of_tables = lambda tables: F.struct(
-        F.size(tables).alias("n_tables"), F.transform(F.slice(tables, 1, 2), rows_of).alias("table_rows")
-    )
-    return (
-        with_markup(pages, "page_id")
-        .select(
-            "page_id",
-            text.let(H.forms(m), of_forms).alias("f"),
-            text.let(H.pieces(m, H.opening("table")), of_tables).alias("t"),
-            H.count_matches(m, r"(?i)<div\s(?:[^>]*?\s)?class\s*=").alias("n_class_divs"),
+    """Forms, inputs and selects of each form, tables, rows of each table, divisions with a class."""
+
+    def letter(t):
+        out = None
+        for name, code in _LETTERS.items():
+            out = F.when(H.is_tag(t, name), code) if out is None else out.when(H.is_tag(t, name), code)
+        return out.otherwise("")
+
+    def counts(found):
+        shape = F.array_join(F.transform(found, letter), "")
+        inside = lambda x, opens, closes: F.transform(H.rest(F.split(x, opens)), lambda p: F.substring_index(p, closes, 1))
+        number = lambda of, code: F.transform(of, lambda p: F.length(p) - F.length(F.replace(p, F.lit(code), F.lit(""))))
+        fields = lambda x: F.struct(
+            F.size(inside(x, "F", "f")).alias("n_forms"),
+            number(inside(x, "F", "f"), "I").alias("form_inputs"),
+            number(inside(x, "F", "f"), "S").alias("form_selects"),
+            F.size(inside(x, "T", "t")).alias("n_tables"),
+            number(inside(x, "T", "t"), "R").alias("table_rows"),
+            F.size(F.filter(found, lambda t: t.rlike(r"(?i)^<div\s(?:[^>]*?\s)?class\s*="))).alias("n_class_divs"),
         )
-        .select("page_id", "f.*", "t.*", "n_class_divs")
-    )
+        return text.let(shape, fields)
+
+    return with_markup(pages, "page_id").select("page_id", text.let(H.tags(F.col("m")), counts).alias("s")).select("page_id", "s.*")
 
 
 def page_analysis(pages: DataFrame, *, navigation: bool = True, link_limit: int | None = None, menus: int | None = None, links_per_menu: int | None = None) -> DataFrame:
@@ -210,72 +214,112 @@ def navigation(pages: DataFrame, *, menus: int | None = None, links_per_menu: in
 
 
 def _with_rows(pages: DataFrame, header_words, max_rows, min_cells) -> DataFrame:
-    """Pages with ``rows``: array<struct<table_no, row_no, headers, cells>> of their register tables.
+    """Pages with the rows of their register tables: ``rows``, and ``layout`` for those of nested tables.
 
-    Pages whose tables are nested go through the element tree, all others through native expressions.
+    Pages whose tables are nested go through the element tree, all others through native expressions. A row of the
+    former names its cells and header by their rows in ``layout``; ``row_texts`` makes texts of them.
     """
     keep = [c for c in ("council_name", "page_id", "url", "html") if c in pages.columns]
     staged = with_markup(pages, *keep).withColumn("nested", H.has_nested_table(F.col("m")))
     staged = staged.select(
         *keep,
-        tree.tables_column(F.when(F.col("nested"), F.col("m"))).alias("nested_tables"),
+        tree.tables_column(F.when(F.col("nested"), F.col("m")), header_words).alias("layout"),
         F.when(~F.col("nested"), F.col("m")).alias("flat"),
     )
+    first = lambda rows: F.slice(rows, 1, max_rows) if max_rows else rows
 
-    def rows_of(t, no):
+    def flat_rows(t, no):
         row = lambda cells, i: F.struct(
-            no.alias("table_no"), i.alias("row_no"), t.headers.alias("headers"), cells.alias("cells")
+            no.alias("table_no"), i.alias("row_no"), t.headers.alias("headers"), cells.alias("cells"),
+            F.lit(None).cast("int").alias("header_row"), F.lit(None).cast("int").alias("row"),
         )
-        rows = F.transform(F.slice(t.rows, 1, max_rows) if max_rows else t.rows, row)
         wanted = text.contains_any(F.array_join(t.headers, " "), header_words)
-        return F.when(wanted, F.filter(rows, lambda r: F.size(r.cells) >= min_cells))
+        return F.when(wanted, F.filter(F.transform(first(t.rows), row), lambda r: F.size(r.cells) >= min_cells))
+
+    def nested_rows(t):
+        none = F.lit(None).cast("array<string>")
+        row = lambda i: F.struct(t.no.alias("table_no"), (i - t.a - 1).alias("row_no"), none.alias("headers"), none.alias("cells"), t.a.alias("header_row"), i.alias("row"))
+        numbers = F.when(t.b - t.a > 1, F.sequence(t.a + 1, t.b - 1)).otherwise(F.array().cast("array<int>"))
+        size = lambda i: text.let(F.get("layout.rows", i), lambda span: span.b - span.a)
+        return F.transform(F.filter(first(numbers), lambda i: size(i) >= min_cells), row)
+
+    flat = F.filter(F.transform(H.flat_tables(F.col("flat")), flat_rows), lambda t: t.isNotNull())
+    return staged.select(*keep, F.flatten(F.coalesce(F.transform("layout.tables", nested_rows), flat)).alias("rows"), "layout")
+
+
+def row_texts(r: Column, layout: Column) -> tuple[Column, Column]:
+    """Header and cell texts of a row."""
 
-    tables = F.transform(F.coalesce("nested_tables", H.flat_tables(F.col("flat"))), rows_of)
-    return staged.select(*keep, F.flatten(F.filter(tables, lambda t: t.isNotNull())).alias("rows"))
+    def of(number):
+        cells = lambda span: F.slice(layout["cells"], span["a"] + 1, span["b"] - span["a"])
+        return F.transform(text.let(F.get(layout["rows"], number), cells), lambda c: tree.joined(layout["texts"], c, ""))
+
+    return F.coalesce(r["headers"], F.transform(of(r["header_row"]), F.lower)), F.coalesce(r["cells"], of(r["row"]))
 
 
 def table_rows(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = None, min_cells: int = 3) -> DataFrame:
     """Rows of register tables: header texts and cell texts of every row with at least ``min_cells`` cells.
 
-    A table counts when its header mentions a licence word. ``max_rows`` limits the rows read per table.
+    A table counts when its header mentions a licence word. ``max_rows`` limits the rows read per table. Rows of inner
+    tables are rows of the outer ones as well; their texts are made row by row.
     """
-    found = _with_rows(pages, header_words, max_rows, min_cells).drop("html")
-    return rows_of_items(found)
+    return rows_of_items(_with_rows(pages, header_words, max_rows, min_cells))
 
 
 def rows_of_items(items: DataFrame) -> DataFrame:
-    """One line per table row of pages with ``rows``."""
+    """One line per table row of pages with ``rows`` and ``layout``."""
     keep = [c for c in ("council_name", "page_id", "url") if c in items.columns]
-    return unnest(items.select(*keep, "rows"), F.col("rows"), "_", "r").select(*keep, "r.*")
+    found = unnest(items.select(*keep, "rows", "layout"), F.col("rows"), "_", "r")
+    headers, cells = row_texts(F.col("r"), F.col("layout"))
+    return found.select(*keep, "r.table_no", "r.row_no", headers.alias("headers"), cells.alias("cells"))
 
 
 def page_items(pages: DataFrame, *, header_words=vocab.TABLE_HEADER_WORDS, max_rows: int | None = None, card_words=vocab.CARD_CLASS_WORDS, text_limit: int | None = None) -> DataFrame:
     """What every page offers, in one pass and without a shuffle.
 
-    ``rows`` of its register tables; only when none of them holds a licence, the ``cards``; only without those, the
-    visible ``text``, whole unless a ``text_limit`` is given for a reader with a limit. ``step`` names the one that applies.
+    ``rows`` (and ``layout``) of its register tables; only when none of them holds a licence, its ``cards`` and its visible
+    ``text``, whole unless a ``text_limit`` is given for a reader with a limit. ``step`` names the first that there is.
     """
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
     h = F.col("html")
-    usable = F.exists("rows", lambda r: text.let(row_record(r.headers, r.cells), _is_licence))
-    staged = _with_rows(pages, header_words, max_rows, 3).withColumn("usable", usable)
+    usable = F.exists("rows", lambda r: text.let(row_record(*row_texts(r, F.col("layout"))), _is_licence))
+    staged = _with_rows(pages, header_words, max_rows, 3).withColumn("usable", F.coalesce(usable, F.lit(False)))
     wanted = F.when(~F.col("usable") & text.contains_any(F.lower(h), card_words), h)
     staged = evaluated(evaluated(staged).withColumn("cards", tree.cards_column(wanted, card_words)))
-    step = F.when(F.col("usable"), "table").when(text.filled(F.col("cards")), "card").otherwise("text")
-    visible = F.when(step == "text", H.visible_text(h))
+    step = F.when(F.col("usable"), "table").when(text.filled(F.col("cards.cards")), "card").otherwise("text")
+    visible = F.when(~F.col("usable"), H.visible_text(h))
     return staged.select(
-        *keep, step.alias("step"), F.when(F.col("usable"), F.col("rows")).alias("rows"), "cards",
+        *keep, step.alias("step"), *(F.when(F.col("usable"), F.col(c)).alias(c) for c in ("rows", "layout")), F.when(step == "card", F.col("cards")).alias("cards"),
         (text.let(visible, lambda x: text.truncate(x, text_limit)) if text_limit else visible).alias("text"),
     )
 
 
 def card_texts(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS, containers: int | None = None, items: int | None = None) -> DataFrame:
-    """Substantial texts of list items and cards. Pages without any of the words skip the element tree."""
+    """Substantial texts of list items and cards, each once, with its innermost box and its number there.
+
+    Pages without any of the words skip the element tree. Boxes lie in each other; ``card_boxes`` gives those around a box.
+    """
+    return cards_of_items(_with_cards(pages, words, containers, items))
+
+
+def _with_cards(pages, words, containers=None, items=None) -> DataFrame:
     h = F.col("html")
     keep = [c for c in ("council_name", "page_id", "url") if c in pages.columns]
     wanted = F.when(text.contains_any(F.lower(h), words), h)
-    cards = unnest(pages.select(*keep, tree.cards_column(wanted, words, containers=containers, items=items).alias("cards")), F.col("cards"), "_", "card")
-    return cards.select(*keep, "card.container", "card.item", "card.text")
+    return pages.select(*keep, tree.cards_column(wanted, words, containers=containers, items=items).alias("cards"))
+
+
+def cards_of_items(items: DataFrame) -> DataFrame:
+    """One line per card of pages with ``cards``; ``card`` numbers them in their page."""
+    keep = [c for c in ("council_name", "page_id", "url") if c in items.columns]
+    found = unnest(items.select(*keep, "cards"), F.col("cards.cards"), "card", "c")
+    return found.select(*keep, "card", "c.container", "c.item", tree.joined(F.col("cards.texts"), F.col("c"), " ").alias("text"))
+
+
+def card_boxes(pages: DataFrame, *, words=vocab.CARD_CLASS_WORDS) -> DataFrame:
+    """The boxes of every page: (page_id, container, parent, items), the box around each and the number of its first item among all."""
+    found = unnest(_with_cards(pages, words).select("page_id", "cards.boxes"), F.col("boxes"), "container", "b")
+    return found.select("page_id", "container", "b.parent", "b.items")
 
 
 def row_record(headers: Column, cells: Column) -> Column:

@@ -67,8 +67,9 @@ def _typed(rows: DataFrame) -> DataFrame:
 
 
 def parse_object_responses(responses: DataFrame) -> DataFrame:
-    """One licence object per response."""
-    return _typed(responses.withColumns({"payload": object_text(F.col("response")), "item": F.lit(0)}))
+    """One licence object per response, which is item 0 unless the responses have numbers of their own."""
+    item = F.col("item") if "item" in responses.columns else F.lit(0)
+    return _typed(responses.withColumns({"payload": object_text(F.col("response")), "item": item}))
 
 
 def parse_array_responses(responses: DataFrame, *, max_items: int | None = None) -> DataFrame:

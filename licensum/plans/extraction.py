@@ -8,6 +8,7 @@ from licensum.operators import councils as C
 from licensum.operators import pages as P
 from licensum.operators import responses as R
 from licensum.operators.resolve import drop_exact_copies
+from licensum.session import kept
 
 
 def table_licences(pages: DataFrame, *, max_rows: int | None = None) -> DataFrame:
@@ -15,9 +16,9 @@ def table_licences(pages: DataFrame, *, max_rows: int | None = None) -> DataFram
     return P.licences_of_rows(P.table_rows(pages, max_rows=max_rows))
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """Tables, else cards, else text of every page; to be stored once and read by all later steps."""
-    return P.page_items(P.readable_pages(pages))
+def read_pages(pages: DataFrame, *, max_rows: int | None = None) -> DataFrame:
+    """Tables, else cards and text of every page; to be stored once and read by all later steps."""
+    return P.page_items(P.readable_pages(pages), max_rows=max_rows)
 
 
 def items_licences(items: DataFrame) -> DataFrame:
@@ -25,17 +26,50 @@ def items_licences(items: DataFrame) -> DataFrame:
     return P.licences_of_rows(P.rows_of_items(items.filter("step = 'table'")))
 
 
+def items_cards(items: DataFrame) -> DataFrame:
+    """Texts for a reader of single licences: ``(page_id, item, text)`` for each card of a page without table licences."""
+    return P.cards_of_items(items.filter("step = 'card'")).select("page_id", F.col("card").alias("item"), "text")
+
+
 def items_texts(items: DataFrame) -> DataFrame:
-    """Texts that still need a reader: card by card, or the page text; ``(page_id, item, text)``."""
-    texts = F.when(F.col("step") == "card", F.transform("cards", lambda c: c.text)).otherwise(F.array("text"))
-    return P.unnest(items.filter("step <> 'table'").select("page_id", texts.alias("texts")), F.col("texts"), "item", "text").drop("texts")
+    """Texts for a reader of licence lists: ``(page_id, text)`` for each page without table licences."""
+    return items.filter("step <> 'table'").select("page_id", "text")
+
+
+def _answered(items: DataFrame, parsed: DataFrame, step: str) -> DataFrame:
+    """Accepted licences of answers about ``items``, with the address of their page."""
+    found = R.accepted(parsed).drop("licence_id", "council_name")
+    return found.join(items.select("page_id", "url"), "page_id").withColumns({"step": F.lit(step), "table_no": F.lit(0)}).withColumnRenamed("item", "row_no")
+
+
+def cascade_licences(items: DataFrame, card_answers: DataFrame | None = None, text_answers: DataFrame | None = None) -> DataFrame:
+    """Licences of stored page items, each page by the first step that gives any, which ``step`` names.
+
+    The steps are the page's tables, else the answers about its cards, else the answer about its text.
+    ``card_answers(page_id, item, response)`` and ``text_answers(page_id, response)`` come from a reader that was given
+    ``items_cards`` and ``items_texts``. Answers that a page does not need are not parsed: an anti-join by page leaves
+    out those of earlier steps.
+    """
+    left, council = items.filter("step <> 'table'"), F.lit(None).cast("string").alias("council_name")
+    out = items_licences(items).withColumn("step", F.lit("table"))
+    if card_answers is not None:
+        asked = left.filter("step = 'card'")
+        wanted = card_answers.join(asked.select("page_id"), "page_id", "left_semi").select("page_id", "item", "response", council)
+        cards = kept(_answered(asked, R.parse_object_responses(wanted), "card"))
+        out, left = out.unionByName(cards, allowMissingColumns=True), left.join(cards.select("page_id"), "page_id", "left_anti")
+    if text_answers is not None:
+        wanted = text_answers.join(left.select("page_id"), "page_id", "left_semi").select("page_id", "response", council)
+        out = out.unionByName(_answered(left, R.parse_array_responses(wanted), "text"), allowMissingColumns=True)
+    return out
 
 
-def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, extra_pages: int | None = None, max_rows: int | None = None) -> DataFrame:
+def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, card_answers: DataFrame | None = None, text_answers: DataFrame | None = None, extra_pages: int | None = None, max_rows: int | None = None) -> DataFrame:
     """Licences of every council: from its register page and from its linked pages, or the first ``extra_pages`` of them.
 
     Only pages that could be read and that some council wants are parsed, each once, whoever links to it; councils are
-    joined to the extracted rows. ``seq`` orders rows by council, page, table and row, as a struct of these numbers.
+    joined to the extracted rows. ``step`` names what gave a row (see ``cascade_licences``); the text of a linked page
+    is not asked for, only its tables and cards. ``seq`` orders rows by council, page, table and row, as a struct of
+    these numbers.
     """
     routed = C.with_strategy(C.join_analyses(C.with_register(councils), analyses))
     further = F.coalesce("analysis.potential_licence_urls", F.array().cast("array<string>"))
@@ -51,8 +85,9 @@ def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame,
     ).select("council_name", "council_seq", "strategy", "e.*")
     edges = edges.withColumn("_key", urls.normalize_url(F.col("source_url")))
     chosen = P.readable_pages(pages).withColumn("_key", urls.normalize_url(F.col("url"))).join(edges.select("_key"), "_key", "left_semi")
-    licences = table_licences(chosen.drop("_key"), max_rows=max_rows).withColumn("_key", urls.normalize_url(F.col("url"))).drop("url", "council_name")
-    found = edges.join(licences, "_key").drop("_key")
+    items = kept(read_pages(chosen.drop("_key", "council_name"), max_rows=max_rows))
+    licences = cascade_licences(items, card_answers, text_answers).withColumn("_key", urls.normalize_url(F.col("url"))).drop("url")
+    found = edges.join(licences, "_key").drop("_key").filter("rank = 0 OR step <> 'text'")
     first = drop_exact_copies(found.withColumn("seq", F.struct("rank", "page_id", "table_no", "row_no")))
     return first.withColumns(
         {

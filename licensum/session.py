@@ -6,7 +6,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -49,3 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
     return f"{tempfile.mkdtemp(prefix='licensum-')}/table"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for what several later steps read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -44,9 +44,9 @@ def test_left_out_end_tags(spark, html):
 def test_left_out_end_tags_do_not_nest():
     start = time.perf_counter()
     inner = "<tr><td>x<td>y<td>z" * 3000
-    got = tree.tables(tree.parse(f"<table><tr><td><table>{inner}</table></td></tr></table>"))
-    assert [len(t["rows"]) for t in got] == [3000, 2999]
-    assert {len(r) for r in got[1]["rows"]} == {3}
+    got = tree.tables(tree.parse(f"<table><tr><td>name<table>{inner}</table></td></tr></table>"), ["name", "x"])
+    assert [(t["a"], t["b"]) for t in got["tables"]] == [(0, 3001), (1, 3001)]
+    assert {r["b"] - r["a"] for r in got["rows"][1:]} == {3}
     assert time.perf_counter() - start < 5
 
 
@@ -61,3 +61,95 @@ def test_lists_that_cannot_be_read_are_rejected(spark):
     df = spark.createDataFrame([(i, "X", t) for i, t in enumerate(texts)], "page_id int, council_name string, response string")
     got = {r.page_id: (r.item, r.reject_reason) for r in R.parse_array_responses(df).collect()}
     assert got == {0: (None, "no JSON found"), 1: (None, "no JSON found"), 3: (0, "field of a wrong type"), 4: (0, "field of a wrong type"), 5: (0, None)}
+
+
+SHAPES = ["<form ", "<div x ", "<table ", "<td ", "<input ", "<a ", "<a href='", "<!--", "<", "&", "<p class=", "<script ", "<table><tr><td>a", "<table><tr><td>name ", "<div class=item>some words ", "<ul class=nav>", "<td>", "<tr>", "<li>", "<form><input>"]
+OPERATORS = {
+    "visible_text": P.visible_text, "line_text": P.line_text, "main_content": P.main_content, "page_links": P.page_links, "scored_links": P.scored_links, "structure_counts": P.structure_counts,
+    "page_flags": P.page_flags, "page_features": P.page_features, "card_boxes": P.card_boxes, "navigation": P.navigation, "page_analysis": P.page_analysis,
+}
+
+
+def _pages(spark, size, shapes=SHAPES):
+    return spark.createDataFrame([(i, "https://a.uk/x", s * (size // len(s)) + end) for i, s in enumerate(shapes) for end in ("", ">")], "page_id int, url string, html string")
+
+
+def _seconds(df):
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators_are_linear_in_the_page(spark, name):
+    _seconds(OPERATORS[name](_pages(spark, 1000).repartition(8)))
+    assert _seconds(OPERATORS[name](_pages(spark, 200_000).repartition(8))) < 20
+
+
+def test_nested_tables_and_cards_cost_what_they_hold(spark):
+    """2,000 tables, and boxes of 40 kB, in each other: the tree is as long as the page, texts are made row by row."""
+    start = time.perf_counter()
+    page = tree.parse("<table><tr><td>a" * 2000)
+    assert tree.tables(page, ["name"])["tables"] == []
+    found = tree.tables(tree.parse("<table><tr><td>name" * 2000), ["name"])
+    assert len(found["tables"]) == len(found["rows"]) == len(found["cells"]) == 2000
+    nested = tree.cards(tree.parse("<div class=item>words in an item " * 1200), ["item"], None, None, 51)
+    assert time.perf_counter() - start < 1
+    assert len(nested["texts"]) == len(nested["boxes"]) == 1200
+    assert [c["container"] for c in nested["cards"]] == list(range(len(nested["cards"])))
+    rows = spark.createDataFrame([(1, "<div class=item>words in an item " * 300)], "page_id int, html string")
+    # Items inside the first box, but for those at the end whose texts are short.
+    assert P.card_texts(rows).count() == 296
+    assert [(r.container, r.parent, r["items"]) for r in P.card_boxes(rows).orderBy("container").limit(3).collect()] == [(0, None, 1), (1, 0, 2), (2, 1, 3)]
+
+
+def test_nested_tables_by_a_plain_reader(spark):
+    """All rows of the wanted tables of nested pages, as a search for each table's rows and each row's cells finds them."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.at = ["", None, []]
+
+        def handle_starttag(self, tag, attrs):
+            self.at[2].append([tag, self.at, []])
+            self.at = self.at[2][-1]
+
+        def handle_endtag(self, tag):
+            self.at = self.at[1]
+
+        def handle_data(self, data):
+            self.at[2].append(data)
+
+    def search(node, tags):
+        for x in node[2]:
+            if not isinstance(x, str):
+                if x[0] in tags:
+                    yield x
+                yield from search(x, tags)
+
+    def words(node):
+        return "".join(x.strip() if isinstance(x, str) else words(x) for x in node[2])
+
+    rng = random.Random(1)
+
+    def table(depth):
+        cell = lambda: table(depth + 1) if depth < 3 and rng.random() < 0.3 else rng.choice(["a", " b <b>c</b>", "na<i>me</i>", "", "Date", "x y"])
+        row = lambda: "<tr>" + "".join(f"<td>{cell()}</td>" for _ in range(rng.randint(0, 4))) + "</tr>"
+        return "<table>" + "".join(row() for _ in range(rng.randint(0, 4))) + "</table>"
+
+    htmls = ["<div>" + table(0) + table(0) + "</div>" for _ in range(60)]
+    want = set()
+    for i, html in enumerate(htmls):
+        reader = Plain()
+        reader.feed(html)
+        for no, found in enumerate(search(reader.root, ["table"])):
+            rows = [[words(c) for c in search(r, ["td", "th"])] for r in search(found, ["tr"])]
+            headers = [h.lower() for h in rows[0]] if rows else []
+            if any(w in " ".join(headers) for w in ["name", "date"]):
+                want |= {(i, no, n, tuple(headers), tuple(r)) for n, r in enumerate(rows[1:]) if len(r) >= 3}
+    got = P.table_rows(spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string"), header_words=["name", "date"]).collect()
+    assert len(want) > 50
+    assert {(r.page_id, r.table_no, r.row_no, tuple(r.headers), tuple(r.cells)) for r in got} == want

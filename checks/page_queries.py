@@ -309,22 +309,22 @@ def _(t):
     return rows.select("page_id", F.col("r")["premises name"].alias("name"), F.col("r")["status"].alias("status"))
 
 
-_CASCADE = f"""cascade AS (
-  SELECT page_id, url, 'table' AS step, premises_name, premises_address FROM ({_LICENCE_ROWS})
-  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'card', 'Red Lion ' || (o_custkey % 40), (o_custkey % 200) || ' High Street, Leeds' FROM orders WHERE o_orderkey % 3 <> 0
-  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'card', 'Kebab House', '12 Mill Road, York' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0
-  UNION ALL SELECT o_orderkey, 'https://www.council' || o_custkey || '.gov.uk/business/licensing', 'text', 'Text Inn ' || (o_custkey % 7), o_custkey || ' Low Rd' FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'text', 'Text Inn ' || (o_custkey % 7), o_custkey || ' Low Rd' FROM orders WHERE o_orderkey % 3 = 0)"""
+CASCADE = f"""cascade AS (
+  SELECT page_id, url, 'table' AS step, premises_name, premises_address, licence_status FROM ({_LICENCE_ROWS})
+  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'card', 'Red Lion ' || (o_custkey % 40), (o_custkey % 200) || ' High Street, Leeds', 'granted' FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'card', 'Kebab House', '12 Mill Road, York', 'pending' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0
+  UNION ALL SELECT o_orderkey, 'https://www.council' || o_custkey || '.gov.uk/business/licensing', 'text', 'Text Inn ' || (o_custkey % 7), o_custkey || ' Low Rd', 'pending' FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey + 1000000000, 'https://www.council' || o_custkey || '.gov.uk/cards', 'text', 'Text Inn ' || (o_custkey % 7), o_custkey || ' Low Rd', 'pending' FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
-def _all_pages(t):
+def all_pages(t):
     """Register and card pages; the latter are numbered behind the former."""
     return t.register_pages.unionByName(t.card_pages.withColumn("page_id", F.col("page_id") + 1000000000))
 
 
-@query("h22_extraction_cascade", f"WITH {_CASCADE} SELECT page_id, step, premises_name, premises_address FROM cascade")
+@query("h22_extraction_cascade", f"WITH {CASCADE} SELECT page_id, step, premises_name, premises_address FROM cascade")
 def _(t):
-    items = kept(extraction.read_pages(_all_pages(t)))
+    items = kept(extraction.read_pages(all_pages(t)))
     return extraction.cascade_licences(items, t.card_answers, t.text_answers).select("page_id", "step", "premises_name", "premises_address")
 
 
@@ -335,7 +335,7 @@ UNION ALL SELECT o_orderkey, NULL, {Q.visible('html')} FROM orders JOIN ({duck(R
 UNION ALL SELECT o_orderkey + 1000000000, NULL, {Q.visible('html')} FROM orders JOIN ({duck(CARD_PAGES)}) ON page_id = o_orderkey""",
 )
 def _(t):
-    items = kept(extraction.read_pages(_all_pages(t)))
+    items = kept(extraction.read_pages(all_pages(t)))
     return extraction.items_cards(items).unionByName(extraction.items_texts(items), allowMissingColumns=True)
 
 
@@ -359,7 +359,7 @@ COUNCIL_CTE = f"councils AS ({duck(COUNCILS)})"
 _ANALYSIS_SQL = "SELECT DISTINCT ON (council_name) * FROM (SELECT name AS council_name, seq % 4 = 0 AS javascript_required, seq % 6 = 0 AS pagination_detected, seq FROM councils WHERE seq % 3 <> 0) ORDER BY council_name, seq DESC"
 
 
-def _analyses(t):
+def analyses_of(t):
     return t.councils.filter("seq % 3 <> 0").select(
         F.col("name").alias("council_name"), "seq", (F.col("seq") % 4 == 0).alias("javascript_required"),
         (F.col("seq") % 6 == 0).alias("pagination_detected"),
@@ -374,38 +374,38 @@ def _analyses(t):
 FROM councils c LEFT JOIN last l ON c.name = l.council_name""",
 )
 def _(t):
-    out = C.with_strategy(C.join_analyses(t.councils, _analyses(t)))
+    out = C.with_strategy(C.joinanalyses_of(t.councils, analyses_of(t)))
     return out.select("seq", F.col("analysis").isNotNull().alias("analysed"), "strategy")
 
 
 _WITH_CARDS = "SELECT * REPLACE (CASE WHEN seq % 6 = 5 THEN website_url || '/cards' ELSE licence_register_url END AS licence_register_url) FROM councils"
-_EXTRACTED = f"""{COUNCIL_CTE}, {_CASCADE}, asked AS ({_WITH_CARDS}), last AS (SELECT name AS cn, arg_max(website_url, seq) AS site FROM councils WHERE seq % 3 <> 0 GROUP BY 1),
+EXTRACTED = f"""{COUNCIL_CTE}, {CASCADE}, asked AS ({_WITH_CARDS}), last AS (SELECT name AS cn, arg_max(website_url, seq) AS site FROM councils WHERE seq % 3 <> 0 GROUP BY 1),
 edges AS (SELECT name, licence_register_url AS u, 0 AS rank FROM asked WHERE coalesce(licence_register_url, '') <> ''
   UNION ALL SELECT name, site || '/business/licensing', 1 FROM asked JOIN last ON name = cn WHERE coalesce(licence_register_url, '') <> ''
   UNION ALL SELECT name, site || '/cards', 2 FROM asked JOIN last ON name = cn WHERE coalesce(licence_register_url, '') <> ''),
-extracted AS (SELECT DISTINCT ON (name, lower(premises_name), lower(premises_address)) name AS council_name, premises_name, premises_address, step
+extracted AS (SELECT DISTINCT ON (name, lower(premises_name), lower(premises_address)) name AS council_name, premises_name, premises_address, step, licence_status, url, page_id
   FROM edges JOIN cascade ON u = url WHERE rank = 0 OR step <> 'text' ORDER BY name, lower(premises_name), lower(premises_address), rank, page_id)"""
 
 
-def _councils_with_cards(t):
+def councils_with_cards(t):
     cards = F.concat("website_url", F.lit("/cards"))
     return t.councils.withColumn("licence_register_url", F.when(F.col("seq") % 6 == 5, cards).otherwise(F.col("licence_register_url")))
 
 
 def _extracted(t):
-    return extraction.extract_licences(_councils_with_cards(t), _analyses(t), _all_pages(t), card_answers=t.card_answers, text_answers=t.text_answers)
+    return extraction.extract_licences(councils_with_cards(t), analyses_of(t), all_pages(t), card_answers=t.card_answers, text_answers=t.text_answers)
 
 
-@query("l6_extract_licences", f"WITH {_EXTRACTED} SELECT * FROM extracted")
+@query("l6_extract_licences", f"WITH {EXTRACTED} SELECT council_name, premises_name, premises_address, step FROM extracted")
 def _(t):
     return _extracted(t).select("council_name", "premises_name", "premises_address", "step")
 
 
 @query(
     "p9_results_per_council",
-    f"""WITH {_EXTRACTED}, n AS (SELECT council_name, count(*) AS k FROM extracted GROUP BY 1)
+    f"""WITH {EXTRACTED}, n AS (SELECT council_name, count(*) AS k FROM extracted GROUP BY 1)
 SELECT name AS council_name, coalesce(k, 0) > 0 AS success, coalesce(k, 0) AS licences_found, CASE WHEN k IS NULL THEN 'No licence data found' END AS error_message
 FROM asked LEFT JOIN n ON name = council_name WHERE coalesce(licence_register_url, '') <> ''""",
 )
 def _(t):
-    return extraction.extraction_results(_councils_with_cards(t), _extracted(t))
+    return extraction.extraction_results(councils_with_cards(t), _extracted(t))

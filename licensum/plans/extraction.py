@@ -63,14 +63,8 @@ def cascade_licences(items: DataFrame, card_answers: DataFrame | None = None, te
     return out
 
 
-def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, card_answers: DataFrame | None = None, text_answers: DataFrame | None = None, extra_pages: int | None = None, max_rows: int | None = None) -> DataFrame:
-    """Licences of every council: from its register page and from its linked pages, or the first ``extra_pages`` of them.
-
-    Only pages that could be read and that some council wants are parsed, each once, whoever links to it; councils are
-    joined to the extracted rows. ``step`` names what gave a row (see ``cascade_licences``); the text of a linked page
-    is not asked for, only its tables and cards. ``seq`` orders rows by council, page, table and row, as a struct of
-    these numbers.
-    """
+def council_addresses(councils: DataFrame, analyses: DataFrame, *, extra_pages: int | None = None) -> DataFrame:
+    """(council_name, council_seq, strategy, rank, source_url, page_key): the register page of a council, rank 0, and its linked pages."""
     routed = C.with_strategy(C.join_analyses(C.with_register(councils), analyses))
     further = F.coalesce("analysis.potential_licence_urls", F.array().cast("array<string>"))
     wanted = F.concat(
@@ -83,11 +77,14 @@ def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame,
     edges = routed.select(
         F.col("name").alias("council_name"), F.col("seq").alias("council_seq"), "strategy", F.explode(wanted).alias("e")
     ).select("council_name", "council_seq", "strategy", "e.*")
-    edges = edges.withColumn("_key", urls.normalize_url(F.col("source_url")))
-    chosen = P.readable_pages(pages).withColumn("_key", urls.normalize_url(F.col("url"))).join(edges.select("_key"), "_key", "left_semi")
-    items = kept(read_pages(chosen.drop("_key", "council_name"), max_rows=max_rows))
-    licences = cascade_licences(items, card_answers, text_answers).withColumn("_key", urls.normalize_url(F.col("url"))).drop("url")
-    found = edges.join(licences, "_key").drop("_key").filter("rank = 0 OR step <> 'text'")
+    return edges.withColumn("page_key", urls.normalize_url(F.col("source_url")))
+
+
+def licences_of_addresses(edges: DataFrame, items: DataFrame, *, card_answers: DataFrame | None = None, text_answers: DataFrame | None = None) -> DataFrame:
+    """Licences of the councils whose addresses lead to stored page items; ``step`` names what gave a row."""
+    licences = cascade_licences(items, card_answers, text_answers).withColumn("page_key", urls.normalize_url(F.col("url"))).drop("url")
+    # Of a linked page only tables and cards are asked for.
+    found = edges.join(licences, "page_key").drop("page_key").filter("rank = 0 OR step <> 'text'")
     first = drop_exact_copies(found.withColumn("seq", F.struct("rank", "page_id", "table_no", "row_no")))
     return first.withColumns(
         {
@@ -99,6 +96,19 @@ def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame,
     ).drop("council_seq", "rank", "table_no", "row_no")
 
 
+def extract_licences(councils: DataFrame, analyses: DataFrame, pages: DataFrame, *, card_answers: DataFrame | None = None, text_answers: DataFrame | None = None, extra_pages: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """Licences of every council: from its register page and from its linked pages, or the first ``extra_pages`` of them.
+
+    Only pages that could be read and that some council wants are parsed, each once, whoever links to it; councils are
+    joined to the extracted rows (see ``cascade_licences``). ``seq`` orders rows by council, page, table and row, as a
+    struct of these numbers.
+    """
+    edges = council_addresses(councils, analyses, extra_pages=extra_pages)
+    chosen = P.readable_pages(pages).withColumn("page_key", urls.normalize_url(F.col("url"))).join(edges.select("page_key"), "page_key", "left_semi")
+    items = kept(read_pages(chosen.drop("page_key", "council_name"), max_rows=max_rows))
+    return licences_of_addresses(edges, items, card_answers=card_answers, text_answers=text_answers)
+
+
 def extraction_results(councils: DataFrame, licences: DataFrame) -> DataFrame:
     """Outcome per council with a register."""
     return R.results_per_council(C.with_register(councils), licences)

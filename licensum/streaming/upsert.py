@@ -1,36 +1,39 @@
-"""Incremental entity resolution.
+"""Incremental entity resolution: a keyed merge into hash buckets.
 
-Each batch is reduced to the best row per premises it saw and written to a folder of its own, so a repeated batch
-replaces itself and no file that is being read is ever overwritten. Choosing the best row, its first appearance and
-the number of copies can be merged in any grouping: resolving the stored batches again gives the same result as one
-batch over all input.
+Each batch is reduced to the best row per premises it saw and merged with the stored rows of the same buckets. Choosing
+the best row, its first appearance and the number of copies can be merged in any grouping: the table always equals one
+batch over all input, and reading it resolves nothing again.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from licensum.operators.enrich import enrich_licences
-from licensum.operators.resolve import best_per_key, with_match_key, with_score
+from licensum.operators.resolve import MATCH_KEY, best_per_key, with_match_key, with_score
+from licensum.sources.buckets import BucketTable
 
 
-def merge_batch(licences: DataFrame, path: str, batch_id: int) -> None:
-    """Store the best rows of one batch of valid, cleaned licences."""
-    best_per_key(with_score(with_match_key(licences))).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def entity_table(path: str, *, buckets: int = 64) -> BucketTable:
+    return BucketTable(path, [MATCH_KEY], buckets=buckets)
 
 
-def current_entities(spark: SparkSession, path: str) -> DataFrame:
-    """Best row per premises over all stored batches, enriched."""
-    return enrich_licences(best_per_key(spark.read.parquet(path).drop("batch_id")))
+def merge_batch(licences: DataFrame, table: BucketTable, batch_id: int) -> list[int]:
+    """Merge one batch of valid, cleaned licences; returns the buckets that it rewrote."""
+    best = best_per_key(with_score(with_match_key(licences)))
+    return table.merge(best, batch_id, lambda old, new: new if old is None else best_per_key(old.unionByName(new)))
 
 
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the merged state as the first batch of a new folder, so that later reads merge fewer rows."""
-    best_per_key(spark.read.parquet(path).drop("batch_id")).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+def current_entities(spark: SparkSession, table: BucketTable) -> DataFrame:
+    """Best row per premises over all batches, enriched."""
+    rows = table.read(spark)
+    if rows is None:
+        raise FileNotFoundError(f"no entities below {table.path}")
+    return enrich_licences(rows.drop("bucket"))
 
 
-def run_upserts(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_upserts(stream: DataFrame, table: BucketTable, checkpoint: str) -> None:
     """Merge everything that is there now, batch by batch, and stop."""
     query = (
-        stream.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, path, batch_id))
+        stream.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, table, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -324,15 +324,16 @@ def _(t):
     f"""WITH {COUNCIL_CTE} SELECT *, CASE WHEN age > 168 THEN 'Data is over 1 week old, consider running incremental update' ELSE '' END AS recommendations,
   CASE WHEN age > 168 THEN 'unhealthy' ELSE 'degraded' END AS system_status, age AS latest_data_age_hours FROM (
   SELECT count(*) AS councils_discovered, count(*) FILTER (last_scraped > {S.AS_OF} - INTERVAL 7 DAY) AS recently_scraped_councils,
-  (SELECT count(*) FROM events) AS processed_data_files, (SELECT epoch_us(TIMESTAMP '2024-02-10 00:00:00') - epoch_us(max(ts)) FROM events) / 1000000 / 3600 AS age FROM councils)""".replace(
-        "SELECT *, CASE", "SELECT councils_discovered, recently_scraped_councils, processed_data_files, CASE"
+  (SELECT count(*) FROM events) AS processed_data_files, (SELECT count(*) FROM events WHERE event_type = 'click') AS report_files, (SELECT epoch_us(TIMESTAMP '2024-02-10 00:00:00') - epoch_us(max(ts)) FROM events) / 1000000 / 3600 AS age FROM councils)""".replace(
+        "SELECT *, CASE", "SELECT councils_discovered, recently_scraped_councils, processed_data_files, report_files, CASE"
     ).replace(S.AS_OF, "TIMESTAMP '2024-02-10 00:00:00'"),
 )
 def _(t):
     events = t.table("events")
-    snapshots = events.select(F.col("event_id").cast("string").alias("path"), F.col("ts").alias("modified"))
+    files = [F.col("event_id").cast("string").alias("path"), F.col("ts").alias("modified")]
+    snapshots, reports = events.select(*files), events.filter("event_type = 'click'").select(*files)
     components = events.select("event_type", F.when(F.col("event_type") == "error", "error: timeout").otherwise("exists").alias("status"))
-    out = runs.data_health(t.councils, snapshots, components, as_of=datetime(2024, 2, 10))
+    out = runs.data_health(t.councils, snapshots, components, as_of=datetime(2024, 2, 10), reports=reports)
     return out.withColumn("recommendations", F.array_join("recommendations", ";"))
 
 

@@ -10,10 +10,16 @@ from licensum.operators.pages import page_links, unnest
 from licensum.schemas import REGISTER_ENTRY
 
 
+# Characters that are printed as \\xNN, \\uNNNN and \\UNNNNNNNN, and how much longer that makes them.
+_UNPRINTABLE = [(r"[\x00-\xff&&[\p{C}\p{Z}]&&[^ \t\n\r]]", 3), (r"[\x{100}-\x{ffff}&&[\p{C}\p{Z}]]", 5), (r"[\x{10000}-\x{10ffff}&&[\p{C}\p{Z}]]", 9)]
+
+
 def printed_length(c: Column) -> Column:
     """Length of a value printed as a quoted literal; an absent value prints as ``None``."""
     count = lambda ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
     escapes = count("\\") + count("\n") + count("\r") + count("\t")
+    for pattern, more in _UNPRINTABLE:
+        escapes = escapes + more * (F.length(c) - F.length(F.regexp_replace(c, pattern, "")))
     quotes = F.when(c.contains("'") & c.contains('"'), count("'")).otherwise(0)
     return F.when(c.isNull(), F.lit(4)).otherwise(F.length(c) + 2 + escapes + quotes)
 

@@ -8,6 +8,7 @@ distinct counts become row counts and the most common value a maximum. Neither j
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROW = ""
 
@@ -30,10 +31,17 @@ def facet_counts(df: DataFrame, group: dict[str, Column], facets: dict[str, Colu
     return rows.groupBy(*group, F.col("e.facet").alias("facet"), F.col("e.value").alias("value")).agg(
         F.count("*").alias("n"),
         *[F.sum(name).alias(name) for name in measures],
-        F.min(F.struct("seq", "e.i")).alias("first_pos"),
+        F.min(_position(df.schema["seq"].dataType)).alias("first_pos"),
     )
 
 
+def _position(kind: T.DataType) -> Column:
+    """``seq``, then array position: one decimal where ``seq`` is a number, since hash aggregation cannot hold structs."""
+    if isinstance(kind, T.IntegralType):
+        return F.col("seq").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("e.i")
+    return F.struct("seq", "e.i")
+
+
 def rows_sum(name: str) -> Column:
     """Sum of a counted column over the rows of a group."""
     return F.sum(F.when(F.col("facet") == ROW, F.col(name)))

@@ -77,8 +77,8 @@ def step_summary(step: str, metrics: DataFrame, *, started, ended) -> DataFrame:
     return metrics.select(F.lit(step).alias("step"), text.as_ntz(started).alias("start_time"), seconds.alias("duration"), "*")
 
 
-def data_health(councils: DataFrame, snapshots: DataFrame, components: DataFrame, *, as_of) -> DataFrame:
-    """State of the data: ``snapshots(path, modified)``, ``components(component, status)``.
+def data_health(councils: DataFrame, snapshots: DataFrame, components: DataFrame, *, as_of, reports: DataFrame | None = None) -> DataFrame:
+    """State of the data: ``snapshots(path, modified)``, ``components(component, status)``, ``reports(path, modified)``.
 
     Old or missing data give recommendations; a failing component makes the state degraded, with recommendations
     unhealthy.
@@ -97,6 +97,8 @@ def data_health(councils: DataFrame, snapshots: DataFrame, components: DataFrame
     row = c
     for part in (s, k):
         row = row.withColumn("_r", part.select(F.struct("*")).scalar()).select(*row.columns, "_r.*")
+    if reports is not None:
+        row = row.withColumn("report_files", reports.agg(F.count("*")).scalar())
     age = text.seconds_between(F.col("latest"), now) / 3600
     row = row.withColumn("latest_data_age_hours", age)
     advice = F.array(

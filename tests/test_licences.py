@@ -149,3 +149,10 @@ def test_reports_on_empty_data(spark):
 def test_process_keeps_every_premises(spark):
     out = process_licences(many(spark), as_of=AS_OF)
     assert out.agg(F.sum("copies")).first()[0] == 3000
+
+
+@pytest.mark.parametrize("value", [None, "", "plain", "it's", 'it\'s "x"', "a\tb\nc\r\\", "\x00\x1f\x7f\x85\xa0\xad", "zero\u200bwidth \u2028 \ufeff", "e\u0301 \U0001f600 \U000e0001", "日本 ü"])
+def test_printed_length(one, value):
+    from licensum.operators.councils import printed_length
+
+    assert one(printed_length(F.col("c")), value) == len(repr(value))

@@ -52,3 +52,11 @@ def test_period_filter_reaches_the_stored_table(spark, tmp_path, stored):
 def test_no_cross_join_and_no_single_task_window(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text
+
+
+@pytest.mark.parametrize("name", ["a18_business_type_analysis", "a19_activity_analysis", "a20_geographic_analysis"])
+def test_exploded_entries_are_hashed(spark, name):
+    """What is exploded goes into a hash aggregation; only the counts behind it may be sorted."""
+    lines = [x for x in plan(QUERIES[name](spark, SF)).splitlines() if "Generate explode" in x or "Aggregate(" in x]
+    above = [i - 1 for i, x in enumerate(lines) if "Generate explode" in x and i and "Generate explode" not in lines[i - 1]]
+    assert above and all("HashAggregate(" in lines[i] and "partial_count" in lines[i] for i in above)

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from licensum.llm.common import stored
 
-TOKENS, LONGEST = 65_536, 24
+TOKENS = 65_536
+# Letters by which names meet the words they hold; longer words meet them by their first letters and are then looked for whole.
+PIECE = 24
+# Share of the whole corpus in the token distribution of a class.
+BLUR = 0.1
 # Host words that mark the pages to learn from, by class of unwanted hosts.
 UNWANTED_CLASSES = {
     "adult": ("adult", "porn", "sex", "xxx"),
@@ -47,7 +51,7 @@ def word_counts(text: Column, frame: DataFrame, most: int | None = None, always:
 
     That count is read from the number of words of each count. The words ``always`` stay at every count.
     """
-    each = frame.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
+    each = frame.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("word")).filter("word <> ''")
     counts = stored(each.groupBy("word").agg(F.count("*").alias("n")))
     if most is None:
         return counts
@@ -63,17 +67,26 @@ class Segmenter:
         self.total = math.log((sum(counts.values()) if total is None else total) + 1)
         self.cost = {w: self.total - math.log(n) for w, n in counts.items()}
 
+        self.lengths = sorted({len(w) for w in counts})
+
     def name(self, name: str) -> tuple[str, ...]:
+        letter = math.log(10)
         best, back = [0.0], [0]
+        # The best start of an unknown word; it may have any length.
+        unknown, since = 0.0, 0
         for end in range(1, len(name) + 1):
-            found = []
-            for start in range(max(0, end - LONGEST), end):
-                word = name[start:end]
-                cost = self.cost.get(word)
-                found.append((best[start] + (self.total + math.log(10) * (len(word) - 1) if cost is None else cost), start))
+            found = [(unknown + self.total + letter * (end - 1), since)]
+            for length in self.lengths:
+                if length > end:
+                    break
+                cost = self.cost.get(name[end - length : end])
+                if cost is not None:
+                    found.append((best[end - length] + cost, end - length))
             cost, start = min(found)
             best.append(cost)
             back.append(start)
+            if cost - letter * end < unknown:
+                unknown, since = cost - letter * end, end
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -94,10 +107,18 @@ def segments(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(name, words) for every row of ``names`` (different names of a-z), which meet those of the words ``counts`` (word, n) that they hold."""
 
     def parts(batches):
+        """All pieces of the names, a bounded number at a time."""
+        ids, found = [], []
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                found = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], ["name", "word"])
+            for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for start in range(0, len(name), 1000):
+                    own = {name[i:j] for i in range(start, min(start + 1000, len(name))) for j in range(i + 1, min(len(name), i + PIECE) + 1)}
+                    ids += [number] * len(own)
+                    found += own
+                    if len(found) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "piece"])
+                        ids, found = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "piece"])
 
     def run(batches):
         for batch in batches:
@@ -105,8 +126,13 @@ def segments(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
             words = [Segmenter(k, total).name(name) for name, k in zip(batch.column(0).to_pylist(), known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
-    held = names.mapInArrow(parts, "name string, word string").join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("held"))
-    return names.join(held, "name", "left").select("name", "held").mapInArrow(run, "name string, words array<string>")
+    # Names travel as numbers; only those that begin a longer word are looked into again.
+    names = stored(names.withColumn("id", F.monotonically_increasing_id()))
+    met = names.select("id", "name").mapInArrow(parts, "id long, piece string").join(counts.withColumn("piece", F.left("word", F.lit(PIECE))), "piece").select("id", "word", "n").distinct()
+    longer = F.length("word") > PIECE
+    met = met.filter(~longer).unionAll(met.filter(longer).join(names, "id").filter(F.contains("name", "word")).select("id", "word", "n"))
+    held = met.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    return names.join(held, "id", "left").select("name", "held").mapInArrow(run, "name string, words array<string>")
 
 
 def segmented(pages: DataFrame, counts: DataFrame, total: int, unwanted: Sequence[str], size: int) -> DataFrame:
@@ -142,14 +168,24 @@ def segmented(pages: DataFrame, counts: DataFrame, total: int, unwanted: Sequenc
     return stored(rows.mapInArrow(run, f"{spark_type}, marked boolean, buckets array<int>"))
 
 
+def log_odds(cells: np.ndarray) -> np.ndarray:
+    """What each cell says for the second class against the first, from their counts; cells of no example say nothing."""
+    both = cells.sum(axis=0) / max(cells.sum(), 1)
+    share = [(1 - BLUR) * own / max(own.sum(), 1) + BLUR * both for own in cells]
+    return np.log(np.where(both > 0, share[1], 1)) - np.log(np.where(both > 0, share[0], 1))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str = "page_id", url_column: str = "url", text_column: str = "html", unwanted: Sequence[str] = UNWANTED, dictionary: int | None = None, size: int = TOKENS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, tokens) for every row of ``pages``.
 
     A listed rule decides where one fits. Else naive Bayes does: host names and paths are split into words by a
     unigram model of the words in ``text_column`` of all pages; pages whose host has an unwanted word are the examples
-    of class block, all others of class allow, but for those that a first model blocks; add-one smoothed token counts of the examples, in ``size`` hashed cells,
-    give the log odds ``score``, and over 0 blocks. All words are in the unigram model unless ``dictionary`` limits it. NULL
-    and unreadable URLs have no tokens: their score is the log odds of the classes. With no example all is allowed.
+    of class block, all others of class allow, but for those that a first model blocks. The examples' token counts, in
+    ``size`` hashed cells, give the log odds ``score``, and over 0 blocks. Each class's distribution is mixed with that of
+    all examples (``BLUR``), so a token that neither class has says nothing, however small a class is. All words are in the
+    unigram model unless ``dictionary`` limits it. NULL and unreadable URLs have no tokens: their score is the log odds
+    of the classes. With no example all is allowed; an empty table gives none. Repeated rows are judged each and count
+    as often. Other columns of ``pages``, whatever their names, are left out.
     """
     text = F.coalesce(F.col(text_column), F.lit("")) if text_column in pages.columns else F.lit("")
     counts = word_counts(text, pages, dictionary, unwanted)
@@ -167,8 +203,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, id_column: str
         prior = {r.marked: r["count"] for r in examples.groupBy("marked").count().collect()}
         if not (prior.get(True, 0) and prior.get(False, 0)):
             return np.zeros(size), -math.inf if not prior.get(True, 0) else math.inf
-        odds = np.log((cells[1] + 1) / (cells[1].sum() + size)) - np.log((cells[0] + 1) / (cells[0].sum() + size))
-        return odds, math.log(prior[True] / prior[False])
+        return log_odds(cells), math.log(prior[True] / prior[False])
 
     odds, start = learned(rows)
 

@@ -4,6 +4,7 @@ import json
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from licensum.llm.common import pieces
 
 # Fixed value: the pattern that splits text before merges in byte-level vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_STEPS = 250_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -23,6 +24,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Remembered(dict):
+    """Results of ``make`` by key, at most twice ``most``: a full generation becomes the old one, of which a key that is asked for again is taken over."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Automaton:
     """The token sequences that BPE produces, as a deterministic automaton whose arcs are labelled with tokens.
 
@@ -40,7 +59,7 @@ class Automaton:
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}
         self.usable = {i for label, i in vocabulary.items() if len(label) == 1}
-        self.steps: dict[int, bool] = {}
+        self.steps = Remembered(lambda key: self.arc(key >> 32, key & 0xFFFFFFFF), KEPT_STEPS)
         for number, (left, right) in enumerate(merges, 1):
             u, v, w = vocabulary[left], vocabulary[right], vocabulary[left + right]
             if w in self.usable or u not in self.usable or v not in self.usable or not self.arc(u, v):
@@ -71,25 +90,18 @@ class Automaton:
             before = self.made[owner] if before is None else min(before, self.made[owner])
             owner = self.parts[owner][1]
 
-    def step(self, p: int, t: int) -> bool:
-        key = p << 32 | t
-        found = self.steps.get(key)
-        if found is None:
-            found = self.steps[key] = self.arc(p, t)
-        return found
-
     def encode(self, word: bytes) -> tuple[int, ...]:
         """The labels of the one accepted path that spells ``word``."""
         if word in self.tokens:
             return (self.tokens[word],)
-        size, path, at, dead = len(word), [], [0], set()
+        size, path, at, dead, steps = len(word), [], [0], set(), self.steps
         choices = [self._starting(word, 0)]
         while at[-1] < size:
             here, options = at[-1], choices[-1]
             last = path[-1] if path else None
             while options:
                 t, end = options.pop()
-                if end not in dead and (last is None or self.step(last, t)):
+                if end not in dead and (last is None or steps[last << 32 | t]):
                     path.append(t)
                     at.append(end)
                     choices.append(self._starting(word, end))
@@ -114,19 +126,6 @@ class Automaton:
         return out
 
 
-class _Words(dict):
-    """Ids of words met so far; emptied when it holds ``KEPT_WORDS``."""
-
-    def __init__(self, automaton):
-        self.automaton = automaton
-
-    def __missing__(self, word: str):
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self[word] = self.automaton.encode(word.encode())
-        return ids
-
-
 class Tokenizer:
     """Encodes and decodes as the tokenizers library does with the same file, without special tokens around the text."""
 
@@ -139,8 +138,10 @@ class Tokenizer:
         vocabulary = {spelled(t): i for t, i in data["model"]["vocab"].items() if t not in added}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
         self.automaton = Automaton(vocabulary, [(spelled(a), spelled(b)) for a, b in pairs])
-        self.words, self.added = _Words(self.automaton), added
-        self.labels = self.automaton.labels | {i: t.encode() for t, i in added.items()}
+        self.words, self.added = Remembered(lambda word: self.automaton.encode(word.encode()), KEPT_WORDS), added
+        labels = self.automaton.labels | {i: t.encode() for t, i in added.items()}
+        self.labels = np.full(max(labels) + 1, None, object)
+        self.labels[list(labels)] = list(labels.values())
         self.pattern = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
@@ -153,8 +154,8 @@ class Tokenizer:
             ids += [self.added[part]] if part in self.added else chain.from_iterable(map(get, split(part)))
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(self.labels[ids].tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -166,7 +167,8 @@ def encode(docs: DataFrame, *, path: str, id_column: str = "doc_id", text_column
     """(doc_id, ids) for every row of ``docs``: the token ids of the whole text, an empty list for NULL and empty texts.
 
     ``path`` is a vocabulary file that every executor has. The automaton is compiled once in each Python worker, and
-    words are encoded once as long as the worker remembers them.
+    words are encoded once as long as the worker remembers them. Repeated rows are encoded each, an empty table gives
+    none, and other columns, whatever their names, are left out.
     """
 
     def run(batches):
@@ -174,20 +176,24 @@ def encode(docs: DataFrame, *, path: str, id_column: str = "doc_id", text_column
         for batch in batches:
             for part in pieces(batch, 1):
                 ids = [own.encode(text) if text else [] for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, *, path: str) -> DataFrame:
-    """(doc_id, ids, text) for rows of (doc_id, ids); bytes that are no UTF-8 become U+FFFD."""
+    """(doc_id, ids, text) for rows of (doc_id, ids); bytes that are no UTF-8 become U+FFFD, NULL ids are an empty text."""
 
     def run(batches):
         own = tokenizer(path)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
-                texts = [own.decode(ids or ()) for ids in part.column(1).to_pylist()]
+                flat = part.column(1).flatten().to_numpy()
+                ends = np.cumsum([0, *(n or 0 for n in part.column(1).value_lengths().to_pylist())])
+                texts = [own.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

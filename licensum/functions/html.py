@@ -4,6 +4,8 @@ Elements are found by splitting the page at their opening tags. Every piece is t
 linear in the page size even when closing tags are missing.
 """
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,24 @@ def _utf8(code: Column) -> Column:
     return F.decode(F.unhex(digits), "UTF-8")
 
 
-def decode_entities(c: Column, entities=vocab.HTML_ENTITIES) -> Column:
-    """Decode named and numeric character references in one pass (``&amp;lt;`` gives ``&lt;``)."""
+#: All named references of the standard, and those that count without a semicolon too.
+NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+UNENDED = {name: value for name, value in html5.items() if not name.endswith(";")}
+_UNENDED_NAMES = "^(?:" + "|".join(sorted(UNENDED, key=lambda n: (-len(n), n))) + ")"
+
+
+def _table(entities: dict[str, str]) -> Column:
+    """A map as one constant, so that plans hold a single literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entities.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def decode_entities(c: Column, entities=vocab.HTML_ENTITIES, *, in_attribute: bool = False) -> Column:
+    """Decode named and numeric character references in one pass (``&amp;lt;`` gives ``&lt;``).
+
+    ``entities`` are frequent names, looked up first. A name without a semicolon, or with an unknown end, is the longest
+    known beginning, as the standard has it (``&notit;`` gives ``¬it;``); in an attribute it stays in front of letters,
+    digits and ``=``, as in an address with parameters.
+    """
     names = F.create_map(*[F.lit(x) for pair in entities.items() for x in pair])
 
     def char_of(ref):
@@ -49,14 +67,17 @@ def decode_entities(c: Column, entities=vocab.HTML_ENTITIES) -> Column:
         hexed = F.when(ref.rlike("^#[xX]"), F.conv(ref.substr(F.lit(3), F.length(ref)), 16, 10).cast("bigint"))
         valid = lambda code: (code > 0) & (code < 1114112) & ~code.between(55296, 57343)
         numeric = let(F.coalesce(digits, hexed), lambda code: F.when(valid(code), _utf8(code)))
-        return F.when(ref.startswith("#"), numeric).otherwise(F.try_element_at(names, ref))
+        return F.when(ref.startswith("#"), numeric).otherwise(F.coalesce(F.try_element_at(names, ref), F.try_element_at(_table(NAMED), ref)))
+
+    def unended(p):
+        name = F.regexp_extract(p, _UNENDED_NAMES + ("(?![=A-Za-z0-9])" if in_attribute else ""), 0)
+        found = lambda n: F.concat(F.try_element_at(_table(UNENDED), n), p.substr(F.length(n) + 1, F.length(p)))
+        return F.coalesce(let(name, lambda n: F.when(n != "", found(n))), F.concat(F.lit("&"), p))
 
     def piece(p, i):
         ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        decoded = lambda r: F.coalesce(
-            F.concat(char_of(r), p.substr(F.length(r) + 2, F.length(p))), F.concat(F.lit("&"), p)
-        )
-        return F.when(i == 0, p).otherwise(let(ref, decoded))
+        ended = lambda r: F.when(r != "", F.concat(char_of(r), p.substr(F.length(r) + 2, F.length(p))))
+        return F.when(i == 0, p).otherwise(F.coalesce(let(ref, ended), unended(p)))
 
     join = lambda x: F.array_join(F.transform(F.split(x, "&"), piece), "")
     return let(c, lambda x: F.when(x.contains("&"), join(x)).otherwise(x))
@@ -121,7 +142,7 @@ def attribute(attrs: Column, name: str) -> Column:
     """Value of an attribute in the text of a tag; NULL when the tag does not carry it."""
     pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     bare = lambda v: F.when(v.rlike("""^["']"""), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v)
-    return let(F.regexp_extract(attrs, pattern, 1), lambda v: F.when(v != "", decode_entities(bare(v))))
+    return let(F.regexp_extract(attrs, pattern, 1), lambda v: F.when(v != "", decode_entities(bare(v), in_attribute=True)))
 
 
 def class_text(m: Column) -> Column:

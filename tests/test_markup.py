@@ -1,6 +1,7 @@
 """Pages that are not closed, or very long."""
 
 import time
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,14 @@ def test_nested_tables_by_a_plain_reader(spark):
     got = P.table_rows(spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string"), header_words=["name", "date"]).collect()
     assert len(want) > 50
     assert {(r.page_id, r.table_no, r.row_no, tuple(r.headers), tuple(r.cells)) for r in got} == want
+
+
+def test_named_references_as_the_standard_has_them(spark):
+    """Native decoding equals that of the element tree for every name, with and without its semicolon."""
+    from html.entities import html5
+
+    names = sorted({n.rstrip(";") for n in html5})
+    texts = [f"a &{n}{end} b" for n in names for end in (";", "", "x;", "1")] + ["&", "&;", "&&amp", "&amp&lt;&gt", "x&notit;", "&unknown;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", H.decode_entities(F.col("t")).alias("d")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != unescape(t)] == []

@@ -49,12 +49,12 @@ def remainder(doc_id: str, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % by
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
-    """Slices of a batch with about ``most`` bytes in a string column, or one row where a row alone is larger."""
+def pieces(batch: pa.RecordBatch, column: int, most: int = 4_000_000, rows: int = 1 << 30):
+    """Slices of a batch with about ``most`` bytes in a string column, or one row where a row alone is larger, and ``rows`` rows at most."""
     sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
     start = total = 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > most:
+        if i > start and (total + size > most or i - start == rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -39,11 +39,27 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def sort_key(column: str, kind: T.DataType) -> Column:
-    """A long in the order of the column: numbers as they are, text by its first seven bytes; NULL first."""
-    if isinstance(kind, T.StringType):
-        digits = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
+def text_steps(docs: DataFrame, column: str, bits: int) -> Column:
+    """The step of a text column among 2^bits of equal numbers of rows, in the order of whole values; NULL is the least.
+
+    Values are counted, sorted by Spark and numbered by the rows before them; the first value of each step, 2^bits at
+    most, comes to the driver.
+    """
+    counts = docs.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).filter("value IS NOT NULL")
+    ordered = stored(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33))
+    sums = offsets(ordered.groupBy("part").agg(F.sum("n").alias("rows")), "part", "rows").selectExpr("part", "before", "sum(rows) OVER () AS total")
+    ranked = ordered.join(F.broadcast(sums), "part").selectExpr("value", "total", "before + coalesce(sum(n) OVER (PARTITION BY part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rank")
+    first = ranked.selectExpr("value", f"(rank * {2**bits}) DIV total AS step").groupBy("step").agg(F.min("value").alias("value")).collect()
+    step = F.lit(-1)
+    for r in sorted(first, key=lambda r: r.step):
+        step = F.when(F.col(column) >= F.lit(r.value), F.lit(r.step)).otherwise(step)
+    return step.cast("long")
+
+
+def sort_key(docs: DataFrame, column: str, bits: int) -> Column:
+    """A long in the order of the column: numbers as they are, texts by their step; NULL first."""
+    if isinstance(docs.schema[column].dataType, T.StringType):
+        return text_steps(docs, column, bits)
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**62)))
 
 
@@ -76,7 +92,7 @@ def assign(docs: DataFrame, *, shards: int, dimensions: Sequence[str] = ("lang",
     NULL texts count as empty, and rows that are equal in all keys take any order.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    keys = {f"key{i}": sort_key(c, docs.schema[c].dataType) for i, c in enumerate(dimensions)}
+    keys = {f"key{i}": sort_key(docs, c, bits) for i, c in enumerate(dimensions)}
     size = (F.octet_length(text) + 16).cast("long")
     slim = stored(docs.select(F.col(id_column).cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *(v.alias(k) for k, v in keys.items())))
     ordered = curve(slim, [*keys, "size"], bits).drop(*keys).repartitionByRange("curve", "text_crc32", "doc_id").sortWithinPartitions("curve", "text_crc32", "doc_id")

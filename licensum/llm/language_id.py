@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from licensum.llm.common import pieces, remainder
 
 DIMENSIONS, SLOTS, SEED, UNKNOWN = 1024, 256, 7, "und"
-BATCH = 500_000
+# Bytes and rows that are counted at once: the counts of many short texts would fill the memory otherwise.
+BATCH, ROWS = 500_000, 256
 
 
 @lru_cache(maxsize=1)
@@ -78,7 +79,7 @@ def prototypes(docs: DataFrame, dimensions: int) -> tuple[list[str], np.ndarray]
     def run(batches):
         own, sums = Encoder(dimensions), {}
         for batch in batches:
-            for part in pieces(batch, 0, BATCH):
+            for part in pieces(batch, 0, BATCH, ROWS):
                 langs = part.column(1).to_pylist()
                 names = sorted(set(langs))
                 doc, codes = trigrams([t or "" for t in part.column(0).to_pylist()])
@@ -107,7 +108,7 @@ def predict(docs: DataFrame, names: list[str], profiles: np.ndarray, *, id_colum
     def run(batches):
         own = Encoder(dimensions)
         for batch in batches:
-            for part in pieces(batch, 1, BATCH):
+            for part in pieces(batch, 1, BATCH, ROWS):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 doc, codes = trigrams(texts)
                 vectors = own.bundle(doc, codes, len(texts))
@@ -126,7 +127,9 @@ def identify(docs: DataFrame, *, folds: int = 3, held_out: int = 1, dimensions:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang).
 
     Learns from rows with a language whose fold, crc32 of the id modulo ``folds``, is not ``held_out``. Rows without
-    an id belong to no fold: they are neither learned from nor held out.
+    an id belong to no fold: they are neither learned from nor held out. Repeated rows are learned and judged each, an
+    empty table gives none, and other columns, whatever their names, are left out. Letters from U+0100 on share 255 slots
+    by their hash.
     """
     fold = remainder("doc_id", folds)
     names, profiles = prototypes(docs.filter(fold.isNotNull() & (fold != held_out) & F.col("lang").isNotNull()), dimensions)

@@ -39,3 +39,14 @@ def test_written_shards(spark, tmp_path):
     rows = hilbert_shards.assign(spark.read.parquet(folder(spark, tmp_path, ODD) + "/documents.parquet"), shards=3)
     hilbert_shards.write(rows, str(tmp_path / "out"))
     assert sorted(r.shard for r in spark.read.parquet(str(tmp_path / "out")).select("shard").collect()) == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
+
+
+def test_steps_of_texts_with_one_beginning(spark):
+    """Whole values are ordered, however long what they share; a frequent value is one step, and NULL comes first."""
+    values = [f"https://www.example.org/{i:03}" for i in range(100)] + ["https://www.example.org/050"] * 300 + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "source string")
+    steps = df.select("source", hilbert_shards.text_steps(df, "source", 3).alias("s")).distinct().collect()
+    found = sorted((r.source, r.s) for r in steps if r.source is not None)
+    assert [s for _, s in found] == sorted(s for _, s in found)
+    assert [(v, s) for v, s in found if s != sum(x is not None and x < v for x in values) * 8 // 400] == []
+    assert {r.s for r in steps if r.source is None} == {-1}

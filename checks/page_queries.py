@@ -259,13 +259,28 @@ def _(t):
     return out.drop("url").withColumn("potential_licence_urls", join("potential_licence_urls"))
 
 
-@query("l5_analyse_pages")
+def _analysed(table, menu, crumbs):
+    when = lambda x: f"CASE WHEN found THEN {x} END"
+    return f"""SELECT a.page_id, a.url, found AS licence_register_found, {when(_site_type('html'))} AS website_type, CASE WHEN found THEN array_to_string(c.us, ';') ELSE '' END AS potential_licence_urls,
+  {when(menu)} AS menu, {when(crumbs)} AS crumbs FROM (SELECT *, {_FOUND} AS found FROM {table}) a JOIN ({_candidates(table)}) c ON a.page_id = c.page_id"""
+
+
+_REGISTER_MENU = "'Public register search>/register;View licence application>premises?id=' || o_custkey || ';Bins>https://x.example.org/bins'"
+_NUMBERED = "(SELECT r.*, o_custkey FROM register_pages r JOIN orders ON page_id = o_orderkey)"
+
+
+@query(
+    "l5_analyse_pages",
+    f"""WITH register_pages AS ({duck(REGISTER_PAGES)}), card_pages AS ({duck(CARD_PAGES)}), numbered AS {_NUMBERED}
+{_analysed("numbered", _REGISTER_MENU, "''")}
+UNION ALL {_analysed("card_pages", "'News>/n' || (a.page_id % 9)", "'Home>/;Licensing>/lic'")}""",
+)
 def _(t):
     out = discovery.analyse_pages(t.card_pages.unionByName(t.register_pages))
-    nav = F.col("navigation_structure")
+    shown = lambda c: join(F.transform(c, lambda e: F.concat(e.text, F.lit(">"), e.url)))
     return out.select(
         "page_id", "url", "licence_register_found", "website_type", join("potential_licence_urls").alias("potential_licence_urls"),
-        F.size(nav["main_menu_items"]).alias("menu_items"), F.size(nav["breadcrumbs"]).alias("breadcrumbs"),
+        shown("navigation_structure.main_menu_items").alias("menu"), shown("navigation_structure.breadcrumbs").alias("crumbs"),
     )
 
 

@@ -37,11 +37,14 @@ def _typed(rows: DataFrame) -> DataFrame:
         kind_of = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
         # Empty lists are ARRAY<VOID>; absent fields have no type and pass.
         wrong = lambda name, kind: F.coalesce(~kind_of(name).rlike(f"^(VOID|{kind})$"), F.lit(False))
+        # A value that was read needs no look for a null, and a text that does not begin like an object or list is a plain value.
+        null = lambda name: F.when(f[name].isNull(), is_null(name)).otherwise(F.lit(False))
+        nested = lambda name, kind: F.when(f[name].isNull() | f[name].rlike(r"^\s*[\[{]"), wrong(name, kind)).otherwise(F.lit(False)) if kind[0] == "S" else wrong(name, kind)
         return (
             F.when(F.col("payload").isNull(), "no JSON found")
             .when(v.isNull(), "invalid JSON")
-            .when(reduce(lambda a, b: a | b, map(is_null, _NOT_NULL)), "null in a required field")
-            .when(reduce(lambda a, b: a | b, [wrong(name, kind) for name, kind in _TYPES]), "field of a wrong type")
+            .when(reduce(lambda a, b: a | b, map(null, _NOT_NULL)), "null in a required field")
+            .when(reduce(lambda a, b: a | b, [nested(name, kind) for name, kind in _TYPES]), "field of a wrong type")
             .when(~(text.truthy(f.premises_name) & text.truthy(f.premises_address)), "missing name or address")
         )
 

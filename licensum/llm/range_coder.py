@@ -9,11 +9,15 @@ of its ids. Numbers are integers throughout, so that any machine decodes what an
 at once, one numpy lane for each.
 """
 
+import json
+import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,6 @@ MAGIC = b"CMR1"
 HEADER = struct.Struct("<4sIIIIIII")
 LOW, TOP = 32, 48
 NO_ID = -(2**63)
-MARK = "\x01"
 
 STRETCH = np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))).astype(np.int32)
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 4064).astype(np.int32)
@@ -256,35 +259,74 @@ def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 class WordIds(dict):
     """Ids of the words of a text that spaces and line ends part, by the library; emptied at ``most`` words.
 
-    For vocabularies that drop white space, where no piece of text reaches across it.
+    For vocabularies that drop white space, where no piece of text reaches across it. The library normalises and parts
+    a new word, and its model is asked once for each different piece, as many words share theirs. Words of printable
+    ASCII are lower-cased and parted here by the pattern of the vocabulary file, if that is all that the file asks for.
+    Words with an added token are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.ids = Tokenizer.from_file(path), most, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.model, self.normalise, self.part = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        with open(path, encoding="utf-8") as f:
+            self.pattern = lower_case_pattern(json.load(f))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned numbers of 32 bits."""
-        split = [t.split() for t in texts]
-        if len(self) > self.most:
+        if len(self) > self.most or len(self.ids) > self.most:
             self.clear()
-        new = list(set().union(*split).difference(self))
-        # One call for many words, which a mark parts that is in none of them; the library takes long over single words.
-        odd = [w for w in new if b"\x01" in w] if len(self.mark) == 1 else new
-        plain = [w for w in new if b"\x01" not in w] if len(self.mark) == 1 else []
-        for word in odd:
-            self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(w.decode() for w in part), add_special_tokens=False).ids, "<u4")
-            for word, found in zip(part, np.split(ids, np.flatnonzero(ids == self.mark[0])), strict=True):
-                self[word] = found.tobytes() if word is part[0] else found[1:].tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+            self.ids.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.added.search(text):
+            found = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        else:
+            if self.pattern and text.isascii() and text.isprintable():
+                parts = self.pattern.findall(text.lower())
+            else:
+                normal = self.normalise.normalize_str(text) if self.normalise else text
+                parts = [p for p, _ in self.part.pre_tokenize_str(normal)] if self.part else [normal]
+            found = b"".join([self.ids.get(p) or self._piece(p) for p in parts])
+        self[word] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.ids[piece] = self._packed([t.id for t in self.model.tokenize(piece)])
+        return found
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def lower_case_pattern(file: dict):
+    """The pattern of a vocabulary file that lower-cases text and keeps the matches of one pattern as bytes; else None.
+
+    Its other steps (composition, white space as a space) do not touch printable ASCII, nor does the spelling of bytes.
+    """
+    steps = (file.get("normalizer") or {}).get("normalizers", [])
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    lowers = {"type": "Lowercase"} in steps and all(s in ({"type": "NFC"}, {"type": "Lowercase"}, spaces) for s in steps)
+    if not lowers or [s["type"] for s in splits] != ["Split", "ByteLevel"]:
+        return None
+    cut, spelled = splits
+    kept = cut["behavior"] == "Removed" and cut["invert"] and not spelled["add_prefix_space"] and not spelled["use_regex"]
+    return regex.compile(cut["pattern"]["Regex"]) if kept and "Regex" in cut["pattern"] else None
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One memory of words for all tasks of a Python worker."""
+    return WordIds(path)
 
 
 def write(docs: DataFrame, path: str, *, tokenizer: str, end: int, id_column: str = "doc_id", text_column: str = "text", frame: int = FRAME) -> None:
@@ -297,7 +339,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, end: int, id_column: st
     """
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         closing = np.array([end], "<u4").tobytes()
         shard, number, held, size = None, 0, [], 0
 

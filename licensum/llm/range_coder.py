@@ -1,12 +1,13 @@
 """Token ids in compressed blocks: predictions of order 0 to 2 are mixed and drive a range coder; blocks stand alone.
 
 A frame is a number of whole documents: a header, the frequencies of its ids, and blocks of ``BLOCK`` ids each. In a
-block, orders 1 and 2 remember which id followed the last one and the last two. The better of both is the candidate.
-The chance that it is right is mixed from three adaptive estimates (by the confidence of order 2, by that of order 1,
-and by how frequent the candidate is, order 0) with weights that adapt too. The coder takes hit or miss by that chance,
-and after a miss the id by its order-0 frequency. All this state is reset at each block, and each block has a CRC-32
-of its ids. Numbers are integers throughout, so that any machine decodes what another wrote. A batch of blocks is coded
-at once, one numpy lane for each.
+block, orders 1 and 2 remember which id followed the last one and the last two, and order 0 counts the ids so far. The
+better of orders 1 and 2 gives the candidate. The chance that it is right is mixed from three adaptive estimates, one
+for each order: by the confidence of order 2, by that of order 1, and by the count of the candidate in the block, with
+weights that adapt too. The coder takes hit or miss by that chance, and after a miss the id by its frequency in the
+frame. All that adapts is reset at each block, and each block has a CRC-32 of its ids, so any block is read from its
+own bytes and the header. Numbers are integers throughout, so that any machine decodes what another wrote. A batch of
+blocks is coded at once, one numpy lane for each.
 """
 
 import json
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from licensum.llm.common import offsets, pieces, raw
 
 BLOCK, FRAME = 1024, 4 << 20
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 HEADER = struct.Struct("<4sIIIIIII")
 LOW, TOP = 32, 48
 NO_ID = -(2**63)
@@ -36,17 +37,20 @@ SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 3
 class Model:
     """The predictions of a number of blocks, for one id of each at a time. Ids are numbers of the frame's symbols."""
 
-    SIZE1, SIZE2, CHANCES = 10, 11, 12
+    SIZE0, SIZE1, SIZE2, MOST = 9, 10, 11, 7
 
     def __init__(self, lanes: int, frequent: np.ndarray):
         lane = np.arange(lanes)
         self.frequent = frequent
         self.first, self.second = np.zeros(lanes << self.SIZE1, np.int32), np.zeros(lanes << self.SIZE2, np.int32)
-        self.base1, self.base2 = lane << self.SIZE1, lane << self.SIZE2
+        # Ids are numbered without gaps, so their last bits part them well.
+        self.counts, self.mask0 = np.zeros(lanes << self.SIZE0, np.int32), (1 << self.SIZE0) - 1
+        self.base0, self.base1, self.base2 = lane << self.SIZE0, lane << self.SIZE1, lane << self.SIZE2
         self.chance2 = np.tile(np.array([200, 1400, 2200, 3000], np.int32), lanes)
         self.chance1 = np.tile(np.add.outer([200, 500, 800, 1100, 400, 1500, 2200, 2900], range(0, 400, 50)).ravel().astype(np.int32), lanes)
+        self.chance0 = np.tile(np.add.outer([150, 300, 450, 600, 750, 900, 1050, 1200], range(0, 400, 50)).ravel().astype(np.int32), lanes)
         self.base_chance2, self.base_chance1 = lane * 4, lane * 64
-        self.weight2, self.weight1 = np.full(lanes, 36000, np.int32), np.full(lanes, 36000, np.int32)
+        self.weight2, self.weight1, self.weight0 = (np.full(lanes, w, np.int32) for w in (34000, 34000, 6000))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
 
@@ -57,11 +61,13 @@ class Model:
         self.got1, self.got2 = self.first.take(self.at1), self.second.take(self.at2)
         id1, sure2 = self.got1 >> 2, self.got2 & 3
         candidate = np.where(sure2 > 0, self.got2 >> 2, id1)
-        kind = ((self.got1 & 3) + ((id1 == candidate) << 2)) * 8 + self.frequent.take(candidate)
-        self.place2, self.place1 = self.base_chance2 + sure2, self.base_chance1 + kind
-        self.seen2, self.seen1 = self.chance2.take(self.place2), self.chance1.take(self.place1)
-        self.input2, self.input1 = STRETCH.take(self.seen2), STRETCH.take(self.seen1)
-        dot = (self.weight2 * self.input2 + self.weight1 * self.input1) >> 16
+        usual = self.base_chance1 + self.frequent.take(candidate)
+        kind = (self.got1 & 3) + ((id1 == candidate) << 2)
+        count = self.counts.take(self.base0 + (candidate & self.mask0))
+        self.place2, self.place1, self.place0 = self.base_chance2 + sure2, usual + (kind << 3), usual + (count << 3)
+        self.seen2, self.seen1, self.seen0 = self.chance2.take(self.place2), self.chance1.take(self.place1), self.chance0.take(self.place0)
+        self.input2, self.input1, self.input0 = STRETCH.take(self.seen2), STRETCH.take(self.seen1), STRETCH.take(self.seen0)
+        dot = (self.weight2 * self.input2 + self.weight1 * self.input1 + self.weight0 * self.input0) >> 16
         self.mixed = SQUASH.take(dot + 2047, mode="clip")
         return candidate, self.mixed
 
@@ -70,12 +76,17 @@ class Model:
         error = target - self.mixed
         self.weight2 += self.input2 * error >> 11
         self.weight1 += self.input1 * error >> 11
+        self.weight0 += self.input0 * error >> 11
         self.step += 1
         if self.step % 16 == 0:
             np.clip(self.weight2, -131072, 131072, out=self.weight2)
             np.clip(self.weight1, -131072, 131072, out=self.weight1)
+            np.clip(self.weight0, -131072, 131072, out=self.weight0)
         self.chance2[self.place2] = self.seen2 + (target - self.seen2 >> 4)
         self.chance1[self.place1] = self.seen1 + (target - self.seen1 >> 4)
+        self.chance0[self.place0] = self.seen0 + (target - self.seen0 >> 4)
+        at0 = self.base0 + (ids & self.mask0)
+        self.counts[at0] = np.minimum(self.counts.take(at0) + 1, self.MOST)
         new = ids << 2 | 1
         for table, at, got in ((self.first, self.at1, self.got1), (self.second, self.at2, self.got2)):
             sure = got & 3
@@ -222,35 +233,47 @@ def encode_frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     return b"".join([head, tables, index, *blocks])
 
 
-def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """The documents, lengths and ids of a frame; ValueError where a checksum does not hold."""
-    magic, n_docs, n_ids, block, bits, n_symbols, n_tables, check = HEADER.unpack_from(data)
-    n_blocks = -(-n_ids // block)
-    tables, end = data[HEADER.size : HEADER.size + n_tables], HEADER.size + n_tables + 8 * n_blocks
-    if magic != MAGIC or zlib.crc32(data[HEADER.size : end]) != check:
-        raise ValueError("damaged frame header")
-    index = np.frombuffer(data, "<u4", 2 * n_blocks, HEADER.size + n_tables).reshape(2, n_blocks)
-    tables = zlib.decompress(tables)
-    docs = np.frombuffer(tables, "<i8", n_docs).tolist()
-    lengths = np.frombuffer(tables, "<u4", n_docs, 8 * n_docs).astype(np.int64)
-    symbols = np.frombuffer(tables, "<u4", n_symbols, 12 * n_docs)
-    frequency = np.frombuffer(tables, "<u4", n_symbols, 12 * n_docs + 4 * n_symbols).astype(np.int64)
-    ids = np.zeros(0, np.uint32)
-    if n_ids:
-        table = Table(frequency, bits)
-        ends = end + np.cumsum(index[0].astype(np.int64))
-        coder = Decoder([data[e - n : e] for e, n in zip(ends.tolist(), index[0].tolist(), strict=True)])
-        model = Model(n_blocks, table.frequent)
-        grid = np.zeros((block, n_blocks), np.int32)
-        for step in range(min(block, n_ids)):
+class Frame:
+    """A frame that is read: its documents and their lengths; blocks are decoded when they are asked for."""
+
+    def __init__(self, data: bytes):
+        magic, n_docs, self.n_ids, self.block, self.bits, n_symbols, n_tables, check = HEADER.unpack_from(data)
+        n_blocks = -(-self.n_ids // self.block)
+        tables, end = data[HEADER.size : HEADER.size + n_tables], HEADER.size + n_tables + 8 * n_blocks
+        if magic != MAGIC or zlib.crc32(data[HEADER.size : end]) != check:
+            raise ValueError("damaged frame header")
+        sizes, self.sums = np.frombuffer(data, "<u4", 2 * n_blocks, HEADER.size + n_tables).reshape(2, n_blocks)
+        tables = zlib.decompress(tables)
+        self.doc_ids = [None if d == NO_ID else d for d in np.frombuffer(tables, "<i8", n_docs).tolist()]
+        self.lengths = np.frombuffer(tables, "<u4", n_docs, 8 * n_docs).astype(np.int64)
+        self.symbols = np.frombuffer(tables, "<u4", n_symbols, 12 * n_docs)
+        self.frequency = np.frombuffer(tables, "<u4", n_symbols, 12 * n_docs + 4 * n_symbols).astype(np.int64)
+        ends = end + np.cumsum(sizes.astype(np.int64))
+        self.blocks = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def ids(self, numbers: list[int]) -> list[np.ndarray]:
+        """The ids of some blocks, from nothing but their own bytes and the header; ValueError where a checksum does not hold."""
+        if not numbers:
+            return []
+        table = Table(self.frequency, self.bits)
+        coder, model = Decoder([self.blocks[i] for i in numbers]), Model(len(numbers), table.frequent)
+        grid = np.zeros((self.block, len(numbers)), np.int32)
+        for step in range(min(self.block, self.n_ids)):
             candidate, chance = model.predict()
             hit, grid[step] = coder.get(candidate, chance, table)
             model.update(hit, grid[step])
-        ids = symbols[grid.T.ravel()[:n_ids]]
-        for i, want in enumerate(index[1].tolist()):
-            if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != want:
+        out = [self.symbols[row[: self.n_ids - i * self.block]] for i, row in zip(numbers, grid.T, strict=True)]
+        for i, ids in zip(numbers, out, strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != self.sums[i]:
                 raise ValueError(f"damaged block {i}")
-    return [None if d == NO_ID else d for d in docs], lengths, ids
+        return out
+
+
+def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """The documents, lengths and ids of a frame; ValueError where a checksum does not hold."""
+    frame = Frame(data)
+    ids = frame.ids(list(range(len(frame.blocks))))
+    return frame.doc_ids, frame.lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
 # --- tables ---------------------------------------------------------------------------------------------------------

@@ -34,6 +34,36 @@ def test_repeats_cost_little_and_damage_is_found():
             range_coder.decode_frame(bytes(broken))
 
 
+def test_blocks_are_read_alone_and_damage_stays_in_its_block():
+    ids = np.random.default_rng(1).zipf(1.3, 5000).astype(np.uint32)
+    data = range_coder.encode_frame([1], np.array([len(ids)]), ids)
+    assert range_coder.Frame(data).ids([3])[0].tolist() == ids[3072:4096].tolist()
+    assert range_coder.Frame(data).ids([4, 0])[0].tolist() == ids[4096:].tolist()
+    broken = bytearray(data)
+    place = len(data) - len(range_coder.Frame(data).blocks[4]) - 200
+    broken[place] ^= 16
+    frame = range_coder.Frame(bytes(broken))
+    for i in (0, 1, 2, 4):
+        assert frame.ids([i])[0].tolist() == ids[i * 1024 : (i + 1) * 1024].tolist()
+    with pytest.raises(ValueError, match="damaged block 3"):
+        frame.ids([3])
+
+
+def test_counts_of_a_block_are_a_third_input_that_adapts():
+    ids = np.random.default_rng(2).zipf(1.2, 20_000).astype(np.uint32) % 5000
+    model = range_coder.Model(1, np.zeros(5000, np.int32))
+    weights = [model.weight0[0]]
+    for i in ids[:1024].tolist():
+        candidate, chance = model.predict()
+        model.update(candidate == i, np.array([i], np.int32))
+        weights.append(model.weight0[0])
+    assert model.counts.max() == model.MOST
+    assert len(set(weights)) > 10
+    assert len(set(model.chance0.tolist())) > len(set(range_coder.Model(1, np.zeros(1, np.int32)).chance0.tolist()))
+    fresh = range_coder.Model(1, np.zeros(5000, np.int32))
+    assert not fresh.counts.any() and fresh.weight0[0] == weights[0]
+
+
 def test_words_are_encoded_like_whole_texts():
     texts = [r[1] or "" for r in ODD] + ["a \x01 b\x01c", "e\u0301 \x1c x\x85y\xa0z", "İstanbul’s 12,345 'LL", "x<|startoftext|>y"]
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]

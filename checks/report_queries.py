@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from checks import stages as S
-from checks.registry import query
+from checks.registry import ORACLES, query
 from checks.tables import AS_OF, COUNCILS, RESULTS, duck
 from licensum import vocab
 from licensum.operators import facets, runs
@@ -251,19 +251,82 @@ def _(t):
     return R.raw_export(t.enriched).drop("opening_hours")
 
 
-def _sheets(name, tables):
-    @query(name)
-    def _(t):
-        counts = [df.agg(F.count("*").alias("n")).select(F.lit(sheet).alias("sheet"), "n") for sheet, df in tables(t).items()]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.unionAll(c)
-        return out
+def _twin(name, table="enriched"):
+    """The text of a twin above without its stages, over all licences or those of the week."""
+    return ORACLES[name].removeprefix(over("").strip()).replace("FROM enriched", f"FROM {table}")
 
 
-_sheets("l2_weekly_report", lambda t: reporting.weekly_report(t.enriched, as_of=AS_OF))
-_sheets("l3_full_report", lambda t: reporting.full_report(t.enriched, as_of=AS_OF))
-_sheets("a1_a6_processing_report", lambda t: reporting.processing_report(t.raw, t.enriched))
+def _fields(sheets):
+    """Every field of every sheet: of a row as JSON, each key with its value as text or number."""
+
+    def one(sheet, select):
+        item = f"j ->> '{reporting.ROW_NAMES[sheet]}'" if sheet in reporting.ROW_NAMES else "CAST(NULL AS VARCHAR)"
+        return f"SELECT '{sheet}' AS sheet, {item} AS item, unnest(json_keys(j)) AS field, j FROM (SELECT to_json(r) AS j FROM ({select}) AS r)"
+
+    cells = " UNION ALL ".join(one(sheet, select) for sheet, select in sheets.items())
+    value = "json_extract(j, '$.\"' || field || '\"')"
+    return over(f"""SELECT sheet, item, field, CASE WHEN t = 'VARCHAR' THEN v ->> '$' END AS text, CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(v AS DOUBLE) END AS number
+FROM (SELECT *, {value} AS v, json_type({value}) AS t FROM ({cells}))""")
+
+
+@query(
+    "l2_weekly_report",
+    _fields(
+        {
+            "header": _twin("a11_weekly_header"),
+            "summary_stats": _twin("a10_weekly_stats"),
+            "executive_summary": _twin("a12_executive_summary"),
+            "new_licences": _twin("s15_licence_listing", "week"),
+            "new_licences_message": "SELECT 'No new licences found for this period' AS message WHERE NOT EXISTS (SELECT 1 FROM week)",
+            "licences_by_type": _twin("a7_type_counts"),
+            "licences_by_status": _twin("a8_status_counts_filled"),
+            "top_councils": _twin("a9_top_councils", "week"),
+            "business_types": _twin("a13_weekly_business_types"),
+            "top_activities": _twin("a14_weekly_top_activities"),
+            "trends": _twin("a15_trends"),
+            "weekly_trend": _twin("a10_weekly_trend"),
+        }
+    ),
+)
+def _(t):
+    return reporting.report_fields(reporting.weekly_report(t.enriched, as_of=AS_OF))
+
+
+@query(
+    "l3_full_report",
+    _fields(
+        {
+            "licences": _twin("s15_licence_listing"),
+            "summary": _twin("a16_dataset_summary"),
+            "business_types": _twin("a13_business_types"),
+            "council_analysis": _twin("l1_a17_council_analysis"),
+            "business_type_analysis": _twin("a18_business_type_analysis"),
+            "activity_analysis": _twin("a19_activity_analysis"),
+            "geographic_analysis": _twin("a20_geographic_analysis"),
+            "raw_export": _twin("s14_raw_export"),
+        }
+    ),
+)
+def _(t):
+    # Opening hours are JSON of a map, whose order the twin does not know; c7 compares them.
+    return reporting.report_fields(reporting.full_report(t.enriched, as_of=AS_OF)).filter("field <> 'opening_hours'")
+
+
+@query(
+    "a1_a6_processing_report",
+    _fields(
+        {
+            "totals": _twin("a1_processing_summary"),
+            "councils": _twin("a2_council_counts"),
+            "business_types": _twin("a3_business_type_counts"),
+            "licence_statuses": _twin("a4_status_counts"),
+            "date_range": _twin("a5_date_range"),
+            "top_activities": _twin("a6_top_activities"),
+        }
+    ),
+)
+def _(t):
+    return reporting.report_fields(reporting.processing_report(t.raw, t.enriched))
 
 
 # --- Run metrics ---

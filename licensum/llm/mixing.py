@@ -38,7 +38,8 @@ def tilts(cells: DataFrame, goals: DataFrame, *, most: int = MOST, steps: int =
     ``cells`` counts documents by (source, size). The rates that are nearest to 1 in relative entropy, stay at or below
     ``most`` and meet the token targets are min(most, exp(tilt * size / mean)). The dual is convex in the tilts, its
     gradient is the surplus of tokens; each Newton step is one aggregation over the cells, kept inside the bracket
-    of the root. One number, the largest relative surplus, comes to the driver after each step.
+    of the root. One number, the largest relative surplus, comes to the driver after each step. RuntimeError if a source
+    is not within ``precision`` after ``steps``.
     """
     means = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     joined = goals.alias("g").join(means.alias("m"), F.expr("g.source <=> m.source")).selectExpr("g.source", "g.target", "g.source_size", "m.mean")
@@ -57,8 +58,11 @@ def tilts(cells: DataFrame, goals: DataFrame, *, most: int = MOST, steps: int =
         inside = f"slope > 0 AND {newton} > low AND {newton} < high"
         between = f"CASE WHEN low > double('-infinity') AND high < double('infinity') THEN (low + high) / 2 WHEN surplus < 0 THEN 2 * abs(tilt) + 1 ELSE -2 * abs(tilt) - 1 END"
         state = stored(moved.selectExpr("source", "mean", "target", f"CASE WHEN off <= {precision} THEN tilt WHEN {inside} THEN {newton} ELSE {between} END AS tilt", "low", "high", "off"))
-        if (state.agg(F.max("off")).first()[0] or 0) <= precision:
+        off = state.agg(F.max("off")).first()[0] or 0
+        if off <= precision:
             break
+    else:
+        raise RuntimeError(f"a source is {off:.2g} from its target after {steps} steps")
     return full.unionAll(state.select("source", "mean", "tilt"))
 
 
@@ -71,7 +75,9 @@ def mix(docs: DataFrame, *, columns: list[str] | None = None, id_column: str = "
     than ``NEAR`` from its target, change the copies of one document in each source, the one whose size is nearest to
     what is left over, if that brings it nearer. Everything is decided by
     sizes and ids, so reruns agree. The running sums are sums over the partitions of a sort and over their totals, so a
-    source with most of the rows is spread. NULL is a source; NULL and blank texts have size 0 and one copy.
+    source with most of the rows is spread; rates are met by source and size, and repairs look at one document of each
+    source, size and number of copies. A source whose documents are too large or too few stays as near as they allow.
+    NULL is a source; NULL and blank texts have size 0 and one copy.
     """
     size = F.size(words(F.col(text_column))).cast("long")
     base = docs.select(F.struct(*(columns or [id_column])).alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), size.alias("size"))
@@ -83,7 +89,9 @@ def mix(docs: DataFrame, *, columns: list[str] | None = None, id_column: str = "
     known = goals.alias("g").join(found.alias("f"), F.expr("g.source <=> f.source"), "left").selectExpr("g.source AS of", "source_size", "target", "mean", "tilt")
 
     rate = F.expr(f"CASE WHEN size = 0 THEN 1D WHEN target <= 0 THEN 0D WHEN tilt IS NULL THEN {most}D ELSE least({most}D, exp(tilt * size / mean)) END")
-    rated = slim.join(known, F.expr("source <=> of")).drop("of").withColumn("rate", rate).withColumn("part_of", F.round(F.col("rate") * UNIT).cast("long"))
+    # Rates are those of a source and size, so that the rows of a large source are dealt by size too.
+    rates = cells.join(known, F.expr("source <=> of")).select("of", F.col("size").alias("of_size"), "source_size", "target", rate.alias("rate"))
+    rated = slim.join(rates, F.expr("source <=> of AND size = of_size")).drop("of", "of_size").withColumn("part_of", F.round(F.col("rate") * UNIT).cast("long"))
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("place")]
     ordered = stored(stored(rated).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
     totals = ordered.groupBy("part", "source").agg(F.sum("part_of").alias("sum"))
@@ -95,7 +103,8 @@ def mix(docs: DataFrame, *, columns: list[str] | None = None, id_column: str = "
         left = stored(rounded.groupBy("source").agg(F.expr("max(target) - sum(copies * size)").alias("left"), F.max("target").alias("of_target")).withColumnsRenamed({"source": "of"}))
         if (left.filter("of_target > 0").agg(F.max(F.expr("abs(left) / of_target"))).first()[0] or 0) <= NEAR:
             break
-        near = rounded.filter("size > 0").join(left, F.expr("source <=> of")).filter(f"IF(left > 0, copies < {most}, copies > 0) AND abs(abs(left) - size) < abs(left)")
+        kinds = rounded.filter("size > 0").groupBy("source", "size", "copies").agg(F.min("place").alias("place"))
+        near = kinds.join(left, F.expr("source <=> of")).filter(f"IF(left > 0, copies < {most}, copies > 0) AND abs(abs(left) - size) < abs(left)")
         change = near.groupBy("source").agg(F.expr("min(struct(abs(abs(left) - size) AS off, place, CAST(signum(left) AS BIGINT) AS by))").alias("best")).selectExpr("best.place AS place", "best.by AS by")
         rounded = stored(rounded.join(change, "place", "left").selectExpr("place", "source", "size", "source_size", "target", "rate", "copies + coalesce(by, 0) AS copies"))
     return base.select("row", "doc_id", "place").join(rounded, "place").select("row", "doc_id", "size", "source_size", "target", "rate", "copies")

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from licensum.llm import mixing
 from licensum.llm.queries import QUERIES
 from tests.llm.helpers import ODD, folder, words
 
@@ -52,3 +53,11 @@ def test_query(spark, tmp_path, rows):
         for r in got:
             rates[source[r.doc_id]] += r.rate * r["size"]
         assert all(rates[s] == pytest.approx(want[s], rel=1e-6) for s in want)
+
+
+def test_steps_that_do_not_reach_the_targets_are_an_error(spark):
+    cells = spark.createDataFrame([("a", 10, 5), ("a", 900, 2), ("b", 7, 40)], "source string, size long, n long")
+    goals = spark.createDataFrame([("a", 1850, 3000.0), ("b", 280, 100.0)], "source string, source_size long, target double")
+    assert {r.source for r in mixing.tilts(cells, goals).collect()} == {"a", "b"}
+    with pytest.raises(RuntimeError, match="after 1 steps"):
+        mixing.tilts(cells, goals, steps=1)

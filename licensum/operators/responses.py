@@ -84,7 +84,9 @@ def parse_array_responses(responses: DataFrame, *, max_items: int | None = None)
     if max_items:
         items = F.slice(items, 1, max_items)
     kept = [c for c in responses.columns if c != "response"]
-    staged = responses.select(*kept, F.posexplode_outer(F.coalesce(items, F.array(F.lit(None).cast("string")))).alias("item", "payload"), items.isNull().alias("unread"))
+    # The list is a column of its own: what stands beside a generator is computed for each of its rows.
+    listed = responses.select(*kept, items.alias("listed")).select(*kept, "listed", F.col("listed").isNull().alias("unread"))
+    staged = listed.select(*kept, "unread", F.posexplode_outer(F.coalesce("listed", F.array(F.lit(None).cast("string")))).alias("item", "payload"))
     staged = staged.filter("item IS NOT NULL").withColumn("item", F.when(~F.col("unread"), F.col("item"))).drop("unread")
     return _typed(staged)
 

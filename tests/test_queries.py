@@ -1,6 +1,14 @@
 """Registered queries over tables that a test builds."""
 
+import time
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+import checks.tables
 from checks.all_queries import QUERIES
+from checks.tables import Tables
+from licensum.operators import responses
 
 
 def tables(spark, tmp_path, **rows):
@@ -15,3 +23,30 @@ def test_join_analyses_keeps_the_last_analysis(spark, tmp_path):
     folder = tables(spark, tmp_path, customer=([(i,) for i in (0, 4, 5, 6, 50, 100)], "c_custkey long"))
     got = {r.seq: (r.analysed, r.strategy) for r in QUERIES["j1_j4_join_analyses"](spark, folder).collect()}
     assert got == {0: (True, "rendered"), 50: (True, "rendered"), 100: (True, "rendered"), 4: (True, "rendered"), 5: (True, "plain"), 6: (False, "plain")}
+
+
+def test_derived_rows_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    order = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"
+    rows = [(i, i % 7, "F", datetime(1996, 1, 2), "2-HIGH") for i in range(400)]
+    folder = tables(
+        spark, tmp_path, orders=(rows, order), customer=([(i, i % 3) for i in range(7)], "c_custkey long, c_nationkey long"),
+        nation=([(i, f"N{i}") for i in range(3)], "n_nationkey long, n_name string"),
+    )
+    monkeypatch.setattr(checks.tables, "ROWS", 20)
+    t = Tables(spark, folder)
+    for df in (t.register_pages, t.card_pages, t.raw, t.list_responses):
+        sizes = df.select("*").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert len(sizes) == 20
+        assert sum(sizes) == 400
+        assert max(sizes) < 100
+
+
+def test_a_long_list_is_read_once(spark):
+    """Each item used to read the whole list again."""
+    item = '{"premises_name": "Inn", "premises_address": "1 Low Rd", "conditions": [], "licensable_activities": []}'
+    values = [(1, "x", f"[{', '.join([item] * 5000)}]"), (2, "x", "none"), (3, "x", "[null]"), (4, "x", "[]"), (5, "x", None)]
+    df = spark.createDataFrame(values, "page_id long, council_name string, response string")
+    start = time.perf_counter()
+    got = responses.parse_array_responses(df).groupBy("page_id", "reject_reason").agg(F.count("*"), F.max("item")).collect()
+    assert time.perf_counter() - start < 60
+    assert {tuple(r) for r in got} == {(1, None, 5000, 4999), (2, "no JSON found", 1, None), (3, "no JSON found", 1, 0), (5, "no JSON found", 1, None)}

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from licensum.llm.common import raw, remainder, stored
 
 CLASSES, CELLS, BLOCKS = 64, 1 << 15, 256
-# Step of the first update and of later ones, and the counts that every cell is given beside its own.
-ROUNDS, FIRST, RATE, PRIOR, TOKENS = 1, 0.7, 0.33, 10.0, 4096
+# Steps of the first update and of later ones, and the counts that every cell is given beside its own in them: what is left
+# to learn after the first is learned only where there is much evidence.
+ROUNDS, FIRST, RATE, PRIOR, LATER, TOKENS = 3, 0.7, 0.25, 10.0, 1000.0, 4096
 ROWS = 12  # 2^12 rows are a chunk
 END = b"\n"
 ALPHA = 0.1
@@ -153,7 +154,7 @@ def train(docs: DataFrame, *, rounds: int = ROUNDS) -> np.ndarray:
     """Class weights for each feature cell, learned from all ``docs`` (doc_id, text).
 
     A round is one gradient update over all documents: each cell compares how often it met each class with how often
-    the model so far expects that, and moves by the logarithm of their quotient, damped by ``PRIOR`` counts. The first
+    the model so far expects that, and moves by the logarithm of their quotient, damped by ``PRIOR`` counts, later by ``LATER``. The first
     round starts from the constant alone, whose expectations are known without a pass over the texts; each further
     round reads all texts once more. The model has ``CELLS`` times ``CLASSES`` numbers however large the corpus is; only
     it comes to the driver.
@@ -168,7 +169,8 @@ def train(docs: DataFrame, *, rounds: int = ROUNDS) -> np.ndarray:
             shared = docs.sparkSession.sparkContext.broadcast(model)
             expected, step = _summed(docs, lambda sums, cells, classes: add_expected(sums, cells, shared.value)), RATE
             shared.unpersist()
-        model = model + (step * np.log((observed + PRIOR * shares) / (expected + PRIOR * shares))).astype(np.float32)
+        prior = PRIOR if number == 0 else LATER
+        model = model + (step * np.log((observed + prior * shares) / (expected + prior * shares))).astype(np.float32)
         model[0] = np.log(shares)
     return model
 

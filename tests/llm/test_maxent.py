@@ -91,3 +91,15 @@ def test_learning_does_not_depend_on_tasks_and_goes_on(spark):
     assert gain[1, 1] > 0.3
     assert gain[32, 1] == pytest.approx(gain[1, 1], rel=1e-3)
     assert gain[32, 3] > gain[32, 1]
+
+
+def test_default_learning_goes_beyond_the_constant(spark, monkeypatch):
+    """The first round alone knows its expectations without a look at the texts; by default the model is asked for them."""
+    rows = spark.createDataFrame([r[:2] for r in chain(400)], "doc_id long, text string")
+    asked = []
+    whole = maxent_lm._summed
+    monkeypatch.setattr(maxent_lm, "_summed", lambda docs, add: asked.append(add) or whole(docs, add))
+    held = lambda **options: maxent_lm.score(rows, **options).filter("held_out").groupBy().sum("score").first()[0]
+    default = held()
+    assert len(asked) > 1
+    assert default > held(rounds=1)

@@ -1,6 +1,8 @@
 """Language model scoring: a hashed maximum-entropy model of word classes over n-gram and skip features, and counts within classes."""
 
 import zlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ CLASSES, CELLS, BLOCKS = 64, 1 << 15, 256
 # Steps of the first update and of later ones, and the counts that every cell is given beside its own in them: what is left
 # to learn after the first is learned only where there is much evidence.
 ROUNDS, FIRST, RATE, PRIOR, LATER, TOKENS = 3, 0.7, 0.25, 10.0, 1000.0, 4096
+SPAN = 1 << 15  # tokens whose shares are held at once
 ROWS = 12  # 2^12 rows are a chunk
 END = b"\n"
 ALPHA = 0.1
@@ -24,20 +27,17 @@ def word_class(word: bytes) -> int:
     return CLASSES - 1 if word == END else zlib.crc32(word[-2:]) % (CLASSES - 1)
 
 
-class Vocabulary(dict):
-    """Numbers words in order of appearance, with their hash and class."""
+class Vocabulary(defaultdict):
+    """Numbers words in order of appearance; gives their hashes and classes."""
 
     def __init__(self):
-        self.hashes, self.classes = [], []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        self.classes.append(word_class(word))
-        return number
+        super().__init__(count().__next__)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.hashes, np.uint64), np.array(self.classes, np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self), np.uint64, len(self))
+        # Only the end is spelled as it is, so the last two letters tell the class.
+        known = {ending: word_class(ending) for ending in {word[-2:] for word in self}}
+        return hashes, np.fromiter((known[word[-2:]] for word in self), np.int64, len(self))
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -52,54 +52,62 @@ def feature_cells(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     since = place - np.maximum.accumulate(np.where(begins, place, 0))
     before = lambda n: np.where(since >= n, np.concatenate([np.zeros(n, np.uint64), hashes[:-n]])[: len(hashes)], np.uint64(n))
     one, two = before(1), before(2)
-    return np.stack([np.zeros(len(hashes), np.int64), *(mix(x, n).astype(np.int64) for x, n in ((one, 1), (two, 2), (one * np.uint64(0xC2B2AE3D27D4EB4F) ^ two, 3)))], axis=1)
+    # Columns lie one behind the other, since they are read one by one.
+    return np.stack([np.zeros(len(hashes), np.int64), *(mix(x, n).astype(np.int64) for x, n in ((one, 1), (two, 2), (one * np.uint64(0xC2B2AE3D27D4EB4F) ^ two, 3)))]).T
 
 
 def logits(model: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Scores of all classes, a row for each token, with largest score 0. The first cell of all tokens is the constant."""
-    out = model.take(cells[:, 1], axis=0)
+    """Scores of all classes, a column for each token, with largest score 0. The first cell of all tokens is the constant."""
+    rows, more = np.empty((len(cells), CLASSES), np.float32), np.empty((len(cells), CLASSES), np.float32)
+    # Clipped, as a checked take copies its result once more.
+    np.take(model, cells[:, 1], axis=0, out=rows, mode="clip")
     for i in range(2, cells.shape[1]):
-        out += model.take(cells[:, i], axis=0)
-    out += model[0]
-    out -= out.max(axis=1, keepdims=True)
+        rows += np.take(model, cells[:, i], axis=0, out=more, mode="clip")
+    rows += model[0]
+    out = np.ascontiguousarray(rows.T)
+    out -= out.max(axis=0)
     return out
 
 
 def class_log10(model: np.ndarray, cells: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """log10 of the probability of each token's class."""
     out = logits(model, cells)
-    own = out[np.arange(len(classes)), classes].astype(np.float64)
-    return (own - np.log(np.exp(out, out=out).sum(axis=1, dtype=np.float64))) / np.log(10)
+    own = out[classes, np.arange(len(classes))].astype(np.float64)
+    return (own - np.log(np.exp(out, out=out).sum(axis=0, dtype=np.float64))) / np.log(10)
 
 
 def add_observed(sums: np.ndarray, cells: np.ndarray, classes: np.ndarray) -> None:
-    """Adds how often each cell met each class."""
-    for i in range(cells.shape[1]):
-        sums += np.bincount(cells[:, i] * CLASSES + classes, minlength=CELLS * CLASSES).reshape(CELLS, CLASSES)
+    """Adds how often each cell met each class. The first cell of all tokens is the constant."""
+    sums[0] += np.bincount(classes, minlength=CLASSES)
+    for i in range(1, cells.shape[1]):
+        sums += np.bincount(classes * CELLS + cells[:, i], minlength=CELLS * CLASSES).reshape(CLASSES, CELLS).T
 
 
 def add_expected(sums: np.ndarray, cells: np.ndarray, model: np.ndarray) -> None:
-    """Adds how often the model expects each cell to meet each class."""
-    for i in range(0, len(cells), TOKENS):
-        part = cells[i : i + TOKENS]
-        share = logits(model, part)
-        np.exp(share, out=share)
-        share /= share.sum(axis=1, keepdims=True)
-        flat = part.ravel()
-        order = np.argsort(flat)
-        ranked = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        sums[ranked[first]] += np.add.reduceat(share.take(order // part.shape[1], axis=0), first, axis=0)
+    """Adds how often the model expects each cell to meet each class. The first cell of all tokens is the constant."""
+    held = np.empty((CLASSES, min(SPAN, len(cells))), np.float32)
+    for start in range(0, len(cells), SPAN):
+        part = cells[start : start + SPAN]
+        for i in range(0, len(part), TOKENS):
+            # Small pieces, so that a piece stays in the cache.
+            share = logits(model, part[i : i + TOKENS])
+            np.exp(share, out=share)
+            np.divide(share, share.sum(axis=0), out=held[:, i : i + len(share[0])])
+        for k in range(CLASSES):
+            shares = held[k, : len(part)]
+            sums[0, k] += shares.sum(dtype=np.float64)
+            for i in range(1, part.shape[1]):
+                sums[:, k] += np.bincount(part[:, i], weights=shares, minlength=CELLS)
 
 
 def gathered(texts: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of the texts, and how many each text has."""
-    out, counts = [], []
+    found, counts = [], []
     for text in texts:
-        own = list(map(words.__getitem__, tokens(text)))
-        out.append(np.array(own, np.int32))
+        own = tokens(text)
+        found += own
         counts.append(len(own))
-    return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(counts, np.int64)
+    return np.fromiter(map(words.__getitem__, found), np.int32, len(found)), np.array(counts, np.int64)
 
 
 def starts(counts: np.ndarray) -> np.ndarray:
@@ -117,17 +125,17 @@ def _summed(docs: DataFrame, add) -> np.ndarray:
     size = CELLS // BLOCKS
 
     def run(batches):
-        sums, seen = np.zeros((CELLS, CLASSES), np.float32 if CELLS * CLASSES > 1 << 24 else np.float64), False
+        # A column for each class, as they are added up class by class.
+        sums, seen = np.zeros((CELLS, CLASSES), np.float32 if CELLS * CLASSES > 1 << 24 else np.float64, order="F"), False
         for batch in batches:
-            texts = raw(batch.column(0))
-            for i in range(0, len(texts), 500):
+            for i in range(0, batch.num_rows, 500):
                 words = Vocabulary()
-                ids, counts = gathered(texts[i : i + 500], words)
+                ids, counts = gathered(raw(batch.column(0).slice(i, 500)), words)
                 hashes, classes = words.arrays()
                 add(sums, feature_cells(hashes[ids], starts(counts)), classes[ids])
                 seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.reshape(BLOCKS, -1)], pa.binary())], ["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([sums[i : i + size].astype(np.float32, order="C").tobytes() for i in range(0, CELLS, size)], pa.binary())], ["block", "sums"])
 
     def total(batches):
         at, sums = None, None
@@ -195,16 +203,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
         at, words, counts = None, Vocabulary(), np.zeros(0, np.int64)
         for batch in batches:
             chunk, train = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            texts = raw(batch.column(0))
-            for i in range(0, len(texts), 500):
+            for i in range(0, batch.num_rows, 500):
+                texts = raw(batch.column(0).slice(i, 500))
                 for own in np.unique(chunk[i : i + 500]):
                     if at is not None and own != at:
                         yield flush()
                         words, counts = Vocabulary(), np.zeros(0, np.int64)
                     at = own
-                    inside = np.flatnonzero(chunk[i : i + 500] == own) + i
+                    inside = np.flatnonzero(chunk[i : i + 500] == own)
                     for kind in (True, False):
-                        ids, _ = gathered([texts[j] for j in inside if bool(train[j]) == kind], words)
+                        ids, _ = gathered([texts[j] for j in inside if bool(train[i + j]) == kind], words)
                         found = np.bincount(ids, minlength=len(words)) * kind
                         counts = found + np.pad(counts, (0, len(found) - len(counts)))
         if at is not None:

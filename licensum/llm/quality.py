@@ -71,8 +71,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, s
     Without trusted documents all weights are 0.
     """
     marked = docs.join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
-    ngrams = features(marked, buckets).select(F.coalesce("good", F.lit(False)).cast("int").alias("good"), F.explode("features").alias("bucket"))
-    each = ngrams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
+    # The outer generator: for a plain one Spark tests the size of the array in front of it, and so makes all features twice.
+    ngrams = features(marked, buckets).select(F.coalesce("good", F.lit(False)).cast("int").alias("good"), F.explode_outer("features").alias("bucket"))
+    each = ngrams.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     filled = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(each, "bucket", "left").fillna(0)
     rows = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("rows"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
     share = lambda count, total: F.log((count + smoothing) / (total + smoothing * buckets))

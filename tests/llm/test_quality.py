@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from licensum.llm import quality
 from licensum.llm.queries import QUERIES
 from tests.llm.helpers import ODD, folder, words
 
@@ -55,3 +56,10 @@ def test_no_labels(spark, tmp_path):
     got = QUERIES["op5_quality_rules"](spark, folder(spark, tmp_path, ODD)).collect()
     assert {r.ratio for r in got} == {0.0}
     assert all(r.kept != r.base_failed for r in got)
+
+
+def test_features_are_made_once_for_the_weights(spark):
+    docs = spark.createDataFrame([(1, "One two")], "doc_id long, text string")
+    plan = quality.log_ratios(docs, docs.select("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan
+    assert "size(" not in plan

@@ -96,8 +96,9 @@ def _(t):
 
 @query("s12_report_sheets", S.over(S.ENRICHED, COUNCIL_ANALYSIS))
 def _(t):
-    path = shared_folder(t.spark)
-    writers.write_sheets(reporting.full_report(t.enriched, as_of=AS_OF), path)
+    # Stored once: every sheet is a scan of its own.
+    path, enriched = shared_folder(t.spark), kept(t.enriched)
+    writers.write_sheets(reporting.full_report(enriched, as_of=AS_OF), path)
     return t.spark.read.parquet(f"{path}/council_analysis")
 
 
@@ -109,7 +110,7 @@ def _(t):
 
 @query("s8_newest_of_log", S.over(S.ENRICHED, "SELECT seq, premises_name FROM enriched WHERE seq % 3 = 1"))
 def _(t):
-    path, enriched = shared_folder(t.spark), t.enriched.select("seq", "premises_name")
+    path, enriched = shared_folder(t.spark), kept(t.enriched.select("seq", "premises_name"))
     # Committed last but older; then two of one time, of which the second counts.
     for name, at, rest in (("a", AS_OF, 0), ("b", AS_OF, 1), ("old", datetime(2001, 6, 1), 2)):
         snapshots.commit_snapshot(enriched.filter(F.col("seq") % 3 == rest), path, name, at=at)
@@ -204,9 +205,11 @@ def _(t):
 
 @query("t2_stream_upsert", S.over(S.ENRICHED, "SELECT match_key, seq, premises_name, first_seq, copies, business_type FROM enriched"))
 def _(t):
-    path = shared_folder(t.spark)
-    t.raw.write.parquet(f"{path}/in")
-    source = t.spark.readStream.schema(t.raw.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+    path, raw = shared_folder(t.spark), t.raw
+    raw.write.parquet(f"{path}/in")
+    source = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+    # The few files of a batch are as many tasks; their rows are dealt to all cores before they are cleaned.
+    source = source.repartition(t.spark.sparkContext.defaultParallelism)
     table = upsert.entity_table(f"{path}/best", buckets=16)
     upsert.run_upserts(clean.valid_licences(clean.clean_licences(source), as_of=AS_OF), table, f"{path}/state")
     out = upsert.current_entities(t.spark, table)

@@ -9,6 +9,8 @@ import checks.tables
 from checks.all_queries import QUERIES
 from checks.tables import Tables
 from licensum.operators import responses
+from licensum.plans import processing
+from licensum.streaming import upsert
 
 
 def tables(spark, tmp_path, **rows):
@@ -50,3 +52,40 @@ def test_a_long_list_is_read_once(spark):
     got = responses.parse_array_responses(df).groupBy("page_id", "reject_reason").agg(F.count("*"), F.max("item")).collect()
     assert time.perf_counter() - start < 60
     assert {tuple(r) for r in got} == {(1, None, 5000, 4999), (2, "no JSON found", 1, None), (3, "no JSON found", 1, 0), (5, "no JSON found", 1, None)}
+
+
+ORDER = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def licence_tables(spark, tmp_path, n=60):
+    rows = [(i, i % 7, "FOP"[i % 3], datetime(1996, 1, 2), "2-HIGH") for i in range(n)]
+    return tables(
+        spark, tmp_path, orders=(rows, ORDER), customer=([(i, i % 3) for i in range(7)], "c_custkey long, c_nationkey long"),
+        nation=([(i, f"N{i}") for i in range(3)], "n_nationkey long, n_name string"),
+    )
+
+
+def rows_cleaned(spark, monkeypatch, run):
+    """How many rows are cleaned while ``run`` runs; one that is cleaned twice counts twice."""
+    counted = spark.sparkContext.accumulator(0)
+    whole = processing.clean_licences
+    mark = F.udf(lambda x: counted.add(1) or x, "string")
+    monkeypatch.setattr(processing, "clean_licences", lambda raw, **options: whole(raw.withColumn("council_name", mark("council_name")), **options))
+    run()
+    return counted.value
+
+
+def test_report_sheets_and_log_clean_each_row_once(spark, tmp_path, monkeypatch):
+    folder = licence_tables(spark, tmp_path)
+    for name in ("s12_report_sheets", "s8_newest_of_log"):
+        with monkeypatch.context() as patch:
+            assert rows_cleaned(spark, patch, lambda: QUERIES[name](spark, folder).collect()) == 60, name
+
+
+def test_upsert_deals_a_batch_to_all_cores(spark, tmp_path, monkeypatch):
+    seen = []
+    whole = upsert.merge_batch
+    monkeypatch.setattr(upsert, "merge_batch", lambda batch, *rest: seen.append(batch.rdd.getNumPartitions()) or whole(batch, *rest))
+    QUERIES["t2_stream_upsert"](spark, licence_tables(spark, tmp_path)).collect()
+    assert seen
+    assert min(seen) == spark.sparkContext.defaultParallelism

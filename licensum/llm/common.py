@@ -1,6 +1,7 @@
 """What several operators of this subpackage share."""
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def remainder(doc_id: str, by: int) -> Column:
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 4_000_000, rows: int = 1 << 30):
     """Slices of a batch with about ``most`` bytes in a string column, or one row where a row alone is larger, and ``rows`` rows at most."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and (total + size > most or i - start == rows):

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -10,13 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from licensum.llm.common import raw, remainder, stored
+from licensum.llm.common import pieces, raw, remainder, stored
 
 CLASSES, CELLS, BLOCKS = 64, 1 << 15, 256
 # Steps of the first update and of later ones, and the counts that every cell is given beside its own in them: what is left
 # to learn after the first is learned only where there is much evidence.
 ROUNDS, FIRST, RATE, PRIOR, LATER, TOKENS = 3, 0.7, 0.25, 10.0, 1000.0, 4096
-SPAN = 1 << 15  # tokens whose shares are held at once
+SPAN = 1 << 15  # contexts whose shares are held at once
+SHORT = 32  # bytes from which on a word is hashed by the library alone
+PIECE = 1_000_000  # bytes of texts whose tokens are held at once, if not one text has more
+PER_TASK = 4  # partitions of the texts whose sums are added up in one task
 ROWS = 12  # 2^12 rows are a chunk
 END = b"\n"
 ALPHA = 0.1
@@ -44,6 +48,86 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+@lru_cache(maxsize=1)
+def _classes_of_endings() -> np.ndarray:
+    """The class of a word by its last byte and 256 times the one before; behind them, of words of one byte."""
+    two = [zlib.crc32(bytes((i >> 8, i & 255))) for i in range(1 << 16)]
+    return (np.array(two + [zlib.crc32(bytes((i,))) for i in range(256)], np.int64) % (CLASSES - 1)).astype(np.int64)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _xxh64(windows: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 of words of less than ``SHORT`` bytes, from the eight bytes that begin at each byte of a text."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    # Words of the same length lie beside each other, so that each step takes a slice of them.
+    order = np.argsort(sizes.astype(np.uint8), kind="stable")
+    at, firsts = begins[order], np.searchsorted(sizes[order], np.arange(SHORT + 1))
+    out = sizes[order].astype(np.uint64) + five
+    for size in range(1, SHORT):
+        own = slice(firsts[size], firsts[size + 1])
+        h, place = out[own], at[own]
+        if not len(h):
+            continue
+        done = 0
+        while size - done >= 8:
+            h ^= _turned(windows.take(place + done) * two, 31) * one
+            h = _turned(h, 27) * one + four
+            done += 8
+        if size - done >= 4:
+            h ^= (windows.take(place + done) & np.uint64(0xFFFFFFFF)) * one
+            h = _turned(h, 23) * two + three
+            done += 4
+        while done < size:
+            h ^= (windows.take(place + done) & np.uint64(0xFF)) * five
+            h = _turned(h, 11) * one
+            done += 1
+        h ^= h >> np.uint64(33)
+        h *= two
+        h ^= h >> np.uint64(29)
+        h *= three
+        out[own] = h ^ h >> np.uint64(32)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 and class of all tokens of the texts, and how many each text has.
+
+    Words are found and hashed as arrays of bytes, not one by one.
+    """
+    joined = b"".join([t + END for t in texts]).lower()
+    if not joined:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = joined + bytes(SHORT)
+    letters = np.frombuffer(joined, np.uint8)
+    spaces = (letters == 32) | (letters - np.uint8(9) < 5)
+    change = np.flatnonzero(spaces[1:] != spaces[:-1]) + 1
+    # The last byte is a space, so every word has its end among the changes.
+    changes = change if spaces[0] else np.append(0, change)
+    begins, stops = changes[::2], changes[1::2]
+    sizes = stops - begins
+    words = np.zeros(len(begins), np.uint64)
+    short = sizes < SHORT
+    windows = np.ascontiguousarray(np.ndarray(len(joined), "<u8", padded, strides=(1,)))
+    words[short] = _xxh64(windows, begins[short], sizes[short])
+    for i in np.flatnonzero(~short).tolist():
+        words[i] = xxhash.xxh64_intdigest(joined[begins[i] : stops[i]])
+    last = letters[stops - 1].astype(np.int64)
+    classes = _classes_of_endings()[np.where(sizes > 1, letters[np.maximum(stops - 2, 0)].astype(np.int64) << 8 | last, (1 << 16) + last)]
+    # Behind the words of each text comes its end.
+    counts = np.diff(np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts]))) + 1
+    ends = np.cumsum(counts) - 1
+    inside = np.ones(len(words) + len(texts), bool)
+    inside[ends] = False
+    out, own = np.full(len(inside), xxhash.xxh64_intdigest(END), np.uint64), np.full(len(inside), CLASSES - 1, np.int64)
+    out[inside], own[inside] = words, classes
+    return out, own, counts
+
+
 def feature_cells(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each token four cells: a constant, the word before, the word before that, and both."""
     # Cell 0 is the constant's alone.
@@ -84,19 +168,28 @@ def add_observed(sums: np.ndarray, cells: np.ndarray, classes: np.ndarray) -> No
 
 
 def add_expected(sums: np.ndarray, cells: np.ndarray, model: np.ndarray) -> None:
-    """Adds how often the model expects each cell to meet each class. The first cell of all tokens is the constant."""
+    """Adds how often the model expects each cell to meet each class. The first cell of all tokens is the constant.
+
+    Tokens with the same cells are expected alike, so the shares are made once for all of them.
+    """
+    # Three numbers of cells in one; cells of the word before lie beside each other.
+    keys, times = np.unique((cells[:, 1] * CELLS + cells[:, 2]) * CELLS + cells[:, 3], return_counts=True)
+    cells = np.stack([np.zeros(len(keys), np.int64), keys // (CELLS * CELLS), keys // CELLS % CELLS, keys % CELLS]).T
     held = np.empty((CLASSES, min(SPAN, len(cells))), np.float32)
     for start in range(0, len(cells), SPAN):
-        part = cells[start : start + SPAN]
+        part, often = cells[start : start + SPAN], times[start : start + SPAN].astype(np.float32)
         for i in range(0, len(part), TOKENS):
             # Small pieces, so that a piece stays in the cache.
             share = logits(model, part[i : i + TOKENS])
             np.exp(share, out=share)
-            np.divide(share, share.sum(axis=0), out=held[:, i : i + len(share[0])])
+            np.multiply(share, often[i : i + TOKENS] / share.sum(axis=0), out=held[:, i : i + len(share[0])])
+        first = np.flatnonzero(np.diff(part[:, 1], prepend=-1))
+        before = part[first, 1]
         for k in range(CLASSES):
-            shares = held[k, : len(part)]
-            sums[0, k] += shares.sum(dtype=np.float64)
-            for i in range(1, part.shape[1]):
+            shares = held[k, : len(part)].astype(np.float64)
+            sums[0, k] += shares.sum()
+            sums[before, k] += np.add.reduceat(shares, first)
+            for i in (2, 3):
                 sums[:, k] += np.bincount(part[:, i], weights=shares, minlength=CELLS)
 
 
@@ -128,12 +221,12 @@ def _summed(docs: DataFrame, add) -> np.ndarray:
         # A column for each class, as they are added up class by class.
         sums, seen = np.zeros((CELLS, CLASSES), np.float32 if CELLS * CLASSES > 1 << 24 else np.float64, order="F"), False
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                words = Vocabulary()
-                ids, counts = gathered(raw(batch.column(0).slice(i, 500)), words)
-                hashes, classes = words.arrays()
-                add(sums, feature_cells(hashes[ids], starts(counts)), classes[ids])
+            for part in pieces(batch, 0, most=PIECE):
+                hashes, classes, counts = hashed(raw(part.column(0)))
+                add(sums, feature_cells(hashes, starts(counts)), classes)
                 seen = True
+            # Not held while the next batch is read.
+            batch = part = None
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([sums[i : i + size].astype(np.float32, order="C").tobytes() for i in range(0, CELLS, size)], pa.binary())], ["block", "sums"])
 
@@ -151,7 +244,11 @@ def _summed(docs: DataFrame, add) -> np.ndarray:
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["block", "sums"])
 
-    parts = docs.select("text").mapInArrow(run, "block int, sums binary").repartition("block").sortWithinPartitions("block")
+    texts = docs.select("text")
+    # A task gives all its sums to the shuffle however few texts it has, so small partitions share a task.
+    cores, parts = docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()
+    texts = texts.coalesce(max(1, min(parts, max(2 * cores, -(-parts // PER_TASK)))))
+    parts = texts.mapInArrow(run, "block int, sums binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros((CELLS, CLASSES))
     for r in parts.mapInArrow(total, "block int, sums binary").collect():
         out[r.block * size : (r.block + 1) * size] += np.frombuffer(r.sums, np.float64).reshape(size, CLASSES)
@@ -196,25 +293,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        def added(held, hashes, classes, counts):
+            hashes, classes, counts = (np.concatenate(x) for x in zip(held, (hashes, classes, counts), strict=True))
+            hashes, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+            return hashes, classes[first], np.bincount(place, counts, len(hashes)).astype(np.int64)
+
         def flush():
-            hashes, classes = words.arrays()
+            hashes, classes, counts = held
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), at)), pa.array(hashes.view(np.int64)), pa.array(classes.astype(np.int32)), pa.array(counts)], ["chunk", "hash", "class", "c"])
 
-        at, words, counts = None, Vocabulary(), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, held = None, none
         for batch in batches:
-            chunk, train = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            chunk, train = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for i in range(0, batch.num_rows, 500):
-                texts = raw(batch.column(0).slice(i, 500))
+                hashes, classes, n = hashed(raw(batch.column(0).slice(i, 500)))
+                counted, of = np.repeat(train[i : i + 500], n), np.repeat(chunk[i : i + 500], n)
                 for own in np.unique(chunk[i : i + 500]):
                     if at is not None and own != at:
                         yield flush()
-                        words, counts = Vocabulary(), np.zeros(0, np.int64)
+                        held = none
                     at = own
-                    inside = np.flatnonzero(chunk[i : i + 500] == own)
-                    for kind in (True, False):
-                        ids, _ = gathered([texts[j] for j in inside if bool(train[i + j]) == kind], words)
-                        found = np.bincount(ids, minlength=len(words)) * kind
-                        counts = found + np.pad(counts, (0, len(found) - len(counts)))
+                    inside = of == own
+                    held = added(held, hashes[inside], classes[inside], counted[inside])
         if at is not None:
             yield flush()
 
@@ -243,19 +344,22 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     total = int(n_all)
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = Vocabulary()
-        ids, n = gathered(raw(texts.column("text").combine_chunks()), words)
-        hashes, classes = words.arrays()
         keys, values = known.column("hash").to_numpy().view(np.uint64), known.column("total").to_numpy()
         order = np.argsort(keys)
-        c = values[order][np.minimum(np.searchsorted(keys[order], hashes), len(keys) - 1)].astype(np.float64)
-        base = np.log10((c + ALPHA) / (n_all + ALPHA * (v_all + 1)))
-        inside = np.log10((c + ALPHA) / (of_class[classes, 0] + ALPHA * (of_class[classes, 1] + 1)))
-        cells, own = feature_cells(hashes[ids], starts(n)), classes[ids]
-        each = np.concatenate([class_log10(model.value, cells[i : i + TOKENS], own[i : i + TOKENS]) for i in range(0, len(own), TOKENS)])
-        first = np.cumsum(n) - n
-        add = lambda x: np.add.reduceat(x, first)
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": n, "n_known": add((c > 0)[ids].astype(np.int64)), "train_tokens": np.full(len(n), total), "base_score": add(base[ids]), "score": add(each + inside[ids])})
+        keys, values = keys[order], values[order]
+        out = []
+        for start in range(0, texts.num_rows, 500):
+            hashes, own, n = hashed(raw(texts.column("text").slice(start, 500).combine_chunks()))
+            words, ids = np.unique(hashes, return_inverse=True)
+            c = values[np.minimum(np.searchsorted(keys, words), len(keys) - 1)].astype(np.float64)[ids]
+            base = np.log10((c + ALPHA) / (n_all + ALPHA * (v_all + 1)))
+            inside = np.log10((c + ALPHA) / (of_class[own, 0] + ALPHA * (of_class[own, 1] + 1)))
+            cells = feature_cells(hashes, starts(n))
+            each = np.concatenate([class_log10(model.value, cells[i : i + TOKENS], own[i : i + TOKENS]) for i in range(0, len(own), TOKENS)])
+            first = np.cumsum(n) - n
+            out.append((n, *(np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, each + inside))))
+        n, known_tokens, base, whole = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": n, "n_known": known_tokens, "train_tokens": np.full(len(n), total), "base_score": base, "score": whole})
 
     scored = rows.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(counts.select("chunk", "hash", "total").groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)))

@@ -132,3 +132,34 @@ def test_words_are_numbered_in_order():
     assert (first.tolist(), second.tolist(), counts.tolist()) == ([0, 1, 0, 2, 2], [1, 3, 2], [3])
     assert hashes.tolist() == [xxhash.xxh64_intdigest(w) for w in (b"b", b"a", b"\n", b"c")]
     assert classes.tolist() == [maxent_lm.word_class(w) for w in (b"b", b"a", b"\n", b"c")]
+
+
+def test_words_are_hashed_as_arrays():
+    texts = [b"", b" ", b"a", b"\n", b" A b\x0bC\x1c d\x00 ", b"x" * 31 + b" " + b"y" * 32 + b" " + b"Z" * 300 + b"\xff", "Ü É\x85x".encode(), *(bytes([65 + k % 26]) * k for k in range(40))]
+    hashes, classes, counts = maxent_lm.hashed(texts)
+    want = [t for text in texts for t in maxent_lm.tokens(text)]
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(t) for t in want]
+    assert classes.tolist() == [maxent_lm.word_class(t) for t in want]
+    assert counts.tolist() == [len(maxent_lm.tokens(text)) for text in texts]
+    assert [len(x) for x in maxent_lm.hashed([])] == [0, 0, 0]
+
+
+def test_equal_contexts_are_expected_once(monkeypatch):
+    cells = np.stack([np.zeros(9000, np.int64), *(np.arange(9000) % 10 + 20 * i for i in (1, 2, 3))], axis=1)
+    model = np.random.default_rng(5).normal(size=(maxent_lm.CELLS, maxent_lm.CLASSES)).astype(np.float32)
+    asked, whole = [], maxent_lm.logits
+    monkeypatch.setattr(maxent_lm, "logits", lambda m, c: asked.append(len(c)) or whole(m, c))
+    sums = np.zeros(model.shape)
+    maxent_lm.add_expected(sums, cells, model)
+    assert sum(asked) == 10
+    assert sums[cells[:10, 1]].sum() == pytest.approx(9000, rel=1e-5)
+
+
+def test_small_partitions_share_the_task_that_gives_sums(spark, monkeypatch):
+    rows = spark.createDataFrame([r[:2] for r in two_tongues(200)], "doc_id long, text string").repartition(200)
+    most = 2 * spark.sparkContext.defaultParallelism
+    parts, frame = [], type(rows)
+    whole = frame.coalesce
+    monkeypatch.setattr(frame, "coalesce", lambda df, n: parts.append(n) or whole(df, n))
+    assert maxent_lm._summed(rows, maxent_lm.add_observed)[0].sum() == 200 * 31
+    assert parts == [max(most, 50)]

@@ -279,17 +279,23 @@ def decode_frame(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 # --- tables ---------------------------------------------------------------------------------------------------------
 
 
+#: Printable ASCII, Latin letters with accents and marks like dashes and quotes: none is composed with its neighbours, each
+#: has one lower-case form that does not depend on its place, and none is white space.
+PLAIN = re.compile("[!-~\u00c0-\u00ff\u2010-\u2027]+")
+
+
 class WordIds(dict):
     """Ids of the words of a text that spaces and line ends part, by the library; emptied at ``most`` words.
 
     For vocabularies that drop white space, where no piece of text reaches across it. The library normalises and parts
-    a new word, and its model is asked once for each different piece, as many words share theirs. Words of printable
-    ASCII are lower-cased and parted here by the pattern of the vocabulary file, if that is all that the file asks for.
-    Words with an added token are encoded whole.
+    a new word, and its model is asked once for each different piece, as many words share theirs. Words of ``PLAIN``
+    characters are lower-cased, parted by the pattern of the vocabulary file and spelled as the library spells bytes
+    here, if that is all that the file asks for. Words with an added token are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.most, self.ids = Tokenizer.from_file(path), most, {}
         self.tokenizer.no_truncation()
@@ -298,6 +304,8 @@ class WordIds(dict):
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         with open(path, encoding="utf-8") as f:
             self.pattern = lower_case_pattern(json.load(f))
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x2028) if PLAIN.fullmatch(chr(c))}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned numbers of 32 bits."""
@@ -314,6 +322,8 @@ class WordIds(dict):
         else:
             if self.pattern and text.isascii() and text.isprintable():
                 parts = self.pattern.findall(text.lower())
+            elif self.pattern and PLAIN.fullmatch(text):
+                parts = [p.translate(self.spelling) for p in self.pattern.findall(text.lower())]
             else:
                 normal = self.normalise.normalize_str(text) if self.normalise else text
                 parts = [p for p, _ in self.part.pre_tokenize_str(normal)] if self.part else [normal]

@@ -90,3 +90,13 @@ def test_small_frames_keep_order(spark, tmp_path):
     docs = range_coder.read(spark, path).join(range_coder.frame_starts(spark, path), ["shard", "frame"]).selectExpr("doc_id", "start + before AS at", "octet_length(ids) DIV 4 AS n").orderBy("at").collect()
     assert [r.doc_id for r in docs] == sorted(r[0] for r in rows)
     assert all(a.at + a.n == b.at for a, b in zip(docs, docs[1:], strict=False))
+
+
+def test_words_with_accents_are_parted_here(monkeypatch):
+    """Each plain character in several places; the library's own normaliser and splitter are not asked."""
+    words = range_coder.WordIds(PATH)
+    characters = [chr(c) for c in range(0x2030) if range_coder.PLAIN.fullmatch(chr(c))]
+    texts = [a + c + b for c in characters for a in ("", "Ab9", "É", "'") for b in ("", "'S", "7ÿ", "÷x")]
+    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words.normalise = words.part = None
+    assert [np.frombuffer(words[t.encode()], "<u4").tolist() for t in texts] == want
